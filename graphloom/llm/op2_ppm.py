@@ -1,9 +1,12 @@
 """Language-model scores by prediction by partial matching over bytes, pretrained on the training documents.
 
-A text is its lower-cased words and one end.  The trie counts, over all training words, which byte follows which up
-to ``ORDER`` bytes of the word (and the space before it).  A byte's probability comes from the longest context seen:
-(2c-1)/2n for a byte seen c of n times, else the context's escape d/2n (d distinct bytes) times what the next shorter
-context gives once the bytes seen above are excluded; below the empty context the remaining bytes are equally likely.
+A text is its lower-cased words and one end.  The top of the model has whole words as symbols: a word seen c of N
+times has (2c-1)/2N, all unseen words together the escape V/2N.  Under it a trie over the bytes of the distinct
+training words (so counted once each: update exclusion) tells which byte follows up to ``ORDER`` bytes of a word and
+the space before it.  There, too, the longest context seen decides: (2c-1)/2n for a byte seen c of n times, else the
+context's escape d/2n (d distinct bytes) times what the next shorter context gives once the bytes seen above are
+excluded; below the empty context the remaining bytes are equally likely.  Excluding the known words from the trie's
+choice divides an unseen word's probability by one minus the sum of the trie's probabilities of all known words.
 
 Plan: count all words (map-side combining); count the trie's edges from the distinct words; score every distinct
 word once; the ``HOT`` most frequent words are looked up while the documents stream by, the others meet the word
@@ -123,19 +126,19 @@ class Trie:
 
 
 def train(words: DataFrame, order: int = ORDER, max_edges: int = MAX_EDGES) -> Trie:
-    """words: token, c.  Edges are counted in Spark; only their table, of checked size, is gathered."""
+    """words: token, c.  Edges of the words with c > 0 are counted in Spark; only their table, of checked size, is gathered."""
     schema = pa.schema([("edge", pa.int64()), ("depth", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            edge, depth, word = edges_of(batch.column(0).to_pylist(), order)
+            edge, depth, _ = edges_of(batch.column(0).to_pylist(), order)
             keys, back = np.unique(edge | (depth.astype(np.uint64) << np.uint64(56)), return_inverse=True)
-            n = np.bincount(back, batch.column(1).to_numpy()[word], len(keys))
+            n = np.bincount(back, minlength=len(keys))
             yield pa.RecordBatch.from_arrays([pa.array((keys & np.uint64((1 << 56) - 1)).astype(np.int64)), pa.array((keys >> np.uint64(56)).astype(np.int32)), pa.array(n.astype(np.int64))], schema=schema)
 
-    counted = words.filter("c > 0").select("token", "c").mapInArrow(run, "edge long, depth int, n long")
+    counted = words.filter("c > 0").select("token").mapInArrow(run, "edge long, depth int, n long")
     table = materialize(counted.groupBy("edge", "depth").agg(F.sum("n").alias("n")), "trie")
     while order > 1 and table.count() > max_edges:
         order -= 1
@@ -189,7 +192,11 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order
                 lp = trie.value.score(batch.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp)], schema=schema)
 
-    scored = materialize(words.select("token", "c", "n").mapInArrow(score, "token binary, c long, n long, lp double"), "word-scores")
+    spelled = materialize(words.select("token", "c", "n").mapInArrow(score, "token binary, c long, n long, lp double"), "word-spellings")
+    known_mass = spelled.filter("c > 0").agg(F.coalesce(F.sum(F.pow(F.lit(10.0), "lp")), F.lit(0.0)).alias("m")).first()["m"]
+    unseen = (math.log10(totals["v"] / (2 * n_train)) if n_train else 0.0) - math.log10(max(1e-12, 1 - known_mass))
+    seen_before = F.log10((2 * F.col("c") - 1) / F.lit(2.0 * max(1, n_train)))
+    scored = spelled.withColumn("lp", F.when(F.col("c") > 0, seen_before).otherwise(F.col("lp") + F.lit(unseen)))
     top = scored.orderBy(F.desc("n"), "token").limit(hot).toArrow()
     c = top["c"].to_numpy()
     shared = spark.sparkContext.broadcast((top["token"].to_pylist(), c > 0, np.log10((c + 1) / floor), top["lp"].to_numpy()))
