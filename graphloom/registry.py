@@ -1,11 +1,240 @@
-"""All queries of the library itself."""
+"""All queries of the library itself, each over the model tables of ``plans.binding``, with their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from graphloom.operators import build, diff, graph, metrics, rules, views
+from graphloom.plans.binding import bind, with_model
+from graphloom.sources import project
+
+_QUERIES: dict = {}
+_SQL: dict = {}
+
+#: Node pairs along directed paths, for the SQL counterparts.
+_CLOSURE = "with recursive reach(root, node) as (select src, dst from {e} union select root, dst from reach join {e} on node = src) "
+
+
+def query(*tables: str, sql: str | None = None):
+    """Register ``f(*model tables)``; its SQL sees the same tables."""
+
+    def add(f):
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(*bind(spark, sf_dir, *tables))
+        if sql:
+            _SQL[f.__name__] = with_model(sql)
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)
+
+
+_LINES = "case when end_line >= start_line then end_line - start_line + 1 else 1 end"
+
+
+@query("files", sql="select id, path, sha256(coalesce(text, '')) as hash, cast(case when text = '' then 0 else length(text) - length(replace(text, chr(10), '')) + case when text like '%' || chr(10) then 0 else 1 end end as bigint) as line_count from files")
+def s10_fingerprints(files):
+    return project.fingerprints(files)
+
+
+@query("files", sql="select path, count(*) as lines from (select path, unnest(string_split(text, chr(10))) as line from files) where length(line) > 0 group by path")
+def s14_source_lines(files):
+    return files.select("path", F.explode(F.split("text", "\n")).alias("line")).filter("length(line) > 0").groupBy("path").agg(F.count("*").alias("lines"))
+
+
+@query("symbols", sql=f"select id as symbol_id, cast({_LINES} as bigint) as line_count from symbols")
+def e01_line_count(symbols):
+    return symbols.select(F.col("id").alias("symbol_id"), metrics.line_count().alias("line_count"))
+
+
+@query("symbols", sql="select id as symbol_id, cast(case when id % 3 = 0 then 0 when id % 3 = 1 then 2 else 1 end as bigint) as parameters from symbols")
+def e02_parameter_count(symbols):
+    sig = F.when(F.col("id") % 3 == 0, F.lit("fn f()")).when(F.col("id") % 3 == 1, F.concat(F.lit("fn f(a: Map<"), "kind", F.lit(", u8>, b: (u8, u8)) -> T"))).otherwise(F.concat(F.lit("fn f(x: "), "name", F.lit(")")))
+    return symbols.select(F.col("id").alias("symbol_id"), metrics.parameter_count(sig).alias("parameters"))
+
+
+@query("symbols", "modules", sql="select s.id as symbol_id, coalesce(m.path || '::' || s.name, s.name) as qualified from symbols s left join (select * from modules where id % 5 <> 0) m on m.id = s.module_id")
+def e03_qualified_name(symbols, modules):
+    m = modules.filter("id % 5 <> 0").select(F.col("id").alias("module_id"), "path")
+    return symbols.join(m, "module_id", "left").select(F.col("id").alias("symbol_id"), F.coalesce(F.concat("path", F.lit("::"), "name"), "name").alias("qualified"))
+
+
+@query("symbols", "call_edges", sql="select s.id as symbol_id, coalesce(i.n, 0) as fan_in, coalesce(o.n, 0) as fan_out from symbols s left join (select dst, count(distinct src) as n from call_edges group by dst) i on i.dst = s.id left join (select src, count(distinct dst) as n from call_edges group by src) o on o.src = s.id")
+def a01_symbol_fans(symbols, calls):
+    return metrics.fans(symbols, calls)
+
+
+_MODULE_METRICS = f"""with b as (select a.module_id as sm, d.module_id as dm, count(*) as n from call_edges c join symbols a on a.id = c.src join symbols d on d.id = c.dst group by 1, 2),
+w as (select module_id, count(*) as symbol_count, sum({_LINES}) as line_count, sum(case when visibility = 'Public' then 1 else 0 end) as pub from symbols group by 1),
+i as (select dm, count(*) as n from b where sm <> dm group by 1), o as (select sm, count(*) as n from b where sm <> dm group by 1),
+r as (select sm, sum(n) as refs, sum(case when sm = dm then n else 0 end) as internal from b group by 1)
+select m.id as module_id, cast(coalesce(symbol_count, 0) as bigint) as symbol_count, cast(coalesce(line_count, 0) as bigint) as line_count, cast(coalesce(i.n, 0) as bigint) as fan_in, cast(coalesce(o.n, 0) as bigint) as fan_out,
+round(coalesce(coalesce(o.n, 0) / cast(nullif(coalesce(i.n, 0) + coalesce(o.n, 0), 0) as double), 0.0), 6) as instability,
+round(coalesce(cast(internal as double) / cast(nullif(refs, 0) as double), 1.0), 6) as cohesion, cast(coalesce(i.n, 0) + coalesce(o.n, 0) as double) as coupling_score,
+round(coalesce(cast(pub as double) / cast(symbol_count as double), 0.0), 6) as api_surface_ratio
+from modules m left join w on w.module_id = m.id left join i on i.dm = m.id left join o on o.sm = m.id left join r on r.sm = m.id"""
+
+
+@query("modules", "symbols", "call_edges", sql=_MODULE_METRICS)
+def module_metrics(modules, symbols, calls):
+    return metrics.module_metrics(modules, symbols, calls)
+
+
+@query("symbols", "call_edges", sql="select s.id as symbol_id, cast(coalesce(len(c.ids), 0) as bigint) as n, cast(coalesce(list_sum(c.ids), 0) as bigint) as total from symbols s left join (select dst, list(distinct src) as ids from call_edges group by dst) c on c.dst = s.id where kind in ('Function', 'Method')")
+def a10_callers(symbols, calls):
+    ids = build.adjacency(symbols, calls)
+    return ids.select("symbol_id", F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("crates", "modules", "symbols", "files", sql="""select cast(c.n as bigint) as crates, cast(c.l as bigint) as libraries, cast(m.n as bigint) as modules, cast(s.n as bigint) as symbols, cast(s.f as bigint) as functions, cast(s.st as bigint) as structs, cast(s.tr as bigint) as traits, cast(s.u as bigint) as unsafe, cast(f.n as bigint) as files, cast(f.t as bigint) as total_lines
+from (select count(*) as n, sum(case when crate_type = 'Library' then 1 else 0 end) as l from crates) c, (select count(*) as n from modules) m,
+(select count(*) as n, sum(case when kind in ('Function', 'Method') then 1 else 0 end) as f, sum(case when kind = 'Struct' then 1 else 0 end) as st, sum(case when kind = 'Trait' then 1 else 0 end) as tr, sum(case when is_unsafe or has_unsafe_block then 1 else 0 end) as u from symbols) s,
+(select count(*) as n, sum(case when text = '' then 0 else length(text) - length(replace(text, chr(10), '')) + case when text like '%' || chr(10) then 0 else 1 end end) as t from files) f""")
+def a14_overview(crates, modules, symbols, files):
+    return views.overview(crates, modules, symbols, project.fingerprints(files))
+
+
+@query("module_edges", sql="select least(src, dst) as a, greatest(src, dst) as b, count(*) as n from module_edges group by 1, 2")
+def a17_parallel_edges(edges):
+    return views.parallel_edges(edges)
+
+
+@query("crates", "modules", "symbols", sql="""select 'Crate' as src_kind, cast(crate_id as bigint) as src_id, 'Module' as dst_kind, cast(id as bigint) as dst_id, 'Contains' as kind, cast(2 as double) as weight from modules where parent is null
+union all select 'Module', parent, 'Module', id, 'Contains', 2 from modules where parent is not null
+union all select 'Module', case when module_id % 5 = 0 then -1 else module_id end, 'Symbol', id, 'Contains', 2 from symbols""")
+def j01_contains_edges(crates, modules, symbols):
+    lost = symbols.withColumn("module_id", F.when(F.col("module_id") % 5 == 0, 1000).otherwise(F.col("module_id")))
+    return build.with_weights(build.contains_edges(crates, modules, lost))
+
+
+@query("symbols", "modules", sql="""with r as (select id as ref_id, (module_id + 1) % 25 as module_id, kind as name, id from symbols where id % 40 = 0),
+s as (select id, kind as name, module_id, visibility from symbols where id % 7 = 0 and not (kind = 'Trait')),
+p as (select id as module_id, parent as ancestor from modules where parent is not null),
+h as (select ref_id, s.id as target, 1 as tier from r join s on s.module_id = r.module_id and s.name = r.name
+union select ref_id, s.id, 3 from r join p on p.module_id = r.module_id join s on s.module_id = p.ancestor and s.name = r.name where s.visibility <> 'Private'
+union select ref_id, s.id, 4 from r join s on s.name = r.name),
+b as (select ref_id, min(tier) as tier from h group by 1)
+select r.ref_id, cast(coalesce(h.target, -1) as bigint) as target, cast(coalesce(h.tier, 0) as bigint) as tier from r left join b on b.ref_id = r.ref_id left join h on h.ref_id = b.ref_id and h.tier = b.tier""")
+def j11_name_resolution(symbols, modules):
+    refs = symbols.filter("id % 40 = 0").select(F.col("id").alias("ref_id"), ((F.col("module_id") + 1) % 25).alias("module_id"), F.col("kind").alias("name"))
+    defs = symbols.filter("id % 7 = 0 and kind <> 'Trait'").select("id", F.col("kind").alias("name"), "module_id", "visibility")
+    up = modules.filter("parent is not null").select(F.col("id").alias("module_id"), F.col("parent").alias("ancestor"))
+    none = defs.select("module_id", "name", F.col("id").alias("symbol_id")).limit(0)
+    return build.resolve(refs, defs, none, up)
+
+
+@query("crates", sql="""select 'Crate' as src_kind, cast(a.id as bigint) as src_id, 'Crate' as dst_kind, cast(b.id as bigint) as dst_id, 'DependsOn' as kind
+from crates a join crates b on b.id in ((a.id + 1) % 5, (a.id + 3) % 5) where a.id <> b.id and b.name not like '% %'""")
+def j05_depends_on(crates):
+    c = crates.withColumn("name", F.translate("name", "-", "_"))
+    names = c.select(F.col("id").alias("k"), F.translate("name", "_", "-").alias("dependency")).filter("dependency not like '% %'")
+    deps = c.select(F.col("id").alias("crate_id"), F.explode(F.array((F.col("id") + 1) % 5, (F.col("id") + 3) % 5)).alias("k"))
+    return build.depends_on_edges(c, deps.join(names, "k").select("crate_id", "dependency"))
+
+
+@query("module_edges", sql=_CLOSURE.format(e="module_edges") + "select root, node from reach where root <> node and root < 5")
+def g03_descendants(edges):
+    return graph.descendants(edges, edges.filter("src < 5").select(F.col("src").alias("node")))
+
+
+@query("module_edges", sql=_CLOSURE.format(e="module_edges") + "select node as root, root as node from reach where root <> node and node in (1, 2, 3)")
+def g04_ancestors(edges):
+    return graph.ancestors(edges, edges.filter("dst in (1, 2, 3)").select(F.col("dst").alias("node")))
+
+
+@query("sparse_edges", sql=_CLOSURE.format(e="sparse_edges") + ", k as (select node from reach where root in (select min(src) from sparse_edges) union select min(src) from sparse_edges) select distinct src, dst from sparse_edges where src in (select node from k) and dst in (select node from k)")
+def g05_reachable_subgraph(edges):
+    return graph.reachable_subgraph(edges, edges.agg(F.min("src").alias("node"))).distinct()
+
+
+@query("sparse_edges", sql="with recursive u(a, b) as (select src, dst from sparse_edges union select dst, src from sparse_edges), reach(root, node) as (select a, b from u union select root, b from reach join u on node = a) select root as node, least(root, min(node)) as component from reach group by root")
+def g06_components(edges):
+    return graph.connected_components(edges)
+
+
+@query("module_edges", sql=_CLOSURE.format(e="module_edges") + ", m as (select x.root, x.node from reach x join reach y on x.root = y.node and x.node = y.root where x.root <> x.node) select root as node, greatest(root, max(node)) as component from m group by root")
+def g07_cycles(edges):
+    return graph.strongly_connected(edges)
+
+
+@query("sparse_edges", sql="with recursive e as (select src, dst from sparse_edges where src < dst), l(node, layer) as (select src, 0 from e union select dst, layer + 1 from l join e on node = src), d as (select node, max(layer) as layer from l where layer = 0 and node not in (select dst from e) or layer > 0 group by node), f as (select x.node, max(x.layer) as layer from l x group by x.node) select node, cast(row_number() over (order by layer, node) - 1 as bigint) as position from f")
+def g08_topological_order(edges):
+    return graph.topological_order(edges.filter("src < dst"))
+
+
+@query("symbols", "call_edges", sql="select s.id as node, cast(coalesce(n, 0) as bigint) as degree from symbols s left join (select node, count(*) as n from (select src as node from call_edges union all select dst from call_edges) group by node) d on d.node = s.id")
+def g09_degree_centrality(symbols, calls):
+    return graph.degree_centrality(symbols.select(F.col("id").alias("node")), calls)
+
+
+@query("module_edges", sql="with u as (select src as a, dst as b from module_edges union select dst, src from module_edges), h1 as (select 7 as n union select b from u where a = 7), h2 as (select n from h1 union select b from u join h1 on a = n) select 7 as root, n as node from h2")
+def g10_neighborhood(edges):
+    return graph.neighborhood(edges, edges.select(F.lit(7).alias("node")).limit(1), 2)
+
+
+@query("module_edges", sql="with recursive p(path, last) as (select [cast(0 as bigint)], 0 union all select list_append(path, cast(dst as bigint)), dst from p join module_edges on src = last where (last <> 9 or len(path) = 1) and len(path) <= 5 and (dst = 9 or not list_contains(path, dst))) select array_to_string(path, '>') as path from p where last = 9 and len(path) > 1")
+def g02_simple_paths(edges):
+    return graph.simple_paths(edges, 0, 9, 5).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+@query("symbols", "modules", "call_edges", sql="""with n as (select s.id, s.name, coalesce(concat(m.path, '::', s.name), s.name) as q, s.is_unsafe, s.has_unsafe_block, s.is_extern from symbols s left join modules m on m.id = s.module_id)
+select 'UnsafeFunction' as kind, id as symbol_id, cast(null as varchar) as name from n where is_unsafe union all select 'UnsafeBlock', id, null from n where has_unsafe_block union all select 'FfiCall', id, null from n where is_extern
+union all select case when q like 'ASIA::%' then 'FilesystemAccess' else 'NetworkAccess' end, c.src, q from call_edges c join n on n.id = c.dst where q like 'ASIA::%' or q like 'EUROPE::NATION_1%'""")
+def d07_security_indicators(symbols, modules, calls):
+    return rules.security_indicators(symbols, modules, calls, {"FilesystemAccess": ["ASIA::"], "NetworkAccess": ["EUROPE::NATION_1"]})
+
+
+@query("symbols", "modules", "call_edges", sql="""with c as (select * from call_edges where dst % 5 <> 0),
+r as (select id, 'test' as rule from symbols where is_test union select id, 'no_callers' from symbols where kind = 'Function' and id not in (select dst from c))
+select id as symbol_id, string_agg(rule, ',' order by rule) as rules from r group by id""")
+def d14_entrypoints(symbols, modules, calls):
+    return rules.entrypoints(symbols, modules, calls.filter("dst % 5 <> 0"))
+
+
+@query("modules", "symbols", "call_edges", sql=_MODULE_METRICS.replace("with b as", "with b as", 1).replace("select m.id as module_id", ", mm as (select m.id as module_id", 1) + f""")
+select 'Symbol' as target_kind, cast(id as bigint) as target_id, 'LargeFunction' as kind, cast({_LINES} as bigint) as value, cast(100 as bigint) as threshold from symbols where {_LINES} > 100
+union all select 'Module', module_id, 'LargeModule', symbol_count, 55 from mm where symbol_count > 55
+union all select 'Module', module_id, 'HighFanIn', fan_in, 20 from mm where fan_in > 20 union all select 'Module', module_id, 'HighFanOut', fan_out, 15 from mm where fan_out > 15""")
+def d20_complexity_flags(modules, symbols, calls):
+    return metrics.complexity_flags(metrics.symbol_metrics(symbols, calls), metrics.module_metrics(modules, symbols, calls), {"LargeModule": 55})
+
+
+@query("modules", "symbols", "call_edges", "module_edges")
+def d24_structural_findings(modules, symbols, calls, edges):
+    return rules.structural_findings(metrics.module_metrics(modules, symbols, calls), edges)
+
+
+@query("symbols", "call_edges", sql="select c.src, c.dst from call_edges c join symbols a on a.id = c.src join symbols b on b.id = c.dst where a.kind <> 'Trait' and b.kind <> 'Trait' and not a.is_test and not b.is_test and a.visibility <> 'Private' and b.visibility <> 'Private'")
+def f09_visible_edges(symbols, calls):
+    return views.visible_edges(calls, views.visible_nodes(symbols, ["Trait"], ["Private"])).select("src", "dst")
+
+
+@query("files", sql="""with b as (select path, case when id % 7 = 0 then 'x' else sha256(coalesce(text, '')) end as old from files where id % 10 <> 0), c as (select path, sha256(coalesce(text, '')) as new from files where id % 11 <> 0)
+select coalesce(b.path, c.path) as path, case when old is null then 'added' when new is null then 'removed' when old <> new then 'modified' else 'unchanged' end as status from b full join c on b.path = c.path""")
+def x50_change_set(files):
+    f = project.fingerprints(files)
+    old = f.filter("id % 10 <> 0").select("path", F.when(F.col("id") % 7 == 0, "x").otherwise(F.col("hash")).alias("hash"))
+    return diff.change_set(old, f.filter("id % 11 <> 0").select("path", "hash"))
+
+
+@query("files", sql="""with b as (select id % 50 as rule, id % 9 as loc, id % 3 as line from files where id % 4 <> 0), c as (select id % 50 as rule, id % 9 as loc, id % 3 + 1 as line from files where id % 6 <> 0),
+lc as (select * from c where not exists (select 1 from b where b.rule = c.rule and b.loc = c.loc and b.line = c.line)), lb as (select * from b where not exists (select 1 from c where b.rule = c.rule and b.loc = c.loc and b.line = c.line)),
+u as (select c.*, 'unchanged' as state from c where exists (select 1 from b where b.rule = c.rule and b.loc = c.loc and b.line = c.line)
+union all select lc.*, case when exists (select 1 from lb where lb.rule = lc.rule and lb.loc = lc.loc) then 'unchanged' else 'new' end from lc
+union all select lb.*, 'fixed' from lb where not exists (select 1 from lc where lb.rule = lc.rule and lb.loc = lc.loc))
+select state, count(*) as n from u group by state""")
+def x52_regression(files):
+    old = files.filter("id % 4 <> 0").select((F.col("id") % 50).alias("rule"), (F.col("id") % 9).alias("loc"), (F.col("id") % 3).alias("line"))
+    new = files.filter("id % 6 <> 0").select((F.col("id") % 50).alias("rule"), (F.col("id") % 9).alias("loc"), (F.col("id") % 3 + 1).alias("line"))
+    return diff.regression(old, new, ["rule", "loc", "line"], ["rule", "loc"]).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("symbols", "call_edges", sql="select symbol_id, fan_in from (select s.id as symbol_id, coalesce(n, 0) as fan_in, row_number() over (order by coalesce(n, 0) desc, s.id) as r from symbols s left join (select dst, count(distinct src) as n from call_edges group by dst) i on i.dst = s.id) where r <= 20")
+def x19_hotspots(symbols, calls):
+    return views.hotspots(metrics.fans(symbols, calls).select("symbol_id", "fan_in"), "fan_in")
