@@ -28,9 +28,14 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, lost executors cost no recomputation."""
+def materialize(df: DataFrame, label: str = "table", rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there, lost executors cost no recomputation.
+
+    With ``rows``, about how many there are, loops over small tables write a file per 20,000 rows, not one per partition.
+    """
     path = new_dir(df.sparkSession, label)
+    if rows is not None:
+        df = df.coalesce(rows // 20_000 + 2)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
