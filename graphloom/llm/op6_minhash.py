@@ -3,12 +3,13 @@
 Words are runs of ASCII letters (lower-cased), digits and non-ASCII bytes; a shingle is five of them.  Its weight is
 (1 + ln tf) times the mean idf of its words.  idf comes from the document frequencies of 2**18 word hashes over all
 documents and lies between 1 and 1.5: shingle frequencies themselves would give the shared text of a large group of
-copies next to no weight, and so hide the group.  Each of 30 samples picks one (shingle, level) of a document such
-that two documents agree with the probability of their weighted Jaccard similarity; ten bands of three make buckets.
+copies next to no weight, and so hide the group.  Each of 80 samples picks one (shingle, level) of a document such
+that two documents agree with the probability of their weighted Jaccard similarity; 16 bands of five make buckets, so
+a pair of similarity 0.8 shares one with probability 0.998.
 
-Documents of equal words are one class from the start.  In every bucket all classes are compared with the one of the
-least document; those that differ from it are compared among themselves in the next round, until none is left.  So a
-bucket of one group costs as many comparisons as members, whatever its size, and no bucket is capped.  Links
+Documents of equal words are one class from the start.  In every bucket all classes are compared with a leader; those
+that differ from it are compared with new leaders of their own in the next round (a few at once, later), until none is
+left.  So a bucket of one group costs as many comparisons as members, whatever its size, and no bucket is capped.  Links
 (weighted Jaccard of at least 0.8, from the whole texts) go through connected components.
 
 Cases: null, empty and wordless texts: each its own group.  Fewer than five words: the words are one shingle.  Null
@@ -28,11 +29,12 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
 
-from .common import WORDS, id_and_text, materialize, read_table, rows_to_batch, small_batches
+from .common import WORDS, id_and_text, materialize, new_dir, read_table, rows_to_batch, small_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 10, 3
+BANDS, ROWS = 16, 5
+LEADERS = (1, 8, 64)  # of a bucket in the first, the second and every later round
 IDF_BUCKETS = 1 << 18
 RARE = 1000  # words in fewer than one document of so many weigh alike
 
@@ -212,22 +214,29 @@ def links(docs: DataFrame, signed: DataFrame, idf, threshold: float = SIMILARITY
     needed = active.select("ckey").distinct().join(materialize(first, "classes"), "ckey")
     keyed = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "text").join(needed, "doc")
     texts = materialize(_one_text(keyed), "texts")
-    found, done = [], spark.createDataFrame([], "a binary, b binary, similar boolean")
-    while not active.isEmpty():
-        leaders = materialize(active.groupBy("band", "key").agg(F.min("ckey").alias("a")), "leaders")
-        led = materialize(active.join(leaders, ["band", "key"]).filter("ckey <> a").withColumnRenamed("ckey", "b"), "led")
-        pairs = led.select("a", "b").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
-        judged = materialize(verify(pairs, texts, idf, threshold), "judged")
-        found.append(judged.filter("similar").select("a", "b"))
-        done = done.unionByName(judged)
-        apart = done.filter("not similar").select("a", "b")
-        rest = led.join(apart, ["a", "b"], "left_semi").select("band", "key", F.col("b").alias("ckey"))
-        again = materialize(rest.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "buckets")
-        active = materialize(rest.join(again, ["band", "key"]), "bucket-rows")
-    out = spark.createDataFrame([], "a binary, b binary")
-    for f in found:
-        out = out.unionByName(f)
-    return out
+    judged_dir, pair_type = new_dir(spark, "judged"), "a binary, b binary, similar boolean"
+    spark.createDataFrame([], pair_type).write.parquet(f"{judged_dir}/0")
+    rounds = 0
+    while n := active.count():
+        salts = LEADERS[min(rounds, len(LEADERS) - 1)]
+        leaders = active.groupBy("band", "key", F.pmod(F.xxhash64("ckey"), F.lit(salts)).alias("salt")).agg(F.min("ckey").alias("a"))
+        led = materialize(active.join(materialize(leaders, "leaders", n), ["band", "key"]).select("band", "key", "ckey", "a"), "led", n)
+        done = spark.read.schema(pair_type).parquet(*[f"{judged_dir}/{i}" for i in range(rounds + 1)])
+        pairs = led.filter("ckey <> a").select(F.least("a", "ckey").alias("a"), F.greatest("a", "ckey").alias("b")).distinct()
+        new = materialize(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs", n)
+        verify(new, texts, idf, threshold).write.parquet(f"{judged_dir}/{rounds + 1}")
+        rounds += 1
+        done = spark.read.schema(pair_type).parquet(*[f"{judged_dir}/{i}" for i in range(rounds + 1)])
+        # a class stays if it is no leader of its bucket and like none of them
+        linked = done.filter("similar").select("a", "b")
+        both_ways = linked.union(linked.select("b", "a").toDF("a", "b"))
+        met = led.join(both_ways.select(F.col("a").alias("ckey"), F.col("b").alias("a"), F.lit(True).alias("alike")), ["ckey", "a"], "left")
+        state = met.groupBy("band", "key", "ckey").agg(F.max(F.coalesce("alike", F.col("ckey") == F.col("a"))).alias("settled"))
+        rest = materialize(state.filter("not settled").drop("settled"), "rest", n)
+        again = materialize(rest.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "buckets", n)
+        active = materialize(rest.join(again, ["band", "key"]), "bucket-rows", n)
+    done = spark.read.schema(pair_type).parquet(*[f"{judged_dir}/{i}" for i in range(rounds + 1)])
+    return done.filter("similar").select("a", "b")
 
 
 def _one_text(keyed: DataFrame) -> DataFrame:
