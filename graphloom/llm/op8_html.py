@@ -20,7 +20,7 @@ import html as htmllib
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,9 +136,10 @@ def repeated(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:
     length = 1
     while length < run:
         step = min(length, run - length)
-        after = np.concatenate([rank[step:], np.arange(-step, 0)])
-        after[: len(rank) - step][page[step:] != page[:-step]] = -1
-        _, rank = np.unique((rank + 1) * (int(max(after.max(), rank.max())) + run + 2) + after + run, return_inverse=True)
+        after = np.full(len(rank), -1)  # behind a page's end
+        if len(rank) > step:
+            after[:-step] = np.where(page[step:] == page[:-step], rank[step:], -1)
+        _, rank = np.unique(rank * (int(rank.max()) + 2) + after + 1, return_inverse=True)
         length += step
     n = len(rank)
     end = np.cumsum(np.array(sizes, np.int64) + 1) - 1
@@ -184,18 +185,18 @@ def extract_group(pages: list[str | None]) -> list[str]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text."""
-    rows = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), "url", "html", F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[^/:?#]+:)?//([^/?#]*)", 1), F.lit(""))).alias("host"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[^/:?#]+:)?//([^/?#]*)", 1), F.lit(""))).alias("host"))
     sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.coalesce(F.length("html"), F.lit(0))) / GROUP_BYTES).alias("parts")).filter("parts > 1")
     # only large hosts have a row here; Spark broadcasts the table while it is small and splits hot hosts otherwise
     joined = rows.join(materialize(sizes, "hosts"), "host", "left")
     dealt = joined.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("page_id", kind="stable")
-        texts = extract_group([None if h is None else h for h in group["html"]])
-        return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": texts})
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("page_id", "ascending"), ("url", "ascending")])
+        texts = extract_group(group.column("html").to_pylist())
+        return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(texts, pa.string())})
 
-    return dealt.select("host", "part", "page_id", "url", "html").groupBy("host", "part").applyInPandas(run, "page_id string, url string, text string").withColumn("page_id", F.col("page_id").cast("long"))
+    return dealt.select("host", "part", "page_id", "url", "html").groupBy("host", "part").applyInArrow(run, "page_id long, url string, text string")
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
