@@ -224,7 +224,7 @@ def links(docs: DataFrame, signed: DataFrame, idf, threshold: float = SIMILARITY
         done = spark.read.schema(pair_type).parquet(*[f"{judged_dir}/{i}" for i in range(rounds + 1)])
         pairs = led.filter("ckey <> a").select(F.least("a", "ckey").alias("a"), F.greatest("a", "ckey").alias("b")).distinct()
         new = materialize(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs", n)
-        verify(new, texts, idf, threshold).write.parquet(f"{judged_dir}/{rounds + 1}")
+        verify(new, texts, idf, threshold).coalesce(24 + new.count() // 1000).write.parquet(f"{judged_dir}/{rounds + 1}")
         rounds += 1
         done = spark.read.schema(pair_type).parquet(*[f"{judged_dir}/{i}" for i in range(rounds + 1)])
         # a class stays if it is no leader of its bucket and like none of them
