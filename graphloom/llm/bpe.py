@@ -110,6 +110,9 @@ class Transducer:
         return [i for p in self.splitter.pieces(text) for i in self.encode_piece(p)]
 
 
+Utf8Machine = codecs.getincrementaldecoder("utf-8")
+
+
 class Decoder:
     """Incremental ids-to-text machine.
 
@@ -123,16 +126,16 @@ class Decoder:
         self.reset()
 
     def reset(self) -> None:
-        self.machine, self.begun = codecs.getincrementaldecoder("utf-8")("replace"), False
-
-    def feed(self, ids: Iterable[int]) -> str:
-        out = []
-        for i in ids:
-            if self.begun:
-                out.append(self.machine.decode(b" "))
-            self.begun = True
-            out.append(self.machine.decode(self.raw[i]))
-        return "".join(out)
+        self.machine, self.begun = Utf8Machine("replace"), False
+
+    def feed(self, ids: list[int]) -> str:
+        if not ids:
+            return ""
+        data = b" ".join([self.raw[i] for i in ids])
+        if self.begun:
+            data = b" " + data
+        self.begun = True
+        return self.machine.decode(data)
 
     def finish(self) -> str:
         return self.machine.decode(b"", True)
