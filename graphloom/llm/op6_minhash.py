@@ -99,23 +99,35 @@ def shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Band keys (documents x BANDS) of non-empty weighted sets."""
+    """Band keys (documents x BANDS) of non-empty weighted sets.
+
+    Shingle hashes are mixed already, so the three random numbers of a sample are 16-bit lanes of one product with an odd
+    number of that sample.
+    """
     size = np.array([len(h) for h, _ in sets])
     begin = np.cumsum(size) - size
     h = np.concatenate([h for h, _ in sets])
     logw = np.log(np.concatenate([w for _, w in sets])).astype(np.float32)
     keys = np.zeros((len(sets), BANDS), np.uint64)
     doc = np.repeat(np.arange(len(sets)), size)
+    x, lanes = np.empty_like(h), np.empty((4, len(h)), np.uint16)
+    r, a, t, beta = (np.empty(len(h), np.float32) for _ in range(4))
     for d, seed in enumerate(_SEED):
-        x = _mix(h ^ seed)
-        r = _GAMMA[(x & np.uint64(0xFFFF)).astype(np.int64)]
-        c = _LOG_GAMMA[((x >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64)]
-        beta = ((x >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.float32) / np.float32(65536)
-        t = np.floor(logw / r + beta)
-        a = c - r * (t - beta) - r
+        np.multiply(h, seed | np.uint64(1), out=x)
+        lanes[1:] = x.view(np.uint16).reshape(-1, 4).T[1:]  # the lowest lane is the least mixed
+        np.take(_GAMMA, lanes[3], out=r, mode="clip")
+        np.take(_LOG_GAMMA, lanes[2], out=a, mode="clip")
+        np.multiply(lanes[1], np.float32(1 / 65536), out=beta)
+        np.divide(logw, r, out=t)
+        t += beta
+        np.floor(t, out=t)
+        beta -= t
+        beta -= 1
+        beta *= r
+        a += beta  # ln c - r (t - beta) - r
         least = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, begin), size))
-        _, first = np.unique(doc[least], return_index=True)
-        pick = least[first]
+        owner = doc[least]
+        pick = least[np.r_[True, owner[1:] != owner[:-1]]]  # the smaller shingle hash of a tie, as they are sorted
         band = d // ROWS
         keys[:, band] = _mix(keys[:, band] + h[pick] + t[pick].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return keys.view(np.int64)
