@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.plans.shared import materialize
 
 
-def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large star: every larger neighbour of a node is linked to the node's least neighbour (or itself).
     Small star: the same for the smaller neighbours and the node itself."""
     if large:
@@ -16,7 +16,7 @@ def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     # a node's least neighbour by a hash aggregate with map-side combining, then a join that splits hot nodes
-    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least", rows)
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     linked = both.join(least, "u")
     if large:
         out = linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     now = materialize(raw.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     before, rows = None, raw.count()
     while True:
-        now = materialize(_star(materialize(_star(now, True, rows), "stars", rows), False, rows), "stars", rows)
+        now = materialize(_star(materialize(_star(now, True), "stars", rows), False), "stars", rows)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == (state["n"], state["h"]):
             break
