@@ -216,39 +216,44 @@ def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similar boolean")
 
 
-def links(docs: DataFrame, signed: DataFrame, idf, threshold: float = SIMILARITY) -> DataFrame:
-    """Links between classes: a, b."""
+def distinct_classes(signed: DataFrame) -> DataFrame:
+    """ckey, least (doc_id), doc (a doc_id that has the text; the least number for null), keys of every class with words."""
+    doc = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    return signed.filter("ckey is not null").groupBy("ckey").agg(F.min("doc_id").alias("least"), F.min(doc).alias("doc"), F.first("keys").alias("keys"))
+
+
+def links(docs: DataFrame, classes: DataFrame, idf, threshold: float = SIMILARITY) -> DataFrame:
+    """Links between classes: a, b.  Each round is three written tables, whatever the number of buckets."""
     spark = docs.sparkSession
-    first = signed.filter("ckey is not null").groupBy("ckey").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc"))
-    rows = signed.filter("ckey is not null").select("ckey", F.posexplode("keys").alias("band", "key")).groupBy("band", "key", "ckey").agg(F.lit(1).alias("one")).drop("one")
-    sizes = materialize(rows.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "buckets")
-    active = materialize(rows.join(sizes, ["band", "key"]), "bucket-rows")
-    needed = active.select("ckey").distinct().join(materialize(first, "classes"), "ckey")
+    rows = classes.select("ckey", F.posexplode("keys").alias("band", "key"))
+    shared = rows.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    active = materialize(rows.join(shared, ["band", "key"]), "bucket-rows")
+    needed = active.select("ckey").distinct().join(classes.select("ckey", "doc"), "ckey")
     keyed = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "text").join(needed, "doc")
     texts = materialize(_one_text(keyed), "texts")
     judged_dir, pair_type = new_dir(spark, "judged"), "a binary, b binary, similar boolean"
     spark.createDataFrame([], pair_type).write.parquet(f"{judged_dir}/0")
+
+    def judged(rounds: int) -> DataFrame:
+        return spark.read.schema(pair_type).parquet(*[f"{judged_dir}/{i}" for i in range(rounds + 1)])
+
     rounds = 0
-    while n := active.count():
+    # rows of buckets that have others to compare with; a row alone in its bucket is done
+    while n := active.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]:
         salts = LEADERS[min(rounds, len(LEADERS) - 1)]
         leaders = active.groupBy("band", "key", F.pmod(F.xxhash64("ckey"), F.lit(salts)).alias("salt")).agg(F.min("ckey").alias("a"))
-        led = materialize(active.join(materialize(leaders, "leaders", n), ["band", "key"]).select("band", "key", "ckey", "a"), "led", n)
-        done = spark.read.schema(pair_type).parquet(*[f"{judged_dir}/{i}" for i in range(rounds + 1)])
+        led = materialize(active.join(leaders, ["band", "key"]).select("band", "key", "ckey", "a"), "led", n)
         pairs = led.filter("ckey <> a").select(F.least("a", "ckey").alias("a"), F.greatest("a", "ckey").alias("b")).distinct()
-        new = materialize(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs", n)
-        verify(new, texts, idf, threshold).coalesce(24 + new.count() // 1000).write.parquet(f"{judged_dir}/{rounds + 1}")
+        new = pairs.join(judged(rounds).select("a", "b"), ["a", "b"], "left_anti")
+        verify(new, texts, idf, threshold).coalesce(24 + n // 1000).write.parquet(f"{judged_dir}/{rounds + 1}")
         rounds += 1
-        done = spark.read.schema(pair_type).parquet(*[f"{judged_dir}/{i}" for i in range(rounds + 1)])
         # a class stays if it is no leader of its bucket and like none of them
-        linked = done.filter("similar").select("a", "b")
+        linked = judged(rounds).filter("similar").select("a", "b")
         both_ways = linked.union(linked.select("b", "a").toDF("a", "b"))
         met = led.join(both_ways.select(F.col("a").alias("ckey"), F.col("b").alias("a"), F.lit(True).alias("alike")), ["ckey", "a"], "left")
         state = met.groupBy("band", "key", "ckey").agg(F.max(F.coalesce("alike", F.col("ckey") == F.col("a"))).alias("settled"))
-        rest = materialize(state.filter("not settled").drop("settled"), "rest", n)
-        again = materialize(rest.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "buckets", n)
-        active = materialize(rest.join(again, ["band", "key"]), "bucket-rows", n)
-    done = spark.read.schema(pair_type).parquet(*[f"{judged_dir}/{i}" for i in range(rounds + 1)])
-    return done.filter("similar").select("a", "b")
+        active = materialize(state.filter("not settled").drop("settled"), "bucket-rows", n)
+    return judged(rounds).filter("similar").select("a", "b")
 
 
 def _one_text(keyed: DataFrame) -> DataFrame:
@@ -267,11 +272,11 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = SIMILARITY) -> Dat
     docs = id_and_text(docs)
     idf = docs.sparkSession.sparkContext.broadcast(idf_table(docs))
     signed = materialize(sign(docs, idf), "signed")
-    classes = materialize(signed.filter("ckey is not null").groupBy("ckey").agg(F.min("doc_id").alias("least")), "classes")
-    parts = connected_components(links(docs, signed, idf, threshold), "a", "b")
-    grouped = materialize(classes.join(parts.withColumnRenamed("node", "ckey"), "ckey", "left").select("ckey", "least", F.coalesce("component", "ckey").alias("component")), "grouped")
-    heads = materialize(grouped.groupBy("component").agg(F.min("least").alias("class_id")), "heads")
-    ids = materialize(grouped.join(heads, "component").select("ckey", "class_id"), "class-ids")
+    classes = materialize(distinct_classes(signed), "classes")
+    parts = connected_components(links(docs, classes, idf, threshold), "a", "b")
+    grouped = materialize(classes.select("ckey", "least").join(parts.withColumnRenamed("node", "ckey"), "ckey", "left").select("ckey", "least", F.coalesce("component", "ckey").alias("component")), "grouped")
+    heads = grouped.groupBy("component").agg(F.min("least").alias("class_id"))
+    ids = grouped.join(heads, "component").select("ckey", "class_id")
     named = signed.filter("ckey is not null").select("doc_id", "ckey").join(ids, "ckey").select("doc_id", "class_id")
     alone = signed.filter("ckey is null").select("doc_id", F.col("doc_id").alias("class_id"))
     return named.unionByName(alone)
