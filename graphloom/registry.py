@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import build, diff, graph, metrics, rules, views
+from graphloom.operators import build, diff, graph, metrics, passes, rules, views
 from graphloom.plans.binding import bind, with_model
 from graphloom.sources import project
 
@@ -238,3 +238,95 @@ def x52_regression(files):
 @query("symbols", "call_edges", sql="select symbol_id, fan_in from (select s.id as symbol_id, coalesce(n, 0) as fan_in, row_number() over (order by coalesce(n, 0) desc, s.id) as r from symbols s left join (select dst, count(distinct src) as n from call_edges group by dst) i on i.dst = s.id) where r <= 20")
 def x19_hotspots(symbols, calls):
     return views.hotspots(metrics.fans(symbols, calls).select("symbol_id", "fan_in"), "fan_in")
+
+
+def _module_names(modules):
+    return modules.select(F.col("id").alias("node"), "name")
+
+
+@query("module_edges", "modules", sql="""with recursive p(path, last) as (select [cast(id as bigint)], id from modules where id % 6 = 0
+union all select list_append(path, cast(dst as bigint)), dst from p join module_edges on src = last where len(path) <= 6 and (len(path) = 1 or last % 7 <> 3) and not list_contains(path, cast(dst as bigint))),
+f as (select path, len(path) - 1 as n from p where len(path) > 1 and last % 7 = 3),
+i as (select x.path, max(case when regexp_matches(name, '[258]$') then 1 else 0 end) as clean, max(case when regexp_matches(name, '[28]$') then 1 else 0 end) as weak from (select path, unnest(path[2:len(path) - 1]) as node from f) x join modules m on m.id = x.node group by x.path)
+select array_to_string(f.path, '>') as path, cast(n as bigint) as n_edges, case when coalesce(clean, 0) = 1 then 'Medium' else 'High' end as severity,
+case (case when n > 5 then 1 else 0 end) + coalesce(weak, 0) when 0 then 'High' when 1 then 'Medium' else 'Low' end as confidence from f left join i on i.path = f.path""")
+def x08_taint_paths(edges, modules):
+    names = _module_names(modules)
+    found = passes.paths_between(edges, names.filter("node % 6 = 0"), names.filter("node % 7 = 3"), 6)
+    out = passes.taint_findings(found, names, "[258]$", "[28]$")
+    return out.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
+
+
+@query("module_edges", "modules", sql=_CLOSURE.format(e="module_edges") + """select m.id as node, case when parent is null then 'High' else 'Medium' end as severity from modules m
+where m.id not in (select root from reach join modules g on g.id = node where root <> node and regexp_matches(g.name, '(11|17)$'))""")
+def x12_missing_guards(edges, modules):
+    return passes.missing_guards(edges, modules.select(F.col("id").alias("node"), F.col("parent").isNull().alias("external")), _module_names(modules), "(11|17)$")
+
+
+@query("module_edges", "modules", sql="""with recursive g as (select id from modules where regexp_matches(name, '[13]$')), e as (select src, dst from module_edges where src not in (select id from g) and dst not in (select id from g)),
+reach(root, node) as (select src, dst from e union select root, dst from reach join e on node = src)
+select root, node from reach join modules m on m.id = node where root <> node and root % 4 = 0 and regexp_matches(name, '[02]$')""")
+def x13_unguarded_operations(edges, modules):
+    names = _module_names(modules)
+    return passes.unguarded_operations(edges, names.filter("node % 4 = 0").select("node"), names, "[13]$", "[02]$")
+
+
+@query("symbols", "modules", "call_edges", sql="""with n as (select s.id, coalesce(concat(m.path, '::', s.name), s.name) as q from symbols s left join modules m on m.id = s.module_id),
+k as (select id, case when q like 'ASIA::%' then 'DbQuery' when q like '%1' then 'Lock' end as t from n)
+select src as node, t as cost_type, cast(sum(case t when 'DbQuery' then 10 else 2 end) as double) as cost from call_edges join k on k.id = dst where t is not null group by 1, 2""")
+def x15_direct_costs(symbols, modules, calls):
+    paths = modules.select(F.col("id").alias("module_id"), "path")
+    names = symbols.join(paths, "module_id", "left").select(F.col("id").alias("node"), F.coalesce(F.concat("path", F.lit("::"), "name"), "name").alias("name"))
+    return passes.direct_costs(calls, names, {"DbQuery": "^ASIA::", "Lock": "1$"})
+
+
+@query("sparse_edges", sql="""with recursive e as (select distinct src, dst from sparse_edges where src < dst), n as (select src as node from e union select dst from e),
+p(root, node) as (select node, node from n union all select root, dst from p join e on src = node)
+select root as node, cast(sum(node % 7) as double) as total from p group by root""")
+def x17_total_costs(edges):
+    e = edges.filter("src < dst")
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return passes.total_costs(e, nodes.select("node", (F.col("node") % 7).cast("double").alias("cost")))
+
+
+@query("module_edges", "modules", sql="""with l as (select id, case when path like 'AFRICA%' or path like 'AMERICA%' then 0 when path like 'ASIA%' then 1 when path like 'EUROPE%' then 2 end as layer from modules)
+select src, dst, a.layer as src_layer, b.layer as dst_layer from module_edges join l a on a.id = src join l b on b.id = dst where b.layer < a.layer""")
+def x20_layer_violations(edges, modules):
+    return passes.layer_violations(edges, modules, [["AFRICA", "AMERICA"], ["ASIA"], ["EUROPE"]])
+
+
+@query("modules", "symbols", "call_edges", sql=_MODULE_METRICS.replace("select m.id as module_id", ", mm as (select m.id as module_id", 1) + ") select module_id from mm where symbol_count >= 60 and coupling_score >= 30 or fan_out >= 25 or cohesion < 0.04")
+def x21_god_modules(modules, symbols, calls):
+    return passes.god_modules(metrics.module_metrics(modules, symbols, calls), 60, 30.0, 25, 0.04)
+
+
+@query("module_edges", "modules", sql=_CLOSURE.format(e="module_edges") + "select id as node, case when id in (2, 3) or id in (select node from reach where root in (2, 3)) then 'Public' else 'Internal' end as reachability from modules")
+def x30_reachability(edges, modules):
+    nodes = modules.select(F.col("id").alias("node"))
+    return passes.reachability(nodes, edges, nodes.filter("node in (2, 3)"))
+
+
+@query("symbols", "call_edges", sql="""with f as (select s.id, case when id % 3 = 0 then 'security/taint/ssrf' when id % 3 = 1 then 'quality/complexity/large' else 'other' end as rule_id, case when is_unsafe then 'Critical' else 'Low' end as severity, case when is_test then 'Low' else 'High' end as confidence,
+case when visibility = 'Public' then 'Public' else 'Internal' end as r, coalesce(n, 0) as fan_in from symbols s left join (select dst, count(distinct src) as n from call_edges group by dst) i on i.dst = s.id)
+select id, round(100 * (case r when 'Public' then 0.25 else 0.125 end + 0.2 * case id % 3 when 0 then 0.8 when 1 then 0.2 else 0 end + 0.15 * least(1, (id % 90) / 50.0) + 0.15 * least(1, fan_in / 20.0) + 0.15 * case confidence when 'Low' then 0.3 else 1 end + 0.1 * case severity when 'Critical' then 1 else 0.3 end), 2) as score from f""")
+def x31_scores(symbols, calls):
+    fans = metrics.fans(symbols, calls).select(F.col("symbol_id").alias("id"), "fan_in")
+    rule = F.when(F.col("id") % 3 == 0, "security/taint/ssrf").when(F.col("id") % 3 == 1, "quality/complexity/large").otherwise("other")
+    found = symbols.select("id", rule.alias("rule_id"), F.when(F.col("is_unsafe"), "Critical").otherwise("Low").alias("severity"), F.when(F.col("is_test"), "Low").otherwise("High").alias("confidence"), F.when(F.col("visibility") == "Public", "Public").otherwise("Internal").alias("reachability"), (F.col("id") % 90).alias("total_cost"))
+    return passes.factor_scores(found.join(fans, "id")).select("id", F.round(rules.total_score(), 2).alias("score"))
+
+
+@query("symbols", sql=f"""select 'quality/size/long' as rule_id, 'Medium' as severity, id as target from symbols where {_LINES} > 100
+union all select 'security/name/supplier', 'Low', id from symbols where name like 'Supplier%' union all select 'style/name/nine', 'Info', id from symbols where regexp_matches(name, '9$')""")
+def x35_rules(symbols):
+    found = passes.RuleRegistry(
+        [
+            {"id": "quality/size/long", "category": "Quality", "severity": "Medium", "field": "line_count", "op": "Gt", "value": 100},
+            {"id": "security/name/supplier", "category": "Security", "severity": "Low", "field": "name", "op": "Prefix", "value": "Supplier"},
+            {"id": "style/name/nine", "category": "Style", "severity": "Info", "field": "name", "op": "Regex", "value": "9$"},
+            {"id": "style/name/all", "category": "Style", "severity": "Info", "field": "name", "op": "Contains", "value": ""},
+        ]
+    )
+    found.set_enabled("style/name/all", False)
+    lines = F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(1))
+    return found.evaluate(symbols.withColumn("line_count", lines), "id")
