@@ -2,9 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom import registry
-from graphloom.operators import graph, metrics, rules
+from graphloom.operators import graph, metrics, passes, rules
 from graphloom.sources import project
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +93,27 @@ def test_sources():
     with pytest.raises(ValueError):
         project.parse_manifest("[dependencies]")
     assert project.crate_targets("p", {"src/lib.rs", "src/main.rs"}, m["bins"]) == [("p", "Library"), ("p", "Binary"), ("t", "Binary")]
+
+
+def test_passes(spark):
+    e = edges(spark, (1, 2), (2, 3), (3, 2), (3, 4), (5, 4), (6, 6), (None, 1))
+    cost = spark.createDataFrame([(2, 1.0), (3, 2.0), (4, 5.0), (7, 9.0)], "node long, cost double")
+    assert pairs(passes.total_costs(e, cost)) == [(1, 8.0), (2, 8.0), (3, 8.0), (4, 5.0), (5, 5.0), (7, 9.0)]
+    names = spark.createDataFrame([(1, "get"), (2, "validate_it"), (3, "encode"), (4, "delete_row"), (5, None)], "node long, name string")
+    start, end = names.filter("node in (1, 5)").select("node"), names.filter("node = 4").select("node")
+    found = passes.taint_findings(passes.paths_between(e, start, end), names)
+    assert sorted(map(tuple, found.collect())) == [([1, 2, 3, 4], 3, "Medium", "Medium"), ([5, 4], 1, "High", "High")]
+    assert passes.paths_between(e, start.limit(0), end).count() == 0
+    entry = start.withColumn("external", F.lit(True))
+    assert pairs(passes.missing_guards(e, entry, names, "encode")) == [(5, "High")]
+    assert pairs(passes.unguarded_operations(e, entry, names, "encode")) == [(5, 4)]
+
+
+def test_rule_registry(spark):
+    reg = passes.RuleRegistry([{"id": f"r/{op}", "category": "c", "severity": "Low", "field": f, "op": op, "value": v} for op, f, v in (("Gte", "n", 2), ("Lt", "n", 2), ("Eq", "n", 3), ("Lte", "n", 1), ("Exact", "s", "ab"), ("Contains", "s", "b"), ("Prefix", "s", "b"))])
+    df = spark.createDataFrame([(1, 1, "ab"), (2, 3, "b"), (3, None, None)], "id long, n long, s string")
+    got = sorted((r["rule_id"], r["target"]) for r in reg.evaluate(df, "id").collect())
+    assert got == [("r/Contains", 1), ("r/Contains", 2), ("r/Eq", 2), ("r/Exact", 1), ("r/Gte", 2), ("r/Lt", 1), ("r/Lte", 1), ("r/Prefix", 2)]
+    reg.set_enabled("r/Eq", False)
+    assert len(reg.enabled()) == 6 and reg.enabled("other") == []
+    assert passes.RuleRegistry().evaluate(df, "id").count() == 0
