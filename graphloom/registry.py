@@ -245,14 +245,14 @@ def _module_names(modules):
 
 
 @query("module_edges", "modules", sql="""with recursive p(path, last) as (select [cast(id as bigint)], id from modules where id % 6 = 0
-union all select list_append(path, cast(dst as bigint)), dst from p join module_edges on src = last where len(path) <= 6 and (len(path) = 1 or last % 7 <> 3) and not list_contains(path, cast(dst as bigint))),
-f as (select path, len(path) - 1 as n from p where len(path) > 1 and last % 7 = 3),
+union all select list_append(path, cast(dst as bigint)), dst from p join module_edges on src = last where len(path) <= 6 and (len(path) = 1 or last % 7 not in (3, 6)) and not list_contains(path, cast(dst as bigint))),
+f as (select path, len(path) - 1 as n from p where len(path) > 1 and last % 7 in (3, 6)),
 i as (select x.path, max(case when regexp_matches(name, '[258]$') then 1 else 0 end) as clean, max(case when regexp_matches(name, '[28]$') then 1 else 0 end) as weak from (select path, unnest(path[2:len(path) - 1]) as node from f) x join modules m on m.id = x.node group by x.path)
 select array_to_string(f.path, '>') as path, cast(n as bigint) as n_edges, case when coalesce(clean, 0) = 1 then 'Medium' else 'High' end as severity,
 case (case when n > 5 then 1 else 0 end) + coalesce(weak, 0) when 0 then 'High' when 1 then 'Medium' else 'Low' end as confidence from f left join i on i.path = f.path""")
 def x08_taint_paths(edges, modules):
     names = _module_names(modules)
-    found = passes.paths_between(edges, names.filter("node % 6 = 0"), names.filter("node % 7 = 3"), 6)
+    found = passes.paths_between(edges, names.filter("node % 6 = 0"), names.filter("node % 7 in (3, 6)"), 6)
     out = passes.taint_findings(found, names, "[258]$", "[28]$")
     return out.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
 
@@ -265,10 +265,10 @@ def x12_missing_guards(edges, modules):
 
 @query("module_edges", "modules", sql="""with recursive g as (select id from modules where regexp_matches(name, '[13]$')), e as (select src, dst from module_edges where src not in (select id from g) and dst not in (select id from g)),
 reach(root, node) as (select src, dst from e union select root, dst from reach join e on node = src)
-select root, node from reach join modules m on m.id = node where root <> node and root % 4 = 0 and regexp_matches(name, '[02]$')""")
+select root, node from reach join modules m on m.id = node where root <> node and root % 4 = 0 and regexp_matches(name, '[0269]$')""")
 def x13_unguarded_operations(edges, modules):
     names = _module_names(modules)
-    return passes.unguarded_operations(edges, names.filter("node % 4 = 0").select("node"), names, "[13]$", "[02]$")
+    return passes.unguarded_operations(edges, names.filter("node % 4 = 0").select("node"), names, "[13]$", "[0269]$")
 
 
 @query("symbols", "modules", "call_edges", sql="""with n as (select s.id, coalesce(concat(m.path, '::', s.name), s.name) as q from symbols s left join modules m on m.id = s.module_id),
