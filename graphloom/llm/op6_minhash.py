@@ -34,7 +34,7 @@ from .common import WORDS, id_and_text, materialize, new_dir, read_table, rows_t
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 5
-LEADERS = (1, 8, 64)  # of a bucket in the first, the second and every later round
+LEADERS = (1, 8, 64, 512)  # of a bucket in the first three rounds and every later one
 IDF_BUCKETS = 1 << 18
 RARE = 1000  # words in fewer than one document of so many weigh alike
 
