@@ -1,16 +1,21 @@
 """Language-model scores by prediction by partial matching over bytes, pretrained on the training documents.
 
-A text is its lower-cased words and one end.  The top of the model has whole words as symbols: a word seen c of N
-times has (2c-1)/2N, all unseen words together the escape V/2N.  Under it a trie over the bytes of the distinct
+A text is its lower-cased words and one end.  The longest contexts are whole segments: runs of words that end with a
+word whose hash is 0 modulo ``CUT`` (or with the end), so equal passages are cut alike wherever they stand and every
+text has one segmentation.  A segment seen c of N times has (2c-1)/2N, all unseen ones together the escape V/2N times
+the probabilities of their words; what seen segments have there as words is not given back, so probabilities of all
+texts sum to less than one, never to more.  Segments are told apart by 64-bit hashes of their bytes.  Below them whole
+words are symbols: a word seen c of N times has (2c-1)/2N, all unseen words together the escape V/2N.  Under it a trie over the bytes of the distinct
 training words (so counted once each: update exclusion) tells which byte follows up to ``ORDER`` bytes of a word and
 the space before it.  There, too, the longest context seen decides: (2c-1)/2n for a byte seen c of n times, else the
 context's escape d/2n (d distinct bytes) times what the next shorter context gives once the bytes seen above are
 excluded; below the empty context the remaining bytes are equally likely.  Excluding the known words from the trie's
 choice divides an unseen word's probability by one minus the sum of the trie's probabilities of all known words.
 
-Plan: count all words (map-side combining); count the trie's edges from the distinct words; score every distinct
-word once; the ``HOT`` most frequent words are looked up while the documents stream by, the others meet the word
-table in one join.  So no key is hot, and words, counts and edges all grow with the corpus.  The trie goes to
+Plan: count all words and segments (map-side combining); count the trie's edges from the distinct words; score every
+distinct word once; the ``HOT`` most frequent words and ``HOT_SEGMENTS`` segments are looked up while the documents
+stream by, the other segments meet their table in one join and the other words theirs in the next.  So no key is hot,
+and words, segments, counts and edges all grow with the corpus.  The trie goes to
 every task; it is the longest order whose edges fit ``MAX_EDGES`` (order 1 always does, having 256*256 at most).
 
 Cases: null or empty text: one token, the end.  Null doc_id: kept.  Repeated rows and doc_ids: one result each.
@@ -30,11 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, fold, id_and_text, materialize, read_table, rows_to_batch, small_batches
+from .op6_minhash import _mix, word_hashes
 
 ORDER = 5
 MAX_EDGES = 1 << 22
 HOT = 400_000
+HOT_SEGMENTS = 100_000
+CUT = 8  # words in a segment on average
 END = b"\n"
+_SPACED = bytes(32 if 9 <= b <= 13 else LOWER[b] for b in range(256))
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -42,6 +51,18 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
+def segments_of(texts: list[str | None], cut: int = CUT) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every text: the places of its segments' first tokens and the segments' hashes."""
+    out = []
+    for h in word_hashes([(t or "").encode("utf-8", "surrogatepass").translate(_SPACED) + b" " + END for t in texts]):
+        begin = np.flatnonzero(np.r_[True, h[:-1] % np.uint64(cut) == 0])
+        size = np.diff(np.r_[begin, len(h)])
+        power = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
+        place = np.arange(len(h)) - np.repeat(begin, size)
+        out.append((begin, _mix(np.add.reduceat(h * power[place], begin) + size.astype(np.uint64)).view(np.int64)))
+    return out
+
+
 # ---------------------------------------------------------------- the trie
 
 
@@ -177,13 +198,37 @@ def count_words(docs: DataFrame, held: int | None) -> DataFrame:
     return docs.select("held_out", "text").mapInArrow(run, "token binary, c long, n long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = ORDER, hot: int = HOT) -> DataFrame:
-    spark = docs.sparkSession
-    docs = id_and_text(docs).withColumn("held_out", fold("doc_id", modulus) == remainder)
-    words = materialize(count_words(docs, remainder), "words")
-    totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    n_train, floor = totals["n"], totals["n"] + totals["v"] + 1
-    trie = spark.sparkContext.broadcast(train(words, order))
+def count_segments(docs: DataFrame, cut: int = CUT) -> DataFrame:
+    """h, c (in training documents), n (in all)."""
+    schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        parts, held, rows = [], [], 0
+
+        def counted():
+            keys, back = np.unique(np.concatenate(parts), return_inverse=True)
+            n = np.bincount(back, minlength=len(keys))
+            c = n - np.bincount(back[np.concatenate(held)], minlength=len(keys))
+            for at in range(0, len(keys), 65_536):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 65_536].astype(np.int64)) for x in (keys, c, n)], schema=schema)
+
+        for part in small_batches(batches):
+            for (held_out, _), (_, h) in zip(part, segments_of([t for _, t in part], cut)):
+                parts.append(h)
+                held.append(np.full(len(h), bool(held_out)))
+                rows += len(h)
+            if rows > 500_000:
+                yield from counted()
+                parts, held, rows = [], [], 0
+        if rows:
+            yield from counted()
+
+    return docs.select("held_out", "text").mapInArrow(run, "h long, c long, n long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+
+
+def score_words(words: DataFrame, n_train: int, v: int, order: int) -> DataFrame:
+    """token, c, n, lp: the log10 probability of every word, seen in training or spelled out."""
+    trie = words.sparkSession.sparkContext.broadcast(train(words, order))
 
     def score(batches):
         schema = pa.schema([("token", pa.binary()), ("c", pa.int64()), ("n", pa.int64()), ("lp", pa.float64())])
@@ -194,48 +239,95 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order
 
     spelled = materialize(words.select("token", "c", "n").mapInArrow(score, "token binary, c long, n long, lp double"), "word-spellings")
     known_mass = spelled.filter("c > 0").agg(F.coalesce(F.sum(F.pow(F.lit(10.0), "lp")), F.lit(0.0)).alias("m")).first()["m"]
-    unseen = (math.log10(totals["v"] / (2 * n_train)) if n_train else 0.0) - math.log10(max(1e-12, 1 - known_mass))
+    unseen = (math.log10(v / (2 * n_train)) if n_train else 0.0) - math.log10(max(1e-12, 1 - known_mass))
     seen_before = F.log10((2 * F.col("c") - 1) / F.lit(2.0 * max(1, n_train)))
-    scored = spelled.withColumn("lp", F.when(F.col("c") > 0, seen_before).otherwise(F.col("lp") + F.lit(unseen)))
+    return spelled.withColumn("lp", F.when(F.col("c") > 0, seen_before).otherwise(F.col("lp") + F.lit(unseen)))
+
+
+def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = ORDER, hot: int = HOT, hot_segments: int = HOT_SEGMENTS, cut: int = CUT) -> DataFrame:
+    spark = docs.sparkSession
+    docs = id_and_text(docs).withColumn("held_out", fold("doc_id", modulus) == remainder)
+    words, segments = materialize(count_words(docs, remainder), "words"), materialize(count_segments(docs, cut), "segments")
+    total = [F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")]
+    (n_train, v), (n_segments, v_segments) = words.agg(*total).first(), segments.agg(*total).first()
+    floor = n_train + v + 1
+    scored = score_words(words, n_train, v, order)
     top = scored.orderBy(F.desc("n"), "token").limit(hot).toArrow()
     c = top["c"].to_numpy()
     shared = spark.sparkContext.broadcast((top["token"].to_pylist(), c > 0, np.log10((c + 1) / floor), top["lp"].to_numpy()))
+    often = segments.orderBy(F.desc("n"), "h").limit(hot_segments).toArrow().sort_by("h")
+    c = often["c"].to_numpy()
+    passages = spark.sparkContext.broadcast((often["h"].to_numpy(), c > 0, np.log10((2 * np.maximum(c, 1) - 1) / (2 * max(1, n_segments)))))
+    escape = math.log10(v_segments / (2 * n_segments)) if n_segments else 0.0
     index: dict = {}
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())])))])
+    spelled_word = pa.struct([("token", pa.binary()), ("tf", pa.int64()), ("inside", pa.bool_())])
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(spelled_word))])
+    opened = pa.struct([("h", pa.int64()), ("q", pa.float32()), ("rare_words", pa.list_(pa.binary()))])
 
     def look_up(batches):
         names, known, base, model = shared.value
+        keys, seen_key, key_lp = passages.value
         if not index:
             index.update(zip(names, range(len(names))))
         get, rid = index.get, TaskContext.get().partitionId() << 33
         for part in small_batches(batches):
-            out = []
-            for doc_id, held_out, text in part:
+            out, open_h, open_q, open_rare, rare_words = [], [], [], [], []
+            for (doc_id, held_out, text), (begin, h) in zip(part, segments_of([r[2] for r in part], cut)):
                 tokens = [*tokens_of(text), END]
                 at = np.array([get(t, -1) for t in tokens])
                 hit = at[at >= 0]
-                rare = Counter(tokens[i] for i in np.flatnonzero(at < 0))
-                out.append((rid, doc_id, held_out, len(tokens), int(known[hit].sum()), float(base[hit].sum()), float(model[hit].sum()), [{"token": t, "tf": n} for t, n in rare.items()]))
+                lp = np.zeros(len(at))
+                lp[at >= 0] = model[hit]
+                q = np.add.reduceat(lp, begin)
+                where = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+                met = keys[where] == h if len(keys) else np.zeros(len(h), bool)
+                seen = met.copy()
+                seen[met] = seen_key[where[met]]
+                unseen = met & ~seen
+                score = key_lp[where[seen]].sum() + (q[unseen] + escape).sum()
+                rare = np.flatnonzero(at < 0)
+                of = np.searchsorted(begin, rare, "right") - 1
+                settled = met[of]
+                done = Counter((tokens[i], bool(seen[s])) for i, s in zip(rare[settled], of[settled]))
+                rare_words += [tokens[i] for i in rare[~settled]]
+                open_h.append(h[~met])
+                open_q.append(q[~met])
+                open_rare.append(np.bincount(of[~settled], minlength=len(begin))[~met])
+                out.append((rid, doc_id, held_out, len(tokens), int(known[hit].sum()), float(base[hit].sum()), float(score), [{"token": t, "tf": n, "inside": s} for (t, s), n in done.items()]))
                 rid += 1
-            yield rows_to_batch(out, schema)
-
-    ddl = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<token: binary, tf: long>>"
-    seen = materialize(docs.select("doc_id", "held_out", "text").mapInArrow(look_up, ddl), "hot-scores")
-    rare = seen.select("rid", F.inline("rare"))
+            if not out:
+                continue
+            ends = lambda sizes: pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+            words_of = pa.ListArray.from_arrays(ends(np.concatenate(open_rare)), pa.array(rare_words, pa.binary()))
+            each = pa.StructArray.from_arrays([pa.array(np.concatenate(open_h)), pa.array(np.concatenate(open_q), pa.float32()), words_of], fields=list(opened))
+            batch = rows_to_batch(out, schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends([len(x) for x in open_h]), each)], schema=schema.append(pa.field("open", pa.list_(opened))))
+
+    ddl = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<token: binary, tf: long, inside: boolean>>, open array<struct<h: long, q: float, rare_words: array<binary>>>"
+    looked_up = materialize(docs.select("doc_id", "held_out", "text").mapInArrow(look_up, ddl), "hot-scores")
+    table = segments.filter("c > 0").select("h", F.log10((2 * F.col("c") - 1) / F.lit(2.0 * max(1, n_segments))).alias("segment_lp"))
+    judged = looked_up.select("rid", F.inline("open")).join(table, "h", "left").select(
+        "rid",
+        F.coalesce("segment_lp", F.col("q") + F.lit(escape)).alias("s"),
+        F.transform("rare_words", lambda t: F.struct(t.alias("token"), F.lit(1).cast("long").alias("tf"), F.col("segment_lp").isNotNull().alias("inside"))).alias("rare"),
+    )
+    # a document's segments, without those that have no word to look up
+    by_document = materialize(judged.groupBy("rid").agg(F.sum("s").alias("segment_score"), F.flatten(F.collect_list(F.when(F.size("rare") > 0, F.col("rare")))).alias("open_rare")), "segment-scores")
+    rare = looked_up.select("rid", F.inline("rare")).unionAll(by_document.select("rid", F.inline("open_rare")))
     met = rare.join(scored.select("token", "c", "lp").hint("shuffle_hash"), "token")
     rest = met.groupBy("rid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k"),
         F.sum(F.col("tf") * F.log10((F.col("c") + 1) / F.lit(float(floor)))).alias("b"),
-        F.sum(F.col("tf") * F.col("lp")).alias("s"),
+        F.sum(F.when(~F.col("inside"), F.col("tf") * F.col("lp"))).alias("s"),
     )
-    return seen.drop("rare").join(rest, "rid", "left").select(
+    return looked_up.drop("rare", "open").join(by_document.select("rid", "segment_score"), "rid", "left").join(rest, "rid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"),
+        (F.col("score") + F.coalesce("segment_score", F.lit(0.0)) + F.coalesce("s", F.lit(0.0))).alias("score"),
     )
 
 

@@ -104,19 +104,37 @@ def test_op1_code_is_optimal_and_limited():
 
 
 def test_op2_brute_force(docs):
-    got = {key(r["doc_id"]): r for r in o2.score_documents(docs, hot=3).collect()}
-    split = [(d, [*o2.tokens_of(t), None]) for d, t in all_rows()]
+    def pieces(words):
+        """Segments as tuples of words: cut after each word whose hash is 0 modulo CUT."""
+        out, now = [], []
+        for w in words:
+            now.append(w)
+            if w == o2.END or int(o2.word_hashes([w])[0][0]) % o2.CUT == 0:
+                out.append(tuple(now))
+                now = []
+        return out
+
+    split = [(d, [*o2.tokens_of(t), o2.END]) for d, t in all_rows()]
     held = {d: zlib.crc32((str(d) if d is not None else "").encode()) % 7 == 2 for d, _ in split}
     c = collections.Counter(w for d, ws in split if not held[d] for w in ws)
-    n, v = sum(c.values()), len(c)
-    for d, ws in split:
-        r = got[key(d)]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[d], len(ws), sum(c[w] > 0 for w in ws), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws))
-        known = sum(math.log10((2 * c[w] - 1) / (2 * n)) for w in ws if c[w])
-        assert r["score"] <= known + 1e-6
-        if all(c[w] for w in ws):
-            assert r["score"] == pytest.approx(known)
+    g = collections.Counter(p for d, ws in split if not held[d] for p in pieces(ws))
+    n, v, m = sum(c.values()), len(c), sum(g.values())
+    for hot, hot_segments in ((3, 2), (10**6, 10**6)):
+        got = {key(r["doc_id"]): r for r in o2.score_documents(docs, hot=hot, hot_segments=hot_segments).collect()}
+        for d, ws in split:
+            r = got[key(d)]
+            assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[d], len(ws), sum(c[w] > 0 for w in ws), n)
+            assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws))
+            want, spelled = 0.0, False
+            for p in pieces(ws):
+                if g[p]:
+                    want += math.log10((2 * g[p] - 1) / (2 * m))
+                else:
+                    want += math.log10(len(g) / (2 * m)) + sum(math.log10((2 * c[w] - 1) / (2 * n)) for w in p if c[w])
+                    spelled |= any(not c[w] for w in p)
+            assert r["score"] <= want + 1e-4
+            if not spelled:
+                assert r["score"] == pytest.approx(want, rel=1e-5)
     assert o2.score_documents(docs.limit(0)).count() == 0
 
 
