@@ -51,16 +51,18 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
-def segments_of(texts: list[str | None], cut: int = CUT) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For every text: the places of its segments' first tokens and the segments' hashes."""
-    out = []
-    for h in word_hashes([(t or "").encode("utf-8", "surrogatepass").translate(_SPACED) + b" " + END for t in texts]):
-        begin = np.flatnonzero(np.r_[True, h[:-1] % np.uint64(cut) == 0])
-        size = np.diff(np.r_[begin, len(h)])
-        power = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
-        place = np.arange(len(h)) - np.repeat(begin, size)
-        out.append((begin, _mix(np.add.reduceat(h * power[place], begin) + size.astype(np.uint64)).view(np.int64)))
-    return out
+def segments_of_words(h: np.ndarray, cut: int = CUT) -> tuple[np.ndarray, np.ndarray]:
+    """From the hashes of a text's words: the places of its segments' first words and the segments' hashes."""
+    begin = np.flatnonzero(np.r_[True, h[:-1] % np.uint64(cut) == 0])
+    size = np.diff(np.r_[begin, len(h)])
+    power = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
+    place = np.arange(len(h)) - np.repeat(begin, size)
+    return begin, _mix(np.add.reduceat(h * power[place], begin) + size.astype(np.uint64)).view(np.int64)
+
+
+def segments_of(texts: list[str | None], cut: int = CUT) -> list[np.ndarray]:
+    """The hashes of every text's segments."""
+    return [segments_of_words(h, cut)[1] for h in word_hashes([(t or "").encode("utf-8", "surrogatepass").translate(_SPACED) + b" " + END for t in texts])]
 
 
 # ---------------------------------------------------------------- the trie
@@ -213,7 +215,7 @@ def count_segments(docs: DataFrame, cut: int = CUT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 65_536].astype(np.int64)) for x in (keys, c, n)], schema=schema)
 
         for part in small_batches(batches):
-            for (held_out, _), (_, h) in zip(part, segments_of([t for _, t in part], cut)):
+            for (held_out, _), h in zip(part, segments_of([t for _, t in part], cut)):
                 parts.append(h)
                 held.append(np.full(len(h), bool(held_out)))
                 rows += len(h)
@@ -254,7 +256,8 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order
     scored = score_words(words, n_train, v, order)
     top = scored.orderBy(F.desc("n"), "token").limit(hot).toArrow()
     c = top["c"].to_numpy()
-    shared = spark.sparkContext.broadcast((top["token"].to_pylist(), c > 0, np.log10((c + 1) / floor), top["lp"].to_numpy()))
+    names = top["token"].to_pylist()
+    shared = spark.sparkContext.broadcast((names, word_hashes([b" ".join(names)])[0], c > 0, np.log10((c + 1) / floor), top["lp"].to_numpy()))
     often = segments.orderBy(F.desc("n"), "h").limit(hot_segments).toArrow().sort_by("h")
     c = often["c"].to_numpy()
     passages = spark.sparkContext.broadcast((often["h"].to_numpy(), c > 0, np.log10((2 * np.maximum(c, 1) - 1) / (2 * max(1, n_segments)))))
@@ -262,22 +265,28 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order
     index: dict = {}
     spelled_word = pa.struct([("token", pa.binary()), ("tf", pa.int64()), ("inside", pa.bool_())])
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(spelled_word))])
-    opened = pa.struct([("h", pa.int64()), ("q", pa.float32()), ("rare_words", pa.list_(pa.binary()))])
+    plain = pa.struct([("h", pa.int64()), ("q", pa.float32())])
+    mixed = pa.struct([("h", pa.int64()), ("q", pa.float32()), ("rare_words", pa.list_(pa.binary()))])
 
     def look_up(batches):
-        names, known, base, model = shared.value
+        names, hashes, known, base, model = shared.value
         keys, seen_key, key_lp = passages.value
         if not index:
             index.update(zip(names, range(len(names))))
         get, rid = index.get, TaskContext.get().partitionId() << 33
         for part in small_batches(batches):
-            out, open_h, open_q, open_rare, rare_words = [], [], [], [], []
-            for (doc_id, held_out, text), (begin, h) in zip(part, segments_of([r[2] for r in part], cut)):
+            out, opened = [], []
+            for doc_id, held_out, text in part:
                 tokens = [*tokens_of(text), END]
                 at = np.array([get(t, -1) for t in tokens])
-                hit = at[at >= 0]
-                lp = np.zeros(len(at))
-                lp[at >= 0] = model[hit]
+                common, rare = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+                hit = at[common]
+                lp, word = np.zeros(len(at)), np.zeros(len(at), np.uint64)
+                lp[common] = model[hit]
+                word[common] = hashes[hit]
+                if len(rare):
+                    word[rare] = word_hashes([b" ".join([tokens[i] for i in rare])])[0]
+                begin, h = segments_of_words(word, cut)
                 q = np.add.reduceat(lp, begin)
                 where = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
                 met = keys[where] == h if len(keys) else np.zeros(len(h), bool)
@@ -285,42 +294,40 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order
                 seen[met] = seen_key[where[met]]
                 unseen = met & ~seen
                 score = key_lp[where[seen]].sum() + (q[unseen] + escape).sum()
-                rare = np.flatnonzero(at < 0)
                 of = np.searchsorted(begin, rare, "right") - 1
                 settled = met[of]
                 done = Counter((tokens[i], bool(seen[s])) for i, s in zip(rare[settled], of[settled]))
-                rare_words += [tokens[i] for i in rare[~settled]]
-                open_h.append(h[~met])
-                open_q.append(q[~met])
-                open_rare.append(np.bincount(of[~settled], minlength=len(begin))[~met])
+                n_rare = np.bincount(of[~settled], minlength=len(begin))
+                opened.append((~met & (n_rare == 0), ~met & (n_rare > 0), h, q, n_rare, [tokens[i] for i in rare[~settled]]))
                 out.append((rid, doc_id, held_out, len(tokens), int(known[hit].sum()), float(base[hit].sum()), float(score), [{"token": t, "tf": n, "inside": s} for (t, s), n in done.items()]))
                 rid += 1
             if not out:
                 continue
             ends = lambda sizes: pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
-            words_of = pa.ListArray.from_arrays(ends(np.concatenate(open_rare)), pa.array(rare_words, pa.binary()))
-            each = pa.StructArray.from_arrays([pa.array(np.concatenate(open_h)), pa.array(np.concatenate(open_q), pa.float32()), words_of], fields=list(opened))
-            batch = rows_to_batch(out, schema)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends([len(x) for x in open_h]), each)], schema=schema.append(pa.field("open", pa.list_(opened))))
-
-    ddl = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<token: binary, tf: long, inside: boolean>>, open array<struct<h: long, q: float, rare_words: array<binary>>>"
+            lists = []
+            for kind, which in ((plain, 0), (mixed, 1)):
+                fields = [pa.array(np.concatenate([x[2][x[which]] for x in opened])), pa.array(np.concatenate([x[3][x[which]] for x in opened]), pa.float32())]
+                if which:
+                    fields.append(pa.ListArray.from_arrays(ends(np.concatenate([x[4][x[1]] for x in opened])), pa.array([w for x in opened for w in x[5]], pa.binary())))
+                lists.append(pa.ListArray.from_arrays(ends([int(x[which].sum()) for x in opened]), pa.StructArray.from_arrays(fields, fields=list(kind))))
+            yield pa.RecordBatch.from_arrays([*rows_to_batch(out, schema).columns, *lists], schema=schema.append(pa.field("plain", pa.list_(plain))).append(pa.field("mixed", pa.list_(mixed))))
+
+    ddl = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<token: binary, tf: long, inside: boolean>>, plain array<struct<h: long, q: float>>, mixed array<struct<h: long, q: float, rare_words: array<binary>>>"
     looked_up = materialize(docs.select("doc_id", "held_out", "text").mapInArrow(look_up, ddl), "hot-scores")
     table = segments.filter("c > 0").select("h", F.log10((2 * F.col("c") - 1) / F.lit(2.0 * max(1, n_segments))).alias("segment_lp"))
-    judged = looked_up.select("rid", F.inline("open")).join(table, "h", "left").select(
-        "rid",
-        F.coalesce("segment_lp", F.col("q") + F.lit(escape)).alias("s"),
-        F.transform("rare_words", lambda t: F.struct(t.alias("token"), F.lit(1).cast("long").alias("tf"), F.col("segment_lp").isNotNull().alias("inside"))).alias("rare"),
-    )
-    # a document's segments, without those that have no word to look up
-    by_document = materialize(judged.groupBy("rid").agg(F.sum("s").alias("segment_score"), F.flatten(F.collect_list(F.when(F.size("rare") > 0, F.col("rare")))).alias("open_rare")), "segment-scores")
-    rare = looked_up.select("rid", F.inline("rare")).unionAll(by_document.select("rid", F.inline("open_rare")))
+    segment_score = F.coalesce("segment_lp", F.col("q") + F.lit(escape)).alias("s")
+    # segments with words to look up are few and kept; of the others only their sum by document
+    with_rare = materialize(looked_up.select("rid", F.inline("mixed")).join(table, "h", "left").select("rid", segment_score, "rare_words", F.col("segment_lp").isNotNull().alias("inside")), "mixed-segments")
+    without = looked_up.select("rid", F.inline("plain")).join(table, "h", "left").select("rid", segment_score)
+    by_document = without.unionAll(with_rare.select("rid", "s")).groupBy("rid").agg(F.sum("s").alias("segment_score"))
+    rare = looked_up.select("rid", F.inline("rare")).unionAll(with_rare.select("rid", F.explode("rare_words").alias("token"), F.lit(1).cast("long").alias("tf"), "inside"))
     met = rare.join(scored.select("token", "c", "lp").hint("shuffle_hash"), "token")
     rest = met.groupBy("rid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k"),
         F.sum(F.col("tf") * F.log10((F.col("c") + 1) / F.lit(float(floor)))).alias("b"),
         F.sum(F.when(~F.col("inside"), F.col("tf") * F.col("lp"))).alias("s"),
     )
-    return looked_up.drop("rare", "open").join(by_document.select("rid", "segment_score"), "rid", "left").join(rest, "rid", "left").select(
+    return looked_up.drop("rare", "plain", "mixed").join(by_document, "rid", "left").join(rest, "rid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
