@@ -68,3 +68,28 @@ def hotspots(metrics: DataFrame, by: str, n: int = 20) -> DataFrame:
 
 def spatial_grid(points: DataFrame, cell: float = 50.0) -> DataFrame:
     return points.groupBy(F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy")).agg(F.count("*").alias("n"))
+
+
+def hit_test(points: DataFrame, x: float, y: float, zoom: float = 1.0, slack: float = 3.0) -> DataFrame:
+    """Nodes (x, y, radius) under a point, of which the view takes the last in its scan order."""
+    return points.filter(F.hypot(F.col("x") - x, F.col("y") - y) < F.col("radius") * zoom + slack)
+
+
+def auto_fit(points: DataFrame, width: float, height: float, padding: float = 60.0) -> DataFrame:
+    """zoom, pan_x, pan_y that show all points in the middle; no row without points."""
+    box = points.agg(*(f(c).alias(f"{n}_{c}") for c in "xy" for f, n in ((F.min, "low"), (F.max, "high")))).filter("low_x is not null and low_y is not null")
+    fit = lambda c, room: (room - 2 * padding) / F.greatest(F.col(f"high_{c}") - F.col(f"low_{c}"), F.lit(1.0))
+    zoom = F.least(F.greatest(F.least(fit("x", width), fit("y", height)), F.lit(0.15)), F.lit(2.0))
+    pan = lambda c, room: (room / 2 - (F.col(f"low_{c}") + F.col(f"high_{c}")) / 2 * F.col("zoom")).alias(f"pan_{c}")
+    return box.withColumn("zoom", zoom).select("zoom", pan("x", width), pan("y", height))
+
+
+def canvas_scale(visible):
+    return 2.5 + F.least(visible / 30, F.lit(2.0))
+
+
+def coupling_heatmap(modules: DataFrame, module_metrics: DataFrame) -> DataFrame:
+    """module_id, coupling_score (0 for modules without metrics) and its colour."""
+    score = F.coalesce("coupling_score", F.lit(0.0))
+    joined = modules.select(F.col("id").alias("module_id")).join(module_metrics.select("module_id", "coupling_score"), "module_id", "left")
+    return joined.select("module_id", score.alias("coupling_score"), *coupling_color(score))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import build, diff, graph, metrics, passes, rules, views
+from graphloom.operators import build, diff, graph, metrics, passes, reports, rules, views
 from graphloom.plans.binding import bind, with_model
 from graphloom.sources import project
 
@@ -330,3 +330,54 @@ def x35_rules(symbols):
     found.set_enabled("style/name/all", False)
     lines = F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(1))
     return found.evaluate(symbols.withColumn("line_count", lines), "id")
+
+
+_FINDINGS = f"""f as (select id, case when id % 3 = 0 then 'security/taint/a&b' when id % 3 = 1 then 'quality/size/long' else 'style/name' end as rule_id,
+case when is_unsafe then 'High' when id % 2 = 0 then 'Medium' else 'Low' end as severity, concat('src/', name, '.rs') as file, cast(start_line as bigint) as line, concat(kind, ' <', name, '>') as message from symbols)"""
+
+
+def _findings(symbols):
+    rule = F.when(F.col("id") % 3 == 0, "security/taint/a&b").when(F.col("id") % 3 == 1, "quality/size/long").otherwise("style/name")
+    severity = F.when(F.col("is_unsafe"), "High").when(F.col("id") % 2 == 0, "Medium").otherwise("Low")
+    return symbols.select(rule.alias("rule_id"), severity.alias("severity"), F.concat(F.lit("src/"), "name", F.lit(".rs")).alias("file"), F.col("start_line").alias("line"), F.concat("kind", F.lit(" <"), "name", F.lit(">")).alias("message"))
+
+
+@query("symbols", sql=f"""with {_FINDINGS} select concat('{{"ruleId":"', rule_id, '","level":"', case severity when 'High' then 'error' when 'Medium' then 'warning' else 'note' end, '","message":{{"text":"', message, '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"', file, '"}},"region":{{"startLine":', line, '}}}}}}]}}') as result from f""")
+def k07_sarif_results(symbols):
+    return reports.sarif_results(_findings(symbols))
+
+
+@query("symbols", sql=f"""with {_FINDINGS} select string_split(rule_id, '/')[1] as suite, count(*) as tests, cast(sum(case when severity <> 'Low' then 1 else 0 end) as bigint) as failures from f group by 1""")
+def k08_junit_suites(symbols):
+    return reports.junit_suites(reports.junit_cases(_findings(symbols)))
+
+
+@query("symbols", sql=f"""with {_FINDINGS} select string_split(rule_id, '/')[1] as suite, severity <> 'Low' as failed, concat('<testcase classname="', replace(rule_id, '&', '&amp;'), '" name="', file, ':', line, '"',
+case when severity <> 'Low' then concat('><failure message="', replace(replace(message, '<', '&lt;'), '>', '&gt;'), '"/></testcase>') else '/>' end) as xml from f""")
+def k08_junit_cases(symbols):
+    return reports.junit_cases(_findings(symbols))
+
+
+@query("symbols", sql=f"with {_FINDINGS} select concat('::warning file=', file, ',line=', line, '::', message) as annotation from f")
+def k09_annotations(symbols):
+    return reports.annotations(_findings(symbols))
+
+
+@query("symbols", sql="""with p as (select cast(id % 97 as double) as x, cast(id % 53 as double) * 8 as y from symbols), b as (select min(x) as lx, max(x) as hx, min(y) as ly, max(y) as hy from p),
+z as (select *, least(greatest(least(680.0 / greatest(hx - lx, 1), 480.0 / greatest(hy - ly, 1)), 0.15), 2.0) as zoom from b)
+select round(cast(zoom as double), 6) as zoom, round(cast(400 - (lx + hx) / 2 * zoom as double), 6) as pan_x, round(cast(300 - (ly + hy) / 2 * zoom as double), 6) as pan_y from z""")
+def u12_auto_fit(symbols):
+    points = symbols.select((F.col("id") % 97).cast("double").alias("x"), ((F.col("id") % 53).cast("double") * 8).alias("y"))
+    return views.auto_fit(points, 800.0, 600.0).select(*(F.round(c, 6).alias(c) for c in ("zoom", "pan_x", "pan_y")))
+
+
+@query("symbols", sql="select id from symbols where sqrt(power(id % 97 - 40.0, 2) + power(id % 53 - 20.0, 2)) < 5 * 2.0 + 3")
+def u11_hit_test(symbols):
+    points = symbols.select("id", (F.col("id") % 97).cast("double").alias("x"), (F.col("id") % 53).cast("double").alias("y"), F.lit(5.0).alias("radius"))
+    return views.hit_test(points, 40.0, 20.0, 2.0).select("id")
+
+
+@query("modules", "symbols", "call_edges", sql=_MODULE_METRICS.replace("select m.id as module_id", ", mm as (select m.id as module_id", 1) + """), t as (select module_id, coupling_score, least(coupling_score / 25, 1.0) as t from mm)
+select module_id, coupling_score, cast(floor(255 * t) as bigint) as r, cast(floor(100 * (1 - abs(2 * t - 1))) as bigint) as g, cast(floor(200 * (1 - t)) as bigint) as b from t""")
+def u15_coupling_heatmap(modules, symbols, calls):
+    return views.coupling_heatmap(modules, metrics.module_metrics(modules, symbols, calls))

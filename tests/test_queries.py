@@ -1,11 +1,14 @@
 """Every query with SQL gives the SQL's rows; operators on small graphs and sources."""
 
+import json
+from xml.etree import ElementTree
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom import registry
-from graphloom.operators import graph, metrics, passes, rules
+from graphloom.operators import graph, metrics, passes, reports, rules, views
 from graphloom.sources import project
 
 SF = "/root/testdata/sf0.001"
@@ -117,3 +120,16 @@ def test_rule_registry(spark):
     reg.set_enabled("r/Eq", False)
     assert len(reg.enabled()) == 6 and reg.enabled("other") == []
     assert passes.RuleRegistry().evaluate(df, "id").count() == 0
+
+
+def test_reports(spark):
+    f = spark.createDataFrame([("a/b", "High", 'x"y.rs', 3, "m<&>"), (None, None, None, None, None)], "rule_id string, severity string, file string, line long, message string")
+    got = [json.loads(r["result"]) for r in reports.sarif_results(f).collect()]
+    assert [(g["ruleId"], g["level"], g["locations"][0]["physicalLocation"]["region"]["startLine"]) for g in got] == [("a/b", "error", 3), ("", "note", 1)]
+    before, after = reports.sarif_envelope("t")
+    assert json.loads(before + ",".join(map(json.dumps, got)) + after)["runs"][0]["results"] == got
+    cases = reports.junit_cases(f).collect()
+    assert [(c["suite"], c["failed"]) for c in cases] == [("a", True), ("", False)]
+    assert [ElementTree.fromstring(c["xml"]).get("name") for c in cases] == ['x"y.rs:3', ":0"]
+    assert [r[0] for r in reports.annotations(f).collect()] == ['::warning file=x"y.rs,line=3::m<&>', "::warning file=,line=0::"]
+    assert views.auto_fit(spark.createDataFrame([], "x double, y double"), 800.0, 600.0).count() == 0
