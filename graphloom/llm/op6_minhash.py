@@ -8,9 +8,11 @@ that two documents agree with the probability of their weighted Jaccard similari
 a pair of similarity 0.8 shares one with probability 0.998.
 
 Documents of equal words are one class from the start.  In every bucket all classes are compared with a leader; those
-that differ from it are compared with new leaders of their own in the next round (a few at once, later), until none is
-left.  So a bucket of one group costs as many comparisons as members, whatever its size, and no bucket is capped.  Links
-(weighted Jaccard of at least 0.8, from the whole texts) go through connected components.
+alike it are linked through it.  Every other pair of the bucket is compared as well, in cells of two blocks of rows,
+unless it is linked already or can't be alike: one minus weighted Jaccard is a metric, so two classes differ by at
+least the difference of their distances to the leader.  So a bucket of one group costs as many comparisons as members,
+whatever its size, one of unlike texts all its pairs, and no bucket is capped.  Links (weighted Jaccard of at least 0.8,
+from the whole texts) go through connected components.
 
 Cases: null, empty and wordless texts: each its own group.  Fewer than five words: the words are one shingle.  Null
 doc_id: kept; its group bears the least other id, or null.  Repeated rows: all returned, in one group.  Empty table:
@@ -29,12 +31,13 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
 
-from .common import WORDS, id_and_text, materialize, new_dir, read_table, rows_to_batch, small_batches
+from .common import WORDS, id_and_text, materialize, read_table, rows_to_batch, small_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 5
-LEADERS = (1, 8, 64, 512)  # of a bucket in the first three rounds and every later one
+BLOCK = 128  # rows of a bucket on one side of a cell
+SLACK = 1e-3  # of bounds, for rounding
 IDF_BUCKETS = 1 << 18
 RARE = 1000  # words in fewer than one document of so many weigh alike
 
@@ -195,9 +198,9 @@ def sign(docs: DataFrame, idf) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, ckey binary, keys array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """a, b, similar for pairs of classes; a's shingles are kept while pairs of the same a follow."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similar", pa.bool_())])
+def verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """a, b, alike (weighted Jaccard) for pairs of classes; a's shingles are kept while pairs of the same a follow."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("alike", pa.float64())])
 
     def run(batches):
         last, left = None, None
@@ -207,13 +210,77 @@ def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
             for i, (a, b, *_) in enumerate(rows):
                 if a != last:
                     last, left = a, shingles(some[2 * i], idf.value)
-                out.append((a, b, similarity(left, shingles(some[2 * i + 1], idf.value)) >= threshold))
+                out.append((a, b, similarity(left, shingles(some[2 * i + 1], idf.value))))
             yield rows_to_batch(out, schema)
 
     t = texts.select(F.col("ckey").alias("b"), F.col("text").alias("text_b"))
     with_b = pairs.join(t, "b")
     both = with_b.join(texts.select(F.col("ckey").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similar boolean")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, alike double")
+
+
+def cell_links(sets: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray, group: np.ndarray, alike: np.ndarray, keys: np.ndarray, band: int, threshold: float) -> list[tuple[int, int]]:
+    """Links between rows of a cell that are of different groups, and of different sides if there are two.
+
+    A pair that shares an earlier band is left to that band's bucket.
+    """
+    _, at = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+    size = np.array([len(h) for h, _ in sets])
+    at = np.split(at, np.cumsum(size)[:-1])
+    weight = np.array([float(w.sum(dtype=np.float64)) for _, w in sets])
+    one_side, group, out = bool((side == side[0]).all()), group.copy(), []
+    dense = np.zeros(max(int(x.max()) for x in at) + 1)
+    for i in range(len(sets) - 1):
+        j = np.arange(i + 1, len(sets))
+        least, most = np.minimum(weight[i], weight[j]), np.maximum(weight[i], weight[j])
+        may = (group[j] != group[i]) & (abs(alike[j] - alike[i]) <= 1 - threshold + SLACK) & (least >= (threshold - SLACK) * most)
+        if not one_side:
+            may &= side[j] != side[i]
+        j = j[may]
+        j = j[~(keys[j, :band] == keys[i, :band]).any(1)]
+        if not len(j):
+            continue
+        dense[at[i]] = sets[i][1]
+        common = np.minimum(dense[np.concatenate([at[k] for k in j])], np.concatenate([sets[k][1] for k in j]))
+        dense[at[i]] = 0
+        both = np.add.reduceat(common, np.cumsum(size[j]) - size[j])
+        for k in j[both >= threshold * (weight[i] + weight[j] - both)]:
+            out.append((i, int(k)))
+            group[group == group[k]] = group[i]
+    return out
+
+
+def compare_cells(met: DataFrame, classes: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) of the pairs that the leaders of buckets left open; met: band, key, ckey, alike (to the leader)."""
+    near = 2 * threshold - 1 - SLACK  # only these can be alike to a class that is alike to the leader
+    met = met.withColumn("closed", F.col("alike") >= threshold).withColumn("near", (F.col("alike") >= near) & ~F.col("closed"))
+    n = met.groupBy("band", "key").agg(*[F.sum(F.expr(e).cast("long")).alias(c) for c, e in (("n_open", "not closed"), ("n_near", "near"), ("n_closed", "closed"))])
+    blocks = [F.ceil(F.col(c) / BLOCK).cast("int").alias(b) for c, b in (("n_open", "opens"), ("n_near", "nears"), ("n_closed", "closeds"))]
+    rows = met.join(n.filter("n_open > 1 or (n_near > 0 and n_closed > 0)").select("band", "key", *blocks), ["band", "key"])
+    # all open rows with each other (kind 0), and the near ones with the closed ones (kind 1)
+    mine = "pmod(xxhash64(ckey), {})"
+    others = "transform(sequence(0, {} - 1), j -> struct({} as kind, cast({} as int) as lo, cast({} as int) as hi, cast({} as int) as side))"
+    pick = lambda k: mine.format(k)
+    opens = others.format("opens", 0, f"least({pick('opens')}, j)", f"greatest({pick('opens')}, j)", pick("opens"))
+    nears = others.format("closeds", 1, pick("nears"), "j", 0)
+    closed = others.format("nears", 1, "j", pick("closeds"), 1)
+    cells = F.expr(f"case when closed then if(nears > 0, {closed}, array()) when near and closeds > 0 then concat({opens}, {nears}) else {opens} end")
+    dealt = rows.select("band", "key", "ckey", "alike", F.explode(cells).alias("c")).select("band", "key", "ckey", "alike", "c.*")
+    whole = dealt.join(classes.select("ckey", "keys"), "ckey").join(texts, "ckey")
+
+    def run(cell: pa.Table) -> pa.Table:
+        kind, side = cell.column("kind")[0].as_py(), cell.column("side").to_numpy()
+        two_sided = kind == 1 or cell.column("lo")[0] != cell.column("hi")[0]
+        out: list = []
+        if len(side) > 1 and (not two_sided or side.min() < side.max()):
+            sets = [shingles(w, idf.value) for w in word_hashes([normalized(t) for t in cell.column("text").to_pylist()])]
+            keys = np.array(cell.column("keys").to_pylist(), np.int64)
+            group = np.where(side == 1, -1, np.arange(len(side))) if kind else np.arange(len(side))
+            ckey = cell.column("ckey").to_pylist()
+            out = [(ckey[i], ckey[j]) for i, j in cell_links(sets, side, group, cell.column("alike").to_numpy(), keys, cell.column("band")[0].as_py(), threshold)]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+
+    return whole.groupBy("band", "key", "kind", "lo", "hi").applyInArrow(run, "a binary, b binary")
 
 
 def distinct_classes(signed: DataFrame) -> DataFrame:
@@ -223,37 +290,18 @@ def distinct_classes(signed: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, idf, threshold: float = SIMILARITY) -> DataFrame:
-    """Links between classes: a, b.  Each round is three written tables, whatever the number of buckets."""
-    spark = docs.sparkSession
+    """Links between classes: a, b."""
     rows = classes.select("ckey", F.posexplode("keys").alias("band", "key"))
-    shared = rows.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    active = materialize(rows.join(shared, ["band", "key"]), "bucket-rows")
-    needed = active.select("ckey").distinct().join(classes.select("ckey", "doc"), "ckey")
+    shared = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("ckey").alias("a")).filter("n > 1").drop("n")
+    led = materialize(rows.join(shared, ["band", "key"]).filter("ckey <> a"), "led")
+    some = led.select("ckey").union(led.select("a")).distinct()
+    needed = some.join(classes.select("ckey", "doc"), "ckey")
     keyed = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "text").join(needed, "doc")
     texts = materialize(_one_text(keyed), "texts")
-    judged_dir, pair_type = new_dir(spark, "judged"), "a binary, b binary, similar boolean"
-    spark.createDataFrame([], pair_type).write.parquet(f"{judged_dir}/0")
-
-    def judged(rounds: int) -> DataFrame:
-        return spark.read.schema(pair_type).parquet(*[f"{judged_dir}/{i}" for i in range(rounds + 1)])
-
-    rounds = 0
-    # rows of buckets that have others to compare with; a row alone in its bucket is done
-    while n := active.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]:
-        salts = LEADERS[min(rounds, len(LEADERS) - 1)]
-        leaders = active.groupBy("band", "key", F.pmod(F.xxhash64("ckey"), F.lit(salts)).alias("salt")).agg(F.min("ckey").alias("a"))
-        led = materialize(active.join(leaders, ["band", "key"]).select("band", "key", "ckey", "a"), "led", n)
-        pairs = led.filter("ckey <> a").select(F.least("a", "ckey").alias("a"), F.greatest("a", "ckey").alias("b")).distinct()
-        new = pairs.join(judged(rounds).select("a", "b"), ["a", "b"], "left_anti")
-        verify(new, texts, idf, threshold).coalesce(24 + n // 1000).write.parquet(f"{judged_dir}/{rounds + 1}")
-        rounds += 1
-        # a class stays if it is no leader of its bucket and like none of them
-        linked = judged(rounds).filter("similar").select("a", "b")
-        both_ways = linked.union(linked.select("b", "a").toDF("a", "b"))
-        met = led.join(both_ways.select(F.col("a").alias("ckey"), F.col("b").alias("a"), F.lit(True).alias("alike")), ["ckey", "a"], "left")
-        state = met.groupBy("band", "key", "ckey").agg(F.max(F.coalesce("alike", F.col("ckey") == F.col("a"))).alias("settled"))
-        active = materialize(state.filter("not settled").drop("settled"), "bucket-rows", n)
-    return judged(rounds).filter("similar").select("a", "b")
+    judged = materialize(verify(led.select("a", F.col("ckey").alias("b")).distinct(), texts, idf), "judged")
+    met = materialize(led.join(judged.withColumnRenamed("b", "ckey"), ["a", "ckey"]).select("band", "key", "ckey", "alike"), "met")
+    others = materialize(compare_cells(met, classes, texts, idf, threshold), "cell-links")
+    return judged.filter(F.col("alike") >= threshold).select("a", "b").union(others).distinct()
 
 
 def _one_text(keyed: DataFrame) -> DataFrame:

@@ -200,6 +200,45 @@ def test_op6_brute_force(spark, docs):
     assert o6.near_duplicate_groups(docs.limit(0)).count() == 0
 
 
+def test_op6_star_group(spark):
+    """Copies like the original, unlike each other: all are one group; the bridge of two stars joins them."""
+    words = [f"w{i}" for i in range(1000)]
+    docs, r = [(0, " ".join(words))], random.Random(5)
+    for i in range(1, 301):
+        copy = list(words)
+        for at in r.sample(range(1000), 18):
+            copy[at] = f"x{i}y{at}"
+        docs.append((i, " ".join(copy)))
+    idf = np.ones(o6.IDF_BUCKETS, np.float32)
+    sets = [o6.shingles(w, idf) for w in o6.word_hashes([o6.normalized(t) for _, t in docs])]
+    assert min(o6.similarity(sets[0], s) for s in sets[1:]) > 0.82
+    assert np.mean([o6.similarity(sets[i], sets[i + 1]) < 0.8 for i in range(1, 300)]) > 0.99
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["class_id"] for r in o6.near_duplicate_groups(table).collect()} == {0}
+
+
+def test_op6_cells_equal_all_pairs():
+    r, n = np.random.default_rng(4), 60
+    base = r.integers(1, 1 << 60, (4, 50)).astype(np.uint64)
+    sets = []
+    for i in range(n):
+        h = np.unique(np.r_[r.permutation(base[i % 4])[: r.integers(46, 51)], r.integers(1, 1 << 60, 1).astype(np.uint64)])
+        sets.append((h, r.uniform(0.9, 1.1, len(h)).astype(np.float32)))
+    alike = np.array([o6.similarity(sets[0], s) for s in sets])
+    side = r.integers(0, 2, n)
+
+    def parts(pairs):
+        g = list(range(n))
+        for a, b in pairs:
+            g = [g[a] if x == g[b] else x for x in g]
+        return {tuple(i for i in range(n) if g[i] == x) for x in g}
+
+    for sides in (side, np.zeros(n, int)):
+        got = o6.cell_links(sets, sides, np.arange(n), alike, np.zeros((n, o6.BANDS), np.int64), 0, 0.8)
+        want = [(i, j) for i in range(n) for j in range(i) if o6.similarity(sets[i], sets[j]) >= 0.8 and (sides is not side or side[i] != side[j])]
+        assert parts(got) == parts(want) and len(want) > 50
+
+
 def test_op7_brute_force(spark, docs):
     w = TEXTS[10].split()
     items = [(1, " ".join(w[20:50])), (2, " ".join(w[60:73])), (3, "One, two!"), (4, None), (5, "..."), (6, " ".join(w[20:50])), (None, "a")]
