@@ -4,7 +4,7 @@ A page is parted into blocks.  Blocks of menus, headers, footers, sidebars, noti
 comments are named by their elements, classes and ids; blocks inside an article (or main) element are its text, and
 are never dropped for being repeated.  Everything that is not inside an article joins the token stream of its host:
 in the suffix array of the stream (by doubling, up to the length looked for) runs of 16 tokens that distinct pages
-share are marked, and on pages without an article the blocks that such runs cover go, the unique ones stay.
+share are marked, and the blocks that such runs cover go, the unique ones stay, whether the page has an article or not.
 
 Plan: pages are shuffled once by host; a host is dealt into blocks of pages of about 4 MB by its measured size, so a
 host may hold any share of the pages.
@@ -169,7 +169,6 @@ def extract_group(pages: list[str | None]) -> list[str]:
     marks = repeated(streams) if streams else []
     out = []
     for page, blocks in zip(pages, parsed):
-        whole = any(inside for _, inside, _ in blocks)
         mark, at, kept = marks[seen[page]], 0, []
         for text, inside, boiler in blocks:
             covered = False
@@ -177,7 +176,7 @@ def extract_group(pages: list[str | None]) -> list[str]:
                 n = text.count(" ") + 1
                 covered = bool(mark[at : at + n].all())
                 at += n
-            if not boiler and (inside if whole else not covered):
+            if not boiler and (inside or not covered):
                 kept.append(text)
         out.append("\n".join(kept))
     return out

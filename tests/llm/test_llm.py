@@ -294,6 +294,13 @@ def test_op8_suffix_array():
     assert o8.extract_group(pages) == [f"page {i} says w{i} x{i}" for i in range(3)]
 
 
+def test_op8_text_outside_articles():
+    notice = " ".join(f"n{i}" for i in range(20))
+    teaser = "<div>{}</div><div><p>main text {}</p></div><aside><article>teaser</article></aside>"
+    pages = [teaser.format(notice, i) for i in range(2)] + [f"<div>{notice}</div><p>unique lead</p><article>story</article>"]
+    assert o8.extract_group(pages) == ["main text 0", "main text 1", "unique lead\nstory"]
+
+
 def test_op9_and_op10_learn_and_hold_out(spark):
     rows, labels = [], []
     for i in range(600):
