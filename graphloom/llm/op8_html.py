@@ -1,13 +1,16 @@
-"""Main text of HTML pages: structure first, and a host's suffix array for what structure leaves open.
+"""Main text of HTML pages: structure first, and a host's repeated runs for what structure leaves open.
 
 A page is parted into blocks.  Blocks of menus, headers, footers, sidebars, notices, adverts, forms and reader
 comments are named by their elements, classes and ids; blocks inside an article (or main) element are its text, and
-are never dropped for being repeated.  Everything that is not inside an article joins the token stream of its host:
-in the suffix array of the stream (by doubling, up to the length looked for) runs of 16 tokens that distinct pages
-share are marked, and the blocks that such runs cover go, the unique ones stay, whether the page has an article or not.
+are never dropped for being repeated.  Everything that is not inside an article joins the token stream of its host: runs
+of 16 tokens that distinct pages of the host share are marked, and the blocks that such runs cover go, the unique ones
+stay, whether the page has an article or not.  ``extract_group`` does so for pages in memory, by the suffix array of
+their stream (by doubling, up to the length looked for).
 
-Plan: pages are shuffled once by host; a host is dealt into blocks of pages of about 4 MB by its measured size, so a
-host may hold any share of the pages.
+Plan: over tables a run is a 64-bit hash of its host and tokens.  Of every run the least and the greatest hash of a page
+that has it are aggregated (map-side first), which differ where distinct pages share it; the runs of blocks that
+structure leaves open meet these.  So a host may hold any share of the pages and its pages get the same texts at any
+size.
 
 Cases: null or empty html: empty text.  Null url: the empty host.  Null page_id and repeated rows: kept; equal pages
 count as one when repeats are sought.  Empty table: no rows.  Very long pages: whole.  Unclosed elements end with
@@ -16,6 +19,7 @@ their parents.  Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
 import re
 
@@ -24,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import materialize, read_table, rows_to_batch, small_batches
+from .op6_minhash import _mix, word_hashes
 
 RUN = 16
-GROUP_BYTES = 4 << 20
 
 #: Element and attribute names by their role in a page (fixed values of the markup language and of common usage).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -182,20 +186,95 @@ def extract_group(pages: list[str | None]) -> list[str]:
     return out
 
 
+def run_hashes(host: str, stream: str, run: int = RUN) -> np.ndarray:
+    """A 64-bit hash of the host and of every run of ``run`` tokens of the stream."""
+    # other white space than the space parts no words here, as text of a block has none
+    (words,) = word_hashes([stream.encode("utf-8", "surrogatepass")])
+    n = len(words) - run + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    h = np.full(n, int.from_bytes(hashlib.blake2b(host.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"), np.uint64)
+    power = np.uint64(1)
+    for j in range(run):
+        power *= np.uint64(0x9E3779B97F4A7C15)
+        h += words[j : j + n] * power
+    return _mix(h).view(np.int64)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[^/:?#]+:)?//([^/?#]*)", 1), F.lit(""))).alias("host"))
-    sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.coalesce(F.length("html"), F.lit(0))) / GROUP_BYTES).alias("parts")).filter("parts > 1")
-    # only large hosts have a row here; Spark broadcasts the table while it is small and splits hot hosts otherwise
-    joined = rows.join(materialize(sizes, "hosts"), "host", "left")
-    dealt = joined.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))))
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("page_id", "ascending"), ("url", "ascending")])
-        texts = extract_group(group.column("html").to_pylist())
-        return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(texts, pa.string())})
-
-    return dealt.select("host", "part", "page_id", "url", "html").groupBy("host", "part").applyInArrow(run, "page_id long, url string, text string")
+    host = F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[^/:?#]+:)?//([^/?#]*)", 1), F.lit("")))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
+    run_schema = pa.schema([("run", pa.int64()), ("least", pa.int64()), ("most", pa.int64())])
+    block = pa.struct([("text", pa.string()), ("inside", pa.bool_())])
+    page_schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("blocks", pa.list_(block)), ("runs", pa.list_(pa.int64()))])
+
+    def stream_of(blocks):
+        return " ".join(text for text, inside, _ in blocks if not inside)
+
+    def count(batches):
+        for part in small_batches(batches):
+            runs, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for h, page in part:
+                runs.append(run_hashes(h, stream_of(blocks_of(page))))
+                key = hashlib.blake2b((page or "").encode("utf-8", "surrogatepass"), digest_size=8).digest()
+                keys.append(np.full(len(runs[-1]), int.from_bytes(key, "little", signed=True)))
+            runs, back = np.unique(np.concatenate(runs), return_inverse=True)
+            keys, least = np.concatenate(keys), np.full(len(runs), np.iinfo(np.int64).max)
+            most = np.full(len(runs), np.iinfo(np.int64).min)
+            np.minimum.at(least, back, keys)
+            np.maximum.at(most, back, keys)
+            yield pa.RecordBatch.from_arrays([pa.array(runs), pa.array(least), pa.array(most)], schema=run_schema)
+
+    def structure(batches):
+        """The text, or the blocks and the stream's runs where repeats have a say."""
+        for part in small_batches(batches):
+            out = []
+            for page_id, url, h, page in part:
+                blocks = blocks_of(page)
+                open_ = [not inside and not boiler for _, inside, boiler in blocks]
+                runs = run_hashes(h, stream_of(blocks)) if any(open_) else []
+                if len(runs):
+                    # boilerplate keeps its place in the stream; inside is null for it
+                    kept = [{"text": text, "inside": None if boiler and not inside else inside} for text, inside, boiler in blocks if not (boiler and inside)]
+                    out.append((page_id, url, None, kept, runs.tolist()))
+                else:
+                    out.append((page_id, url, "\n".join(text for text, _, boiler in blocks if not boiler), None, None))
+            yield rows_to_batch(out, page_schema)
+
+    def finish(batches):
+        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+        for part in small_batches(batches):
+            out = []
+            for page_id, url, blocks, runs, hit in part:
+                starts = np.flatnonzero(np.isin(np.array(runs, np.int64), np.array(hit or [], np.int64)))
+                cover = np.zeros(len(runs) + RUN, np.int64)  # as many as tokens, and one
+                cover[starts] += 1
+                cover[starts + RUN] -= 1
+                mark, at, kept = np.cumsum(cover)[:-1] > 0, 0, []
+                for b in blocks:
+                    covered = False
+                    if not b["inside"]:
+                        n = b["text"].count(" ") + 1
+                        covered = bool(mark[at : at + n].all())
+                        at += n
+                    if b["inside"] is not None and not covered:
+                        kept.append(b["text"])
+                out.append((page_id, url, "\n".join(kept)))
+            yield rows_to_batch(out, schema)
+
+    parsed = rows.mapInArrow(structure, "page_id long, url string, text string, blocks array<struct<text: string, inside: boolean>>, runs array<long>")
+    parsed = materialize(parsed.withColumn("rid", F.monotonically_increasing_id()), "pages")
+    asking = parsed.filter("runs is not null")
+    settled = parsed.filter("runs is null").select("page_id", "url", "text")
+    if asking.isEmpty():
+        return settled
+    counted = rows.select("host", "html").mapInArrow(count, "run long, least long, most long")
+    shared = counted.groupBy("run").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most").select("run")
+    met = asking.select("rid", F.explode(F.array_distinct("runs")).alias("run")).join(shared, "run")
+    hits = met.groupBy("rid").agg(F.collect_list("run").alias("hit"))
+    judged = asking.join(hits, "rid", "left").select("page_id", "url", "blocks", "runs", "hit")
+    return settled.unionByName(judged.mapInArrow(finish, "page_id long, url string, text string"))
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

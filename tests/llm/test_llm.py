@@ -301,6 +301,24 @@ def test_op8_text_outside_articles():
     assert o8.extract_group(pages) == ["main text 0", "main text 1", "unique lead\nstory"]
 
 
+def test_op8_large_host_equals_memory(spark):
+    """Pages of one host of over 8 MB: runs are found over all of them, as by the suffix array of the whole host."""
+    r, filler = random.Random(9), "<!--" + "x" * 150_000 + "-->"
+    notices = [" ".join(f"n{k}w{i}" for i in range(25)) for k in range(30)]
+    pages = []
+    for i in range(60):  # every notice stands on two pages
+        blocks = [f"<div>{notices[i % 30]}</div>", f"<div>own {i} text {r.random()}</div>", "<nav>menu</nav>"]
+        r.shuffle(blocks)
+        pages.append(f"{filler}{''.join(blocks)}" + ("<article>story é</article>" if i % 4 == 0 else ""))
+    pages[7] += f"<p>{prose(40, 8)}</p>"
+    pages += [pages[7], None]
+    table = spark.createDataFrame([(i, f"http://big.host/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(5)
+    other = spark.createDataFrame([(900, "http://other.host/", pages[1])], table.schema)
+    got = {r["page_id"]: r["text"] for r in o8.extract(table.union(other)).collect()}
+    assert [got[i] for i in range(len(pages))] == o8.extract_group(pages)
+    assert not any("n7w3" in got[i] for i in range(60)) and "n1w3" in got[900]
+
+
 def test_op9_and_op10_learn_and_hold_out(spark):
     rows, labels = [], []
     for i in range(600):
