@@ -15,8 +15,10 @@ choice divides an unseen word's probability by one minus the sum of the trie's p
 Plan: count all words and segments (map-side combining); count the trie's edges from the distinct words; score every
 distinct word once; the ``HOT`` most frequent words and ``HOT_SEGMENTS`` segments are looked up while the documents
 stream by, the other segments meet their table in one join and the other words theirs in the next.  So no key is hot,
-and words, segments, counts and edges all grow with the corpus.  The trie goes to
-every task; it is the longest order whose edges fit ``MAX_EDGES`` (order 1 always does, having 256*256 at most).
+and words, segments, counts and edges all grow with the corpus.  The trie has order ``ORDER`` at every size.  Up to
+``MAX_EDGES`` edges it goes to every task; beyond, its table stays where it was written, the distinct contexts and bytes
+that words ask for are scored next to the edges that end in the same two bytes, and words sum what they asked for.  Both
+give the same scores.
 
 Cases: null or empty text: one token, the end.  Null doc_id: kept.  Repeated rows and doc_ids: one result each.
 Empty table: no rows.  Without training documents every byte is equally likely.  Very long texts: whole.  Other
@@ -38,7 +40,7 @@ from .common import LOWER, fold, id_and_text, materialize, read_table, rows_to_b
 from .op6_minhash import _mix, word_hashes
 
 ORDER = 5
-MAX_EDGES = 1 << 22
+MAX_EDGES = 1 << 22  # of a trie that goes to every task
 HOT = 400_000
 HOT_SEGMENTS = 100_000
 CUT = 8  # words in a segment on average
@@ -131,9 +133,8 @@ class Trie:
         self.memo[depth, edge] = out
         return out
 
-    def score(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of every word."""
-        edge, depth, word = edges_of(words, self.order)
+    def score_edges(self, edge: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """log10 probability of the byte of every edge."""
         out = np.zeros(len(edge))
         for j in range(self.order + 1):
             at = np.flatnonzero(depth == j)
@@ -145,11 +146,16 @@ class Trie:
             out[at[found]] = logp[where[found]]
             for i in at[~found]:
                 out[i] = self.escape(j, int(edge[i]))
-        return np.bincount(word, out, len(words))
+        return out
 
+    def score(self, words: list[bytes]) -> np.ndarray:
+        """log10 probability of every word."""
+        edge, depth, word = edges_of(words, self.order)
+        return np.bincount(word, self.score_edges(edge, depth), len(words))
 
-def train(words: DataFrame, order: int = ORDER, max_edges: int = MAX_EDGES) -> Trie:
-    """words: token, c.  Edges of the words with c > 0 are counted in Spark; only their table, of checked size, is gathered."""
+
+def train(words: DataFrame, order: int = ORDER) -> DataFrame:
+    """words: token, c.  The written table of edges (edge, depth, n) of the words with c > 0."""
     schema = pa.schema([("edge", pa.int64()), ("depth", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
@@ -162,15 +168,74 @@ def train(words: DataFrame, order: int = ORDER, max_edges: int = MAX_EDGES) -> T
             yield pa.RecordBatch.from_arrays([pa.array((keys & np.uint64((1 << 56) - 1)).astype(np.int64)), pa.array((keys >> np.uint64(56)).astype(np.int32)), pa.array(n.astype(np.int64))], schema=schema)
 
     counted = words.filter("c > 0").select("token").mapInArrow(run, "edge long, depth int, n long")
-    table = materialize(counted.groupBy("edge", "depth").agg(F.sum("n").alias("n")), "trie")
-    while order > 1 and table.count() > max_edges:
-        order -= 1
-        cut = table.select(F.expr(f"edge & {(1 << 8 * (order + 1)) - 1}").alias("edge"), F.least("depth", F.lit(order)).alias("depth"), "n")
-        table = materialize(cut.groupBy("edge", "depth").agg(F.sum("n").alias("n")), "trie")
-    got = table.toArrow()
+    return materialize(counted.groupBy("edge", "depth").agg(F.sum("n").alias("n")), "trie")
+
+
+def gathered(table: DataFrame | pa.Table, order: int) -> Trie:
+    got = table.toArrow() if isinstance(table, DataFrame) else table
     return Trie(got["edge"].to_numpy().astype(np.uint64), got["depth"].to_numpy(), got["n"].to_numpy().astype(float), order)
 
 
+def spell(words: DataFrame, table: DataFrame, order: int) -> DataFrame:
+    """token, c, n, lp: words scored by a trie that fits every task."""
+    trie = words.sparkSession.sparkContext.broadcast(gathered(table, order))
+
+    def score(batches):
+        schema = pa.schema([("token", pa.binary()), ("c", pa.int64()), ("n", pa.int64()), ("lp", pa.float64())])
+        for batch in batches:
+            if batch.num_rows:
+                lp = trie.value.score(batch.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp)], schema=schema)
+
+    return words.select("token", "c", "n").mapInArrow(score, "token binary, c long, n long, lp double")
+
+
+def spell_by_joins(words: DataFrame, table: DataFrame, order: int) -> DataFrame:
+    """token, c, n, lp: the same by a trie of any size.
+
+    Contexts of up to one byte have 256 * 256 edges at most and go to every task; all longer ones of a place end in the
+    same two bytes, so the edges of those decide it.
+    """
+    short = table.select(F.expr("edge & 65535").alias("edge"), F.least("depth", F.lit(1)).alias("depth"), "n")
+    low = words.sparkSession.sparkContext.broadcast(gathered(short.groupBy("edge", "depth").agg(F.sum("n").alias("n")), 1))
+    place_schema = pa.schema([("token", pa.binary()), ("edge", pa.int64()), ("depth", pa.int32()), ("short_lp", pa.float64())])
+    asked_schema = pa.schema([("edge", pa.int64()), ("depth", pa.int32()), ("lp", pa.float64())])
+
+    def places(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                tokens = batch.column(0).slice(at, 1000).to_pylist()
+                edge, depth, word = edges_of(tokens, order)
+                deep = depth > 1
+                lp = np.bincount(word[~deep], low.value.score_edges(edge[~deep], depth[~deep]), len(tokens))
+                of = np.r_[np.arange(len(tokens)), word[deep]]
+                none = np.r_[np.ones(len(tokens), bool), np.zeros(int(deep.sum()), bool)]
+                columns = [
+                    pa.array([tokens[i] for i in of], pa.binary()),
+                    pa.array(np.r_[np.zeros(len(tokens), np.int64), edge[deep].astype(np.int64)], mask=none),
+                    pa.array(np.r_[np.zeros(len(tokens), np.int32), depth[deep].astype(np.int32)], pa.int32(), mask=none),
+                    pa.array(np.r_[lp, np.zeros(int(deep.sum()))], mask=~none),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=place_schema)
+
+    def decide(edges: pa.Table, asked: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return asked_schema.empty_table()
+        trie = gathered(edges, order)
+        trie.levels[:2] = low.value.levels
+        lp = trie.score_edges(asked["edge"].to_numpy().astype(np.uint64), asked["depth"].to_numpy())
+        return pa.table([asked["edge"], asked["depth"], pa.array(lp)], schema=asked_schema)
+
+    spelled = materialize(words.select("token").mapInArrow(places, "token binary, edge long, depth int, short_lp double"), "places")
+    asked = spelled.filter("edge is not null").select("edge", "depth").distinct()
+    last_two = F.expr("shiftright(edge, 8) & 65535").alias("last_two")
+    long_edges = table.filter("depth > 1").select("edge", "depth", "n", last_two)
+    decided = long_edges.groupBy("last_two").cogroup(asked.select("edge", "depth", last_two).groupBy("last_two")).applyInArrow(decide, "edge long, depth int, lp double")
+    met = spelled.join(materialize(decided, "edge-scores"), ["edge", "depth"], "left")
+    by_word = met.groupBy("token").agg(F.sum(F.coalesce("short_lp", "lp")).alias("lp"))
+    return words.select("token", "c", "n").join(by_word, "token")
+
+
 # ---------------------------------------------------------------- the documents
 
 
@@ -228,32 +293,25 @@ def count_segments(docs: DataFrame, cut: int = CUT) -> DataFrame:
     return docs.select("held_out", "text").mapInArrow(run, "h long, c long, n long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def score_words(words: DataFrame, n_train: int, v: int, order: int) -> DataFrame:
+def score_words(words: DataFrame, n_train: int, v: int, order: int, max_edges: int = MAX_EDGES) -> DataFrame:
     """token, c, n, lp: the log10 probability of every word, seen in training or spelled out."""
-    trie = words.sparkSession.sparkContext.broadcast(train(words, order))
-
-    def score(batches):
-        schema = pa.schema([("token", pa.binary()), ("c", pa.int64()), ("n", pa.int64()), ("lp", pa.float64())])
-        for batch in batches:
-            if batch.num_rows:
-                lp = trie.value.score(batch.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp)], schema=schema)
-
-    spelled = materialize(words.select("token", "c", "n").mapInArrow(score, "token binary, c long, n long, lp double"), "word-spellings")
+    table = train(words, order)
+    way = spell if table.count() <= max_edges else spell_by_joins
+    spelled = materialize(way(words, table, order), "word-spellings")
     known_mass = spelled.filter("c > 0").agg(F.coalesce(F.sum(F.pow(F.lit(10.0), "lp")), F.lit(0.0)).alias("m")).first()["m"]
     unseen = (math.log10(v / (2 * n_train)) if n_train else 0.0) - math.log10(max(1e-12, 1 - known_mass))
     seen_before = F.log10((2 * F.col("c") - 1) / F.lit(2.0 * max(1, n_train)))
     return spelled.withColumn("lp", F.when(F.col("c") > 0, seen_before).otherwise(F.col("lp") + F.lit(unseen)))
 
 
-def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = ORDER, hot: int = HOT, hot_segments: int = HOT_SEGMENTS, cut: int = CUT) -> DataFrame:
+def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = ORDER, hot: int = HOT, hot_segments: int = HOT_SEGMENTS, cut: int = CUT, max_edges: int = MAX_EDGES) -> DataFrame:
     spark = docs.sparkSession
     docs = id_and_text(docs).withColumn("held_out", fold("doc_id", modulus) == remainder)
     words, segments = materialize(count_words(docs, remainder), "words"), materialize(count_segments(docs, cut), "segments")
     total = [F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")]
     (n_train, v), (n_segments, v_segments) = words.agg(*total).first(), segments.agg(*total).first()
     floor = n_train + v + 1
-    scored = score_words(words, n_train, v, order)
+    scored = score_words(words, n_train, v, order, max_edges)
     top = scored.orderBy(F.desc("n"), "token").limit(hot).toArrow()
     c = top["c"].to_numpy()
     names = top["token"].to_pylist()

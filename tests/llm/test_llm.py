@@ -138,6 +138,16 @@ def test_op2_brute_force(docs):
     assert o2.score_documents(docs.limit(0)).count() == 0
 
 
+def test_op2_order_does_not_depend_on_size(docs):
+    """A trie that doesn't fit the tasks keeps its order and scores like one that does."""
+    held = docs.unionByName(docs.sparkSession.createDataFrame([(i, prose(5, i) + f" anther{i}so tionx{i}", 0.5, 1, "k", "h") for i in range(500, 560)], SCHEMA))
+    small, large = ({key(r["doc_id"]): r["score"] for r in o2.score_documents(held, max_edges=m).collect()} for m in (o2.MAX_EDGES, 100))
+    assert small.keys() == large.keys()
+    assert all(large[d] == pytest.approx(x, rel=1e-9) for d, x in small.items())
+    words = docs.sparkSession.createDataFrame([(w.encode(), 1) for w in WORDS], "token binary, c long")
+    assert o2.train(words).agg({"depth": "max"}).first()[0] == 5
+
+
 def test_op2_trie_is_a_distribution():
     words = [w.encode() for w in WORDS[:50]]
     edge, depth, _ = o2.edges_of(words, 3)
