@@ -159,32 +159,54 @@ def read_segment(data: bytes, tables: dict) -> tuple[list, np.ndarray, np.ndarra
 
 
 class LibraryEncoder:
-    """Ids of whole texts by the tokenizers library's model, remembered per white-space separated chunk."""
-
-    def __init__(self, path: str, limit: int = 500_000):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-        self.splitter, self.memo, self.limit = PieceSplitter(path), {}, limit
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 65536 else np.dtype("<u4")
-        # pieces come normalised and split, so that the library only has its model to run on new ones
-        self.tok.normalizer = normalizers.Sequence([])
-        self.tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    """Ids of whole texts by the tokenizers library's model.
+
+    White-space separated chunks and their pieces are remembered, up to ``limit`` of either; chunks of more than
+    ``longest`` characters are not.  What was forgotten is encoded again, so ids never depend on either.
+    """
+
+    def __init__(self, path: str, limit: int = 1_000_000, longest: int = 64):
+        from tokenizers import Tokenizer
+
+        self.splitter, self.limit, self.longest = PieceSplitter(path), limit, longest
+        tok = Tokenizer.from_file(path)
+        self.model, self.alphabet = tok.model, byte_alphabet()
+        self.dtype = np.dtype("<u2") if tok.get_vocab_size() <= 65536 else np.dtype("<u4")
+        self.chunks: dict[str, bytes] = {}
+        self.special = {s: np.array([i], self.dtype).tobytes() for s, i in self.splitter.special.items()}
+        self.pieces: dict[str, bytes] = dict(self.special)
+
+    def _piece(self, piece: str) -> bytes:
+        spelled = "".join([self.alphabet[b] for b in piece.encode("utf-8", "surrogatepass")])
+        return np.array([t.id for t in self.model.tokenize(spelled)], self.dtype).tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        known, split = self.pieces, self.splitter.pieces
+        for chunk in new:
+            ids = []
+            for p in split(chunk):
+                if (i := known.get(p)) is None:
+                    i = self._piece(p)
+                    if len(p) <= self.longest:
+                        known[p] = i
+                ids.append(i)
+            self.chunks[chunk] = ids[0] if len(ids) == 1 else b"".join(ids)
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        memo = self.memo
-        if len(memo) > self.limit:
-            for key in list(memo)[: len(memo) // 2]:
-                del memo[key]
+        memo = self.chunks
         parts = [chunks(t) for t in texts]
-        new = [w for w in set().union(*parts) if w not in memo]
-        for at in range(0, len(new), 4000):
-            some = new[at : at + 4000]
-            said = self.tok.encode_batch_fast([self.splitter.pieces(w) for w in some], is_pretokenized=True, add_special_tokens=False)
-            memo.update(zip(some, (np.array(e.ids, self.dtype).tobytes() for e in said)))
-        return [b"".join(map(memo.__getitem__, p)) + end for p in parts]
+        new = set().union(*parts).difference(memo)
+        self._learn(new)
+        out = [b"".join(map(memo.__getitem__, p)) + end for p in parts]
+        for chunk in new:
+            if len(chunk) > self.longest:
+                del memo[chunk]
+        for known in (memo, self.pieces):
+            if len(known) > self.limit:
+                for key in list(known)[: len(known) // 2]:
+                    del known[key]
+                self.pieces.update(self.special)
+        return out
 
 
 _encoders: dict[str, LibraryEncoder] = {}

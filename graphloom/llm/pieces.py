@@ -51,8 +51,9 @@ class PieceSplitter:
 
     def _run(self, text: str) -> list[str]:
         core = text.rstrip(",.")
-        if core.isalpha() and (text.isascii() or max(text) < "\u0250"):  # a word and what ends it, by far most chunks
-            return [self.normalize(core), text[len(core) :]] if len(core) < len(text) else [self.normalize(text)]
+        word = self.normalize(core)  # tested after it: lower case can turn a letter into one and a mark
+        if word.isalpha() and (text.isascii() or max(text) < "\u0250"):  # a word and what ends it, by far most chunks
+            return [word, text[len(core) :]] if len(core) < len(text) else [word]
         if self.plain.fullmatch(text):
             return self.pattern.findall(self.normalize(text))
         if self.own is None:
@@ -80,13 +81,25 @@ def chunks(text: str) -> list[str]:
     return text.split()
 
 
+_SPACE = regex.compile(r"[\t-\r \x85\p{Z}]")
+
+
+def slices(text: str, size: int = 1 << 16):
+    """Parts of a text of about ``size`` characters, cut at white space: their encodings concatenate to the text's."""
+    at = 0
+    while len(text) - at > size and (m := _SPACE.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
 class Memo(dict):
     """chunk -> value.  Holds at most ``limit`` entries: beyond it the older half of the entries goes.
 
     It only saves work; a forgotten chunk is computed again, so results never depend on the limit.
     """
 
-    def __init__(self, compute, limit: int = 400_000, longest: int = 64):
+    def __init__(self, compute, limit: int = 1_000_000, longest: int = 64):
         super().__init__()
         self.compute, self.limit, self.longest = compute, limit, longest
 
