@@ -6,7 +6,7 @@ import codecs
 import json
 from collections.abc import Iterable, Iterator
 
-from .pieces import PieceSplitter, byte_alphabet
+from .pieces import PieceSplitter, byte_alphabet, slices
 
 
 class MergeTable:
@@ -59,7 +59,7 @@ class MergeTable:
                 ranks[i - 1] = rank((ids[i - 1], ids[i]), none)
         return ids
 
-    def stream(self, symbols: Iterable[int], widths: list[int], block: int = 256) -> Iterator[int]:
+    def stream(self, symbols: Iterable[int], widths: list[int], block: int = 64) -> Iterator[int]:
         """Tokens of a symbol stream, each given out once it is stable.
 
         Holds at most ``block`` + lookahead symbols.  A token that ends at least ``lookahead`` bytes before the end
@@ -82,9 +82,9 @@ class MergeTable:
 
 
 class Transducer:
-    """Text to ids and back, piece by piece in constant memory beyond the text."""
+    """Text to ids, piece by piece in constant memory beyond the text."""
 
-    def __init__(self, path: str, block: int = 256):
+    def __init__(self, path: str, block: int = 64):
         self.table = t = MergeTable(path)
         self.splitter = PieceSplitter(path)
         self.block = block
@@ -92,22 +92,28 @@ class Transducer:
         names |= {i: s for s, i in self.splitter.special.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.widths = [t._width(n) for n in self.names]
-        back = {c: b for b, c in enumerate(t.alphabet)}
-        self.special_ids = set(self.splitter.special.values())
-        self._back = back
+        self._back = {c: b for b, c in enumerate(t.alphabet)}
 
-    def encode_piece(self, piece: str) -> list[int]:
+    def stream_piece(self, piece: str) -> Iterator[int]:
+        """Ids of a piece, each as soon as it is stable."""
         if piece in self.splitter.special:
-            return [self.splitter.special[piece]]
+            yield self.splitter.special[piece]
+            return
         raw = piece.encode("utf-8", "surrogatepass")
         first, last, n = self.table.first, self.table.last, len(raw) - 1
-        symbols = (last[b] if i == n else first[b] for i, b in enumerate(raw))
-        if len(raw) < self.block + self.table.lookahead:
-            return self.table.merge(list(symbols))
-        return list(self.table.stream(symbols, self.widths, self.block))
+        yield from self.table.stream((last[b] if i == n else first[b] for i, b in enumerate(raw)), self.widths, self.block)
+
+    def encode_piece(self, piece: str) -> list[int]:
+        return list(self.stream_piece(piece))
+
+    def stream(self, text: str) -> Iterator[int]:
+        """Ids of a text, each as soon as it is stable."""
+        for part in slices(text):
+            for p in self.splitter.pieces(part):
+                yield from self.stream_piece(p)
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.splitter.pieces(text) for i in self.encode_piece(p)]
+        return list(self.stream(text))
 
 
 Utf8Machine = codecs.getincrementaldecoder("utf-8")

@@ -1,6 +1,8 @@
-"""BPE encoding and decoding of document tables with the streaming transducer of ``bpe.py``.
+"""BPE encoding and decoding of document tables with the streaming transducer and the decoding machine of ``bpe.py``.
 
-The operator returns ids and decoded text; the query only their digests.
+The operator returns ids and what the machine makes of them; the query derives its digests from these columns.  Texts
+go through in slices cut at white space.  What the transducer gives out for a chunk between white space is remembered,
+as pieces never cross it; the decoding machine reads the ids of the whole document, slice after slice.
 
 Cases: null or empty text: no ids, empty text.  Null doc_id and repeated rows: kept.  Empty table: no rows.  Very long
 pre-tokens: constant memory by the transducer.  Special strings in a text become their ids, as the library does.
@@ -9,44 +11,40 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import Decoder, Transducer
 from .common import id_and_text, read_table, rows_to_batch, small_batches
-from .pieces import Memo, chunks, tokenizer_path
+from .pieces import Memo, chunks, slices, tokenizer_path
 
 
 class Codec:
-    """encode() and decode(), with memos per white-space separated chunk of text and per chunk's ids."""
+    """Transducer and decoding machine, with memos of pieces and of white-space separated chunks."""
 
     def __init__(self, path: str):
         self.bpe = Transducer(path)
         self.decoder = Decoder(self.bpe.names)
-        self.memo = Memo(self._chunk)
+        self.pieces = Memo(lambda piece: np.array(self.bpe.encode_piece(piece), np.int32).tobytes())
+        self.chunks = Memo(lambda chunk: b"".join(map(self.pieces.__getitem__, self.bpe.splitter.pieces(chunk))))
 
-    def _chunk(self, chunk: str) -> tuple[int, str, str]:
-        """Number of ids, the ids as decimal text, and what the decoding machine makes of them."""
-        ids = [i for p in self.bpe.splitter.pieces(chunk) for i in self.bpe.encode_piece(p)]
-        self.decoder.reset()
-        return len(ids), " ".join(map(str, ids)), self.decoder.feed(ids) + self.decoder.finish()
-
-    def digest(self, text: str) -> tuple[int, str, str]:
-        found = [v for v in map(self.memo.__getitem__, chunks(text)) if v[0]]
-        if not found:
-            empty = hashlib.sha256(b"").hexdigest()
-            return 0, empty, empty
-        sizes, ids, texts = zip(*found)
-        return sum(sizes), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(texts).encode()).hexdigest()
-
-    def encode(self, text: str) -> list[int]:
-        return [i for p in self.bpe.splitter.pieces(text) for i in self.bpe.encode_piece(p)]
+    def encode(self, text: str) -> Iterator[np.ndarray]:
+        """Ids of a text, slice by slice."""
+        for part in slices(text):
+            yield np.frombuffer(b"".join(map(self.chunks.__getitem__, chunks(part))), np.int32)
 
-    def decode(self, ids) -> str:
+    def decode(self, slices_of_ids) -> str:
         self.decoder.reset()
-        return self.decoder.feed(ids) + self.decoder.finish()
+        out = [self.decoder.feed(ids.tolist()) for ids in slices_of_ids]
+        return "".join([*out, self.decoder.finish()])
+
+    def trim(self) -> None:
+        self.pieces.trim()
+        self.chunks.trim()
 
 
 _codecs: dict[str, Codec] = {}
@@ -56,14 +54,23 @@ def _codec(path: str) -> Codec:
     return _codecs.get(path) or _codecs.setdefault(path, Codec(path))
 
 
+def _lists(lists: list[list[np.ndarray]]) -> pa.Array:
+    """One list of ids per row, from its slices."""
+    ends = np.cumsum([0, *(sum(map(len, row)) for row in lists)])
+    flat = [ids for row in lists for ids in row]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32()))
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (array of int)."""
     path = path or tokenizer_path()
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches):
+        codec = _codec(path)
         for rows in small_batches(batches):
-            yield rows_to_batch([(d, _codec(path).encode(t or "")) for d, t in rows], schema)
+            ids = [list(codec.encode(t or "")) for _, t in rows]
+            codec.trim()
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), _lists(ids)], ["doc_id", "ids"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -74,26 +81,46 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches):
+        codec = _codec(path)
         for rows in small_batches(batches):
-            yield rows_to_batch([(d, _codec(path).decode(i or [])) for d, i in rows], schema)
+            yield rows_to_batch([(d, codec.decode([np.array(i or [], np.int32)])) for d, i in rows], schema)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text, in one pass."""
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids and the text they decode to, in one pass: a slice is decoded as soon as it is encoded."""
     path = path or tokenizer_path()
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):
         codec = _codec(path)
         for rows in small_batches(batches):
-            out = [(d, *codec.digest(t or "")) for d, t in rows]
-            codec.memo.trim()
-            yield rows_to_batch(out, schema)
+            ids, texts = [], []
+            for _, t in rows:
+                ids.append([])
+
+                def kept(row=ids[-1], text=t or ""):
+                    for some in codec.encode(text):
+                        row.append(some)
+                        yield some
+
+                texts.append(codec.decode(kept()))
+            codec.trim()
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), _lists(ids), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+
+    return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>, text string")
+
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(coded: DataFrame, *kept: str) -> DataFrame:
+    """Counts and digests of the ids and texts of ``round_trip``, beside the columns to keep."""
+    return coded.select(
+        "doc_id",
+        *kept,
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip_digests(read_table(spark, sf_dir, "documents"))
+    return digests(round_trip(read_table(spark, sf_dir, "documents")))
