@@ -23,6 +23,7 @@ class TokenCounter:
     def __init__(self, path: str):
         self.bpe = Transducer(path)
         self.proven = self._prove()
+        self.merged = Memo(lambda piece: sum(1 for _ in self.bpe.stream_piece(piece)))
         self.memo = Memo(self.count_chunk)
 
     def _prove(self) -> set[str]:
@@ -41,12 +42,16 @@ class TokenCounter:
         return out
 
     def count_chunk(self, chunk: str) -> int:
-        proven, encode = self.proven, self.bpe.encode_piece
-        return sum(1 if p in proven else len(encode(p)) for p in self.bpe.splitter.pieces(chunk))
+        proven, merged = self.proven, self.merged
+        return sum(1 if p in proven else merged[p] for p in self.bpe.splitter.pieces(chunk))
 
     def count(self, text: str) -> int:
         return sum(map(self.memo.__getitem__, chunks(text)))
 
+    def trim(self) -> None:
+        self.memo.trim()
+        self.merged.trim()
+
 
 _counters: dict[str, TokenCounter] = {}
 
@@ -59,7 +64,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
         counter = _counters.get(path) or _counters.setdefault(path, TokenCounter(path))
         for rows in small_batches(batches):
             out = [(d, len((t or "").encode()), n := counter.count(t or ""), n > limit) for d, t in rows]
-            counter.memo.trim()
+            counter.trim()
             yield rows_to_batch(out, schema)
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
