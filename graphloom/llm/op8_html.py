@@ -1,8 +1,8 @@
 """Main text of HTML pages: structure first, and a host's repeated runs for what structure leaves open.
 
 A page is parted into blocks.  Blocks of menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments are named by their elements, classes and ids; blocks inside an article (or main) element are its text, and
-are never dropped for being repeated.  Everything that is not inside an article joins the token stream of its host: runs
+comments are named by their elements and roles, and by classes and ids that name the element's own role; blocks inside an
+article (or main) element are its text, and are never dropped for being repeated.  Everything that is not inside an article joins the token stream of its host: runs
 of 16 tokens that distinct pages of the host share are marked, and the blocks that such runs cover go, the unique ones
 stay, whether the page has an article or not.  ``extract_group`` does so for pages in memory, by the suffix array of
 their stream (by doubling, up to the length looked for).
@@ -39,7 +39,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-DROPPED = frozenset("nav footer aside form head title button select option optgroup menu dialog iframe object canvas audio video label input datalist".split())
+DROPPED = frozenset("nav footer aside form head title button select option optgroup menu dialog iframe object canvas audio video input datalist".split())
 RAW = "script|style|template|noscript|textarea|svg|xmp"
 BOILER_NAMES = frozenset(
     "ad ads adv advert advertisement advertisements adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer "
@@ -48,41 +48,71 @@ BOILER_NAMES = frozenset(
     "taboola toolbar topbar widget".split()
 )
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: Names that may as well stand for a part of the article when they are inside it, or behind a word for it.
+HEADS = frozenset("banner disclaimer discussion form header masthead".split())
+OF_ARTICLE = frozenset("article chapter content entry page post section story title".split())
+#: Words behind a name that only say that the element holds it, and words before one that speak of the page's state.
+HOLDERS = frozenset(
+    "area articles bar block body box button buttons container content group holder icons inner item items link links list media outer panel posts "
+    "row section slot stories thread unit wrap wrapper".split()
+)
+STATES = frozenset("can enable has hide is js no not show with without".split())
 
 _PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_PARTS = re.compile(r"[a-z]+", re.I)
+_PARTS = re.compile(r"[A-Z]*[a-z]+|[A-Z]+")
 
+#: How a block was found to be boilerplate: not at all, by a class or id, by an element or role, or in an article below a
+#: class or id that says so.
+TEXT, NAMED, CERTAIN, BELOW_NAMED = range(4)
 
-def _boiler(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in DROPPED or (tag == "header" and not in_article):
-        return True
-    if "=" not in attributes:
+
+def _says_boiler(name: str, in_article: bool) -> bool:
+    """Whether a class or id names boilerplate as the element's own role: ``site-footer`` does, ``has-footer`` doesn't."""
+    parts = [p.lower() for p in _PARTS.findall(name)]
+    while len(parts) > 1 and parts[-1] in HOLDERS:
+        parts.pop()
+    if not parts or parts[-1] not in BOILER_NAMES or parts[0] in STATES:
         return False
+    return not (parts[-1] in HEADS and (in_article or OF_ARTICLE.intersection(parts[:-1])))
+
+
+def _boiler(tag: str, attributes: str, in_article: bool) -> int:
+    if tag in DROPPED or (tag == "header" and not in_article):
+        return CERTAIN
+    if "=" not in attributes or tag in ("body", "html", "main"):
+        return TEXT
+    found = TEXT
     for key, a, b, c in _NAMES.findall(attributes):
-        names = {p.lower() for p in _PARTS.findall(a or b or c)}
-        if names & (BOILER_ROLES if key.lower() == "role" else BOILER_NAMES) and tag not in ("body", "html", "article", "main"):
-            return True
-    return False
+        names = (a or b or c).split()
+        if key.lower() == "role":
+            if BOILER_ROLES.intersection(n.lower() for n in names) and tag != "article":
+                return CERTAIN
+        elif any(_says_boiler(n, in_article) for n in names):
+            found = NAMED
+    return found
 
 
 def blocks_of(page: str | None) -> list[tuple[str, bool, bool]]:
-    """(text, inside an article, boilerplate by structure) of every block in page order."""
-    out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, inside an article, boilerplate
+    """(text, inside an article, boilerplate by structure) of every block in page order.
+
+    A class or id never takes an article away that stands below it, unless the page has an article elsewhere.
+    """
+    out: list[tuple[str, bool, int]] = []
+    stack: list[tuple[str, bool, int]] = []  # element, inside an article, how it is boilerplate
     held: list[str] = []
-    article = boiler = False
+    article, state = False, TEXT
 
     def flush():
         text = " ".join(htmllib.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append((text, article, boiler))
+            out.append((text, article, state))
 
     def pop_to(i: int):
-        nonlocal article, boiler
+        nonlocal article, state
         del stack[i:]
-        article, boiler = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        article, state = (stack[-1][1], stack[-1][2]) if stack else (False, TEXT)
 
     for m in _PIECE.finditer(page or ""):
         tag = m.group(3)
@@ -103,7 +133,7 @@ def blocks_of(page: str | None) -> list[tuple[str, bool, bool]]:
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    if tag not in BLOCK and stack[i][2] != (stack[i - 1][2] if i else False):
+                    if tag not in BLOCK and stack[i][2] != (stack[i - 1][2] if i else TEXT):
                         flush()
                     pop_to(i)
                     break
@@ -117,14 +147,18 @@ def blocks_of(page: str | None) -> list[tuple[str, bool, bool]]:
                     break
                 if stack[i][0] in BLOCK:
                     break
-        inside = article or tag in ("article", "main")
-        drop = boiler or _boiler(tag, m.group(4), article)
-        if tag not in BLOCK and drop != boiler:
+        is_article = tag in ("article", "main")
+        own = _boiler(tag, m.group(4), article)
+        now = own if state in (TEXT, BELOW_NAMED) and own else state
+        if is_article and own == TEXT and state == NAMED:
+            now = BELOW_NAMED
+        if tag not in BLOCK and now != state:
             flush()
-        stack.append((tag, inside, drop))
-        article, boiler = inside, drop
+        stack.append((tag, article or is_article, now))
+        article, state = stack[-1][1:]
     flush()
-    return out
+    elsewhere = any(inside and how == TEXT for _, inside, how in out)
+    return [(text, inside, how in (NAMED, CERTAIN) or (how == BELOW_NAMED and elsewhere)) for text, inside, how in out]
 
 
 def repeated(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:
