@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialize, new_dir, read_table
-from graphloom.llm.op4_bpe import round_trip_digests
+from graphloom.llm.op4_bpe import digests, round_trip
 from graphloom.llm.op6_minhash import near_duplicate_groups
 from graphloom.llm.op7_decontamination import contamination
 from graphloom.llm.op9_toxicity import toxicity
@@ -44,7 +44,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return round_trip_digests(docs)
+    """doc_id, the ids, and the digests of ids and decoded text."""
+    coded = round_trip(docs)
+    return digests(coded, "ids")
 
 
 STAGES = [
@@ -55,7 +57,7 @@ STAGES = [
     ("encoding", encoding_stage),
 ]
 
-#: Trained models can't be expressed in SQL; the pipeline is tested against brute force.
+#: Trained models can't be expressed in SQL; every stage is tested against the rows that its operator rejects.
 ORACLE_SQL = None
 
 
