@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import filesystem, id_and_text, materialize, new_dir, partitions_for, read_table, rows_to_batch, small_batches
-from .pieces import PieceSplitter, byte_alphabet, chunks, tokenizer_path
+from .pieces import Memo, PieceSplitter, byte_alphabet, chunks, tokenizer_path
 
 BLOCK = 512
 SEGMENT_TOKENS = 1_000_000
@@ -159,53 +159,30 @@ def read_segment(data: bytes, tables: dict) -> tuple[list, np.ndarray, np.ndarra
 
 
 class LibraryEncoder:
-    """Ids of whole texts by the tokenizers library's model.
+    """Ids of whole texts by the tokenizers library's model, with memos of pieces and of white-space separated chunks."""
 
-    White-space separated chunks and their pieces are remembered, up to ``limit`` of either; chunks of more than
-    ``longest`` characters are not.  What was forgotten is encoded again, so ids never depend on either.
-    """
-
-    def __init__(self, path: str, limit: int = 1_000_000, longest: int = 64):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.splitter, self.limit, self.longest = PieceSplitter(path), limit, longest
+        self.splitter = PieceSplitter(path)
         tok = Tokenizer.from_file(path)
         self.model, self.alphabet = tok.model, byte_alphabet()
         self.dtype = np.dtype("<u2") if tok.get_vocab_size() <= 65536 else np.dtype("<u4")
-        self.chunks: dict[str, bytes] = {}
-        self.special = {s: np.array([i], self.dtype).tobytes() for s, i in self.splitter.special.items()}
-        self.pieces: dict[str, bytes] = dict(self.special)
+        self.pieces = Memo(self._piece)
+        self.chunks = Memo(lambda chunk: b"".join(map(self.pieces.__getitem__, self.splitter.pieces(chunk))))
 
     def _piece(self, piece: str) -> bytes:
-        spelled = "".join([self.alphabet[b] for b in piece.encode("utf-8", "surrogatepass")])
-        return np.array([t.id for t in self.model.tokenize(spelled)], self.dtype).tobytes()
-
-    def _learn(self, new: set[str]) -> None:
-        known, split = self.pieces, self.splitter.pieces
-        for chunk in new:
-            ids = []
-            for p in split(chunk):
-                if (i := known.get(p)) is None:
-                    i = self._piece(p)
-                    if len(p) <= self.longest:
-                        known[p] = i
-                ids.append(i)
-            self.chunks[chunk] = ids[0] if len(ids) == 1 else b"".join(ids)
+        if piece in self.splitter.special:
+            ids = [self.splitter.special[piece]]
+        else:
+            spelled = "".join([self.alphabet[b] for b in piece.encode("utf-8", "surrogatepass")])
+            ids = [t.id for t in self.model.tokenize(spelled)]
+        return np.array(ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        memo = self.chunks
-        parts = [chunks(t) for t in texts]
-        new = set().union(*parts).difference(memo)
-        self._learn(new)
-        out = [b"".join(map(memo.__getitem__, p)) + end for p in parts]
-        for chunk in new:
-            if len(chunk) > self.longest:
-                del memo[chunk]
-        for known in (memo, self.pieces):
-            if len(known) > self.limit:
-                for key in list(known)[: len(known) // 2]:
-                    del known[key]
-                self.pieces.update(self.special)
+        out = [b"".join(map(self.chunks.__getitem__, chunks(t))) + end for t in texts]
+        self.pieces.trim()
+        self.chunks.trim()
         return out
 
 
