@@ -1,24 +1,18 @@
 """Language-model scores by prediction by partial matching over bytes, pretrained on the training documents.
 
-A text is its lower-cased words and one end.  The longest contexts are whole segments: runs of words that end with a
-word whose hash is 0 modulo ``CUT`` (or with the end), so equal passages are cut alike wherever they stand and every
-text has one segmentation.  A segment seen c of N times has (2c-1)/2N, all unseen ones together the escape V/2N times
-the probabilities of their words; what seen segments have there as words is not given back, so probabilities of all
-texts sum to less than one, never to more.  Segments are told apart by 64-bit hashes of their bytes.  Below them whole
-words are symbols: a word seen c of N times has (2c-1)/2N, all unseen words together the escape V/2N.  Under it a trie over the bytes of the distinct
-training words (so counted once each: update exclusion) tells which byte follows up to ``ORDER`` bytes of a word and
-the space before it.  There, too, the longest context seen decides: (2c-1)/2n for a byte seen c of n times, else the
-context's escape d/2n (d distinct bytes) times what the next shorter context gives once the bytes seen above are
-excluded; below the empty context the remaining bytes are equally likely.  Excluding the known words from the trie's
-choice divides an unseen word's probability by one minus the sum of the trie's probabilities of all known words.
-
-Plan: count all words and segments (map-side combining); count the trie's edges from the distinct words; score every
-distinct word once; the ``HOT`` most frequent words and ``HOT_SEGMENTS`` segments are looked up while the documents
-stream by, the other segments meet their table in one join and the other words theirs in the next.  So no key is hot,
-and words, segments, counts and edges all grow with the corpus.  The trie has order ``ORDER`` at every size.  Up to
-``MAX_EDGES`` edges it goes to every task; beyond, its table stays where it was written, the distinct contexts and bytes
-that words ask for are scored next to the edges that end in the same two bytes, and words sum what they asked for.  Both
-give the same scores.
+A text is written as a space, its lower-cased words with a space behind each, and the end.  Every byte behind the first
+is predicted from up to ``ORDER`` bytes before it, across word borders.  The trie of contexts holds how often each byte
+followed each context in the training documents.  The longest context seen speaks first: a byte that followed it c of n
+times has (2c-1)/2n; else its escape d/2n (d distinct bytes) is paid and the next shorter context is asked, without the
+bytes that the longer ones have.  Below the empty context the bytes left are equally likely.  So the probabilities of all
+bytes in a context sum to one.
+
+Plan: a place is a context with the byte that follows it, packed into one number.  Places and words (as 63-bit hashes)
+of all documents are counted in one pass with pre-aggregation and one shuffle.  Contexts of up to one byte have 65,536
+places at most and go to every task; all longer contexts of a place end in the same two bytes, so places are grouped by
+these and each distinct one is scored once.  The most frequent words and places, ``HOT_WORDS`` and ``HOT_PLACES`` at most,
+are looked up while the documents stream by; the others meet their table in a join, in which no key is hot.  Neither the
+order nor any score depends on these bounds or on the size of the tables.
 
 Cases: null or empty text: one token, the end.  Null doc_id: kept.  Repeated rows and doc_ids: one result each.
 Empty table: no rows.  Without training documents every byte is equally likely.  Very long texts: whole.  Other
@@ -27,25 +21,22 @@ columns are ignored.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, fold, id_and_text, materialize, read_table, rows_to_batch, small_batches
-from .op6_minhash import _mix, word_hashes
+from .common import LOWER, fold, id_and_text, materialize, read_table, small_batches
+from .op6_minhash import word_hashes
 
 ORDER = 5
-MAX_EDGES = 1 << 22  # of a trie that goes to every task
-HOT = 400_000
-HOT_SEGMENTS = 100_000
-CUT = 8  # words in a segment on average
+HOT_WORDS = 1 << 20
+HOT_PLACES = 1 << 21
 END = b"\n"
-_SPACED = bytes(32 if 9 <= b <= 13 else LOWER[b] for b in range(256))
+WORD, PLACE = 0, 1
+_DEPTH = 48  # bits of a context of ORDER bytes and the byte behind it
+_EDGE = (1 << _DEPTH) - 1
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -53,346 +44,269 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
-def segments_of_words(h: np.ndarray, cut: int = CUT) -> tuple[np.ndarray, np.ndarray]:
-    """From the hashes of a text's words: the places of its segments' first words and the segments' hashes."""
-    begin = np.flatnonzero(np.r_[True, h[:-1] % np.uint64(cut) == 0])
-    size = np.diff(np.r_[begin, len(h)])
-    power = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
-    place = np.arange(len(h)) - np.repeat(begin, size)
-    return begin, _mix(np.add.reduceat(h * power[place], begin) + size.astype(np.uint64)).view(np.int64)
+def spelled(text: str | None) -> bytes:
+    """The bytes of a text as the model reads them; the first is given."""
+    return b" ".join([b"", *tokens_of(text), END])
 
 
-def segments_of(texts: list[str | None], cut: int = CUT) -> list[np.ndarray]:
-    """The hashes of every text's segments."""
-    return [segments_of_words(h, cut)[1] for h in word_hashes([(t or "").encode("utf-8", "surrogatepass").translate(_SPACED) + b" " + END for t in texts])]
+def word_keys(texts: list[bytes]) -> list[np.ndarray]:
+    """Hashes of the words and the end of spelled texts, not negative."""
+    return [(h >> np.uint64(1)).view(np.int64) for h in word_hashes(texts)]
 
 
-# ---------------------------------------------------------------- the trie
+def places_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all predicted bytes of spelled texts, one text after the other, and how many each text has."""
+    size = np.array([len(t) for t in texts], np.int64)
+    start = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+    edge = data | np.int64(ORDER << _DEPTH)
+    for j in range(1, ORDER + 1):
+        edge[j:] |= data[:-j] << np.int64(8 * j)
+    for j in range(1, ORDER):
+        at = (start + j)[size > j]
+        edge[at] = (edge[at] & np.int64((1 << 8 * (j + 1)) - 1)) | np.int64(j << _DEPTH)
+    real = np.ones(len(data), bool)
+    real[start] = False
+    return edge[real], size - 1
 
 
-def edges_of(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every predicted byte of every word: its edge (longest context and byte, packed), the context's length, its word.
-
-    A word is predicted byte by byte after a space, and then the space that ends it; the end is predicted alone.
-    """
-    spelled = [b" " + w + (b"" if w == END else b" ") for w in words]
-    sizes = np.array([len(s) for s in spelled], np.int64)
-    data = np.frombuffer(b"".join(spelled), np.uint8).astype(np.uint64)
-    word = np.repeat(np.arange(len(words)), sizes)
-    at = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    edge = data.copy()
-    for j in range(1, order + 1):
-        deep = np.flatnonzero(at >= j)
-        edge[deep] |= data[deep - j] << np.uint64(8 * j)
-    real = at >= 1
-    return edge[real], np.minimum(at[real], order), word[real]
-
-
-class Trie:
-    """Counts by context length: sorted edges with counts, and n and d of every context."""
-
-    def __init__(self, edge: np.ndarray, depth: np.ndarray, count: np.ndarray, order: int):
-        self.order, self.levels = order, []
-        for j in range(order + 1):
-            deep = depth >= j
-            keys, back = np.unique(edge[deep] & np.uint64((1 << 8 * (j + 1)) - 1), return_inverse=True)
-            n = np.bincount(back, count[deep], len(keys)) if len(keys) else np.zeros(0)
-            contexts, first = np.unique(keys >> np.uint64(8), return_index=True)
-            total = np.add.reduceat(n, first) if len(keys) else n
-            spread = np.repeat(total, np.diff(np.r_[first, len(keys)])) if len(keys) else n
-            self.levels.append((keys, n, np.log10((2 * n - 1) / (2 * spread)) if len(keys) else n))
-        self.memo: dict[tuple[int, int], float] = {}
-
-    def escape(self, depth: int, edge: int) -> float:
-        """log10 probability of a byte by the walk down from its longest context."""
-        known = self.memo.get((depth, edge))
-        if known is not None:
-            return known
-        out, seen, sym = 0.0, np.zeros(0, np.uint64), edge & 255
-        for j in range(depth, -1, -1):
-            keys, n, _ = self.levels[j]
-            context = (edge & ((1 << 8 * (j + 1)) - 1)) >> 8
-            a, b = np.searchsorted(keys, np.array([context << 8, (context + 1) << 8], np.uint64))
-            if a == b:
-                continue
-            here = keys[a:b] & np.uint64(255)
-            left = ~np.isin(here, seen)
-            total, kinds = n[a:b][left].sum(), int(left.sum())
-            if not kinds:
-                continue
-            hit = np.flatnonzero(left & (here == sym))
-            if len(hit):
-                out += math.log10((2 * n[a + hit[0]] - 1) / (2 * total))
-                break
-            out += math.log10(kinds / (2 * total))
-            seen = here
-        else:
-            out -= math.log10(256 - len(seen))
-        if len(self.memo) > 1_000_000:
-            self.memo.clear()
-        self.memo[depth, edge] = out
-        return out
-
-    def score_edges(self, edge: np.ndarray, depth: np.ndarray) -> np.ndarray:
-        """log10 probability of the byte of every edge."""
-        out = np.zeros(len(edge))
-        for j in range(self.order + 1):
-            at = np.flatnonzero(depth == j)
-            if not len(at):
-                continue
-            keys, _, logp = self.levels[j]
-            where = np.minimum(np.searchsorted(keys, edge[at]), max(len(keys) - 1, 0))
-            found = keys[where] == edge[at] if len(keys) else np.zeros(len(at), bool)
-            out[at[found]] = logp[where[found]]
-            for i in at[~found]:
-                out[i] = self.escape(j, int(edge[i]))
-        return out
-
-    def score(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of every word."""
-        edge, depth, word = edges_of(words, self.order)
-        return np.bincount(word, self.score_edges(edge, depth), len(words))
-
-
-def train(words: DataFrame, order: int = ORDER) -> DataFrame:
-    """words: token, c.  The written table of edges (edge, depth, n) of the words with c > 0."""
-    schema = pa.schema([("edge", pa.int64()), ("depth", pa.int32()), ("n", pa.int64())])
+# ---------------------------------------------------------------- the trie
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            edge, depth, _ = edges_of(batch.column(0).to_pylist(), order)
-            keys, back = np.unique(edge | (depth.astype(np.uint64) << np.uint64(56)), return_inverse=True)
-            n = np.bincount(back, minlength=len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array((keys & np.uint64((1 << 56) - 1)).astype(np.int64)), pa.array((keys >> np.uint64(56)).astype(np.int32)), pa.array(n.astype(np.int64))], schema=schema)
-
-    counted = words.filter("c > 0").select("token").mapInArrow(run, "edge long, depth int, n long")
-    return materialize(counted.groupBy("edge", "depth").agg(F.sum("n").alias("n")), "trie")
-
-
-def gathered(table: DataFrame | pa.Table, order: int) -> Trie:
-    got = table.toArrow() if isinstance(table, DataFrame) else table
-    return Trie(got["edge"].to_numpy().astype(np.uint64), got["depth"].to_numpy(), got["n"].to_numpy().astype(float), order)
-
-
-def spell(words: DataFrame, table: DataFrame, order: int) -> DataFrame:
-    """token, c, n, lp: words scored by a trie that fits every task."""
-    trie = words.sparkSession.sparkContext.broadcast(gathered(table, order))
-
-    def score(batches):
-        schema = pa.schema([("token", pa.binary()), ("c", pa.int64()), ("n", pa.int64()), ("lp", pa.float64())])
-        for batch in batches:
-            if batch.num_rows:
-                lp = trie.value.score(batch.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp)], schema=schema)
-
-    return words.select("token", "c", "n").mapInArrow(score, "token binary, c long, n long, lp double")
-
-
-def spell_by_joins(words: DataFrame, table: DataFrame, order: int) -> DataFrame:
-    """token, c, n, lp: the same by a trie of any size.
-
-    Contexts of up to one byte have 256 * 256 edges at most and go to every task; all longer ones of a place end in the
-    same two bytes, so the edges of those decide it.
-    """
-    short = table.select(F.expr("edge & 65535").alias("edge"), F.least("depth", F.lit(1)).alias("depth"), "n")
-    low = words.sparkSession.sparkContext.broadcast(gathered(short.groupBy("edge", "depth").agg(F.sum("n").alias("n")), 1))
-    place_schema = pa.schema([("token", pa.binary()), ("edge", pa.int64()), ("depth", pa.int32()), ("short_lp", pa.float64())])
-    asked_schema = pa.schema([("edge", pa.int64()), ("depth", pa.int32()), ("lp", pa.float64())])
-
-    def places(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                tokens = batch.column(0).slice(at, 1000).to_pylist()
-                edge, depth, word = edges_of(tokens, order)
-                deep = depth > 1
-                lp = np.bincount(word[~deep], low.value.score_edges(edge[~deep], depth[~deep]), len(tokens))
-                of = np.r_[np.arange(len(tokens)), word[deep]]
-                none = np.r_[np.ones(len(tokens), bool), np.zeros(int(deep.sum()), bool)]
-                columns = [
-                    pa.array([tokens[i] for i in of], pa.binary()),
-                    pa.array(np.r_[np.zeros(len(tokens), np.int64), edge[deep].astype(np.int64)], mask=none),
-                    pa.array(np.r_[np.zeros(len(tokens), np.int32), depth[deep].astype(np.int32)], pa.int32(), mask=none),
-                    pa.array(np.r_[lp, np.zeros(int(deep.sum()))], mask=~none),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, schema=place_schema)
-
-    def decide(edges: pa.Table, asked: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return asked_schema.empty_table()
-        trie = gathered(edges, order)
-        trie.levels[:2] = low.value.levels
-        lp = trie.score_edges(asked["edge"].to_numpy().astype(np.uint64), asked["depth"].to_numpy())
-        return pa.table([asked["edge"], asked["depth"], pa.array(lp)], schema=asked_schema)
-
-    spelled = materialize(words.select("token").mapInArrow(places, "token binary, edge long, depth int, short_lp double"), "places")
-    asked = spelled.filter("edge is not null").select("edge", "depth").distinct()
-    last_two = F.expr("shiftright(edge, 8) & 65535").alias("last_two")
-    long_edges = table.filter("depth > 1").select("edge", "depth", "n", last_two)
-    decided = long_edges.groupBy("last_two").cogroup(asked.select("edge", "depth", last_two).groupBy("last_two")).applyInArrow(decide, "edge long, depth int, lp double")
-    met = spelled.join(materialize(decided, "edge-scores"), ["edge", "depth"], "left")
-    by_word = met.groupBy("token").agg(F.sum(F.coalesce("short_lp", "lp")).alias("lp"))
-    return words.select("token", "c", "n").join(by_word, "token")
+
+def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
+class Level:
+    """The contexts of one length: sorted edges (context and byte) with counts; n, d and the first edge of each context."""
+
+    def __init__(self, edges: np.ndarray, counts: np.ndarray, shorter: Level | None):
+        self.edges, back = np.unique(edges, return_inverse=True)
+        self.c = np.bincount(back, counts, len(self.edges))
+        self.contexts, first = np.unique(self.edges >> 8, return_index=True)
+        self.d = np.diff(np.r_[first, len(self.edges)]).astype(float)
+        total = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
+        self.n = total(self.c)
+        #: how often the next shorter context was followed by the bytes seen here
+        self.above = np.zeros(len(self.contexts))
+        if shorter is not None and len(first):
+            bits = 8 * int(shorter.length + 1)
+            self.above = total(shorter.c[np.searchsorted(shorter.edges, self.edges & np.int64((1 << bits) - 1))])
+        self.length = 0 if shorter is None else shorter.length + 1
+
+
+def levels_of(places: np.ndarray, counts: np.ndarray, low: list[Level] = ()) -> list[Level]:
+    """All levels of a trie; ``low`` are those of the shortest contexts where they are known already."""
+    out, depth, edge = list(low), places >> _DEPTH, places & _EDGE
+    for j in range(len(out), ORDER + 1):
+        deep = depth >= j
+        out.append(Level(edge[deep] & np.int64((1 << 8 * (j + 1)) - 1), counts[deep], out[-1] if out else None))
+    return out
+
+
+def score_places(levels: list[Level], places: np.ndarray) -> np.ndarray:
+    """log10 probability of the byte of every place: from the longest context down, escapes and exclusion included."""
+    depth, edge = places >> _DEPTH, places & _EDGE
+    out, left = np.zeros(len(places)), np.ones(len(places), bool)
+    gone_n, gone_d = np.zeros(len(places)), np.zeros(len(places))  # excluded: their count in this context, how many
+    for j in range(ORDER, -1, -1):
+        level, asked = levels[j], np.flatnonzero(left & (depth >= j))
+        own = edge[asked] & np.int64((1 << 8 * (j + 1)) - 1)
+        at, seen = _find(level.contexts, own >> 8)
+        asked, own, at = asked[seen], own[seen], at[seen]
+        n, d = level.n[at] - gone_n[asked], level.d[at] - gone_d[asked]
+        where, hit = _find(level.edges, own)
+        out[asked[hit]] += np.log10((2 * level.c[where[hit]] - 1) / (2 * n[hit]))
+        left[asked[hit]] = False
+        escape = ~hit & (d > 0)
+        out[asked[escape]] += np.log10(d[escape] / (2 * n[escape]))
+        gone_n[asked], gone_d[asked] = level.above[at], level.d[at]
+    rest = np.flatnonzero(left)
+    out[rest] -= np.log10(256 - gone_d[rest])
+    return out
+
+
+# ---------------------------------------------------------------- look-up of numbers
+
+
+class Table:
+    """Keys that aren't negative, with a value each, by open addressing in arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
+        rest, at = np.arange(len(keys)), self._slot(keys)
+        while len(rest):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[rest[free]]
+            won = free & (self.keys[at] == keys[rest])
+            self.values[at[won]] = values[rest[won]]
+            rest, at = rest[~won], (at[~won] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values (0 where there is none) and which keys are there."""
+        at = self._slot(keys)
+        here = self.keys[at]
+        found = here == keys
+        out = np.where(found, self.values[at], 0.0)
+        rest = np.flatnonzero(~found & (here >= 0))
+        at = at[rest]
+        while len(rest):
+            at = (at + 1) & (len(self.keys) - 1)
+            here = self.keys[at]
+            hit = here == keys[rest]
+            out[rest[hit]] = self.values[at[hit]]
+            found[rest[hit]] = True
+            on = ~hit & (here >= 0)
+            rest, at = rest[on], at[on]
+        return out, found
 
 
 # ---------------------------------------------------------------- the documents
 
 
-def count_words(docs: DataFrame, held: int | None) -> DataFrame:
-    """token, c (in training documents), n (in all), the end included."""
-    schema = pa.schema([("token", pa.binary()), ("c", pa.int64()), ("n", pa.int64())])
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
+def count(docs: DataFrame) -> DataFrame:
+    """kind, key, c (in training documents), n (in all) of every word and place."""
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        both = (Counter(), Counter())
+        raw: dict = {(kind, held): [] for kind in (WORD, PLACE) for held in (False, True)}
+        kept: dict = {k: [] for k in raw}
+        held_rows = 0
+
+        def pack():
+            for k, arrays in raw.items():
+                if arrays:
+                    kept[k].append(_summed([(a, np.ones(len(a), np.int64)) for a in [np.concatenate(arrays)]]))
+                    kept[k] = [_summed(kept[k])]
+                    arrays.clear()
 
         def rows():
-            a, b = both
-            out = [(w, n, n + b.pop(w, 0)) for w, n in a.items()] + [(w, 0, n) for w, n in b.items()]
-            a.clear(), b.clear()
-            for at in range(0, len(out), 50_000):
-                yield rows_to_batch(out[at : at + 50_000], schema)
-
-        for part in small_batches(batches):
-            for held_out, text in part:
-                c = both[bool(held_out)]
-                c.update(tokens_of(text))
-                c[END] += 1
-            if len(both[0]) + len(both[1]) > 300_000:
-                yield from rows()
+            for (kind, held), parts in kept.items():
+                for keys, n in parts:
+                    for at in range(0, len(keys), 65_536):
+                        k, m = keys[at : at + 65_536], n[at : at + 65_536]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(m * (not held)), pa.array(m)], schema=schema)
+                parts.clear()
+
+        for part in small_batches(batches, rows=512, chars=1_000_000):
+            for held in (False, True):
+                texts = [spelled(t) for h, t in part if bool(h) == held]
+                if texts:
+                    places, _ = places_of(texts)
+                    raw[PLACE, held].append(places)
+                    raw[WORD, held].append(np.concatenate(word_keys(texts)))
+                    held_rows += len(places)
+            if held_rows > 4_000_000:
+                pack()
+                held_rows = 0
+                if sum(len(k) for parts in kept.values() for k, _ in parts) > 4_000_000:
+                    yield from rows()
+        pack()
         yield from rows()
 
-    return docs.select("held_out", "text").mapInArrow(run, "token binary, c long, n long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    counted = docs.select("held_out", "text").mapInArrow(run, "kind int, key long, c long, n long")
+    return counted.groupBy("kind", "key").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def count_segments(docs: DataFrame, cut: int = CUT) -> DataFrame:
-    """h, c (in training documents), n (in all)."""
-    schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
+def spell(places: DataFrame) -> DataFrame:
+    """key, n, lp: the log10 probability of every place; places: key, c, n."""
+    edge = F.col("key").bitwiseAND(F.lit((1 << 16) - 1))
+    short = places.filter("c > 0").groupBy(edge.alias("key")).agg(F.sum("c").alias("c")).toArrow()  # at most 65,536 rows
+    seen = short["key"].to_numpy()
+    low = levels_of(seen | np.int64(1 << _DEPTH), short["c"].to_numpy().astype(float))[:2]
+    shared = places.sparkSession.sparkContext.broadcast(low)
 
-    def run(batches):
-        parts, held, rows = [], [], 0
-
-        def counted():
-            keys, back = np.unique(np.concatenate(parts), return_inverse=True)
-            n = np.bincount(back, minlength=len(keys))
-            c = n - np.bincount(back[np.concatenate(held)], minlength=len(keys))
-            for at in range(0, len(keys), 65_536):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 65_536].astype(np.int64)) for x in (keys, c, n)], schema=schema)
-
-        for part in small_batches(batches):
-            for (held_out, _), h in zip(part, segments_of([t for _, t in part], cut)):
-                parts.append(h)
-                held.append(np.full(len(h), bool(held_out)))
-                rows += len(h)
-            if rows > 500_000:
-                yield from counted()
-                parts, held, rows = [], [], 0
-        if rows:
-            yield from counted()
-
-    return docs.select("held_out", "text").mapInArrow(run, "h long, c long, n long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
-
-
-def score_words(words: DataFrame, n_train: int, v: int, order: int, max_edges: int = MAX_EDGES) -> DataFrame:
-    """token, c, n, lp: the log10 probability of every word, seen in training or spelled out."""
-    table = train(words, order)
-    way = spell if table.count() <= max_edges else spell_by_joins
-    spelled = materialize(way(words, table, order), "word-spellings")
-    known_mass = spelled.filter("c > 0").agg(F.coalesce(F.sum(F.pow(F.lit(10.0), "lp")), F.lit(0.0)).alias("m")).first()["m"]
-    unseen = (math.log10(v / (2 * n_train)) if n_train else 0.0) - math.log10(max(1e-12, 1 - known_mass))
-    seen_before = F.log10((2 * F.col("c") - 1) / F.lit(2.0 * max(1, n_train)))
-    return spelled.withColumn("lp", F.when(F.col("c") > 0, seen_before).otherwise(F.col("lp") + F.lit(unseen)))
-
-
-def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = ORDER, hot: int = HOT, hot_segments: int = HOT_SEGMENTS, cut: int = CUT, max_edges: int = MAX_EDGES) -> DataFrame:
+    def run(group: pa.Table) -> pa.Table:
+        keys, c = group["key"].to_numpy(), group["c"].to_numpy().astype(float)
+        levels = levels_of(keys[c > 0], c[c > 0], shared.value)
+        return pa.table({"key": group["key"], "n": group["n"], "lp": pa.array(score_places(levels, keys))})
+
+    last_two = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 16) - 1)).alias("last_two")
+    return places.select("key", "c", "n", last_two).groupBy("last_two").applyInArrow(run, "key long, n long, lp double")
+
+
+def hottest(rows: DataFrame, limit: int, *columns: str) -> pa.Table:
+    """The rows with the greatest n, at most ``limit``, as whole classes of about equal n."""
+    size = F.floor(F.log2("n") * 4).cast("int").alias("size")
+    least, total = 1 << 30, 0
+    for r in sorted(rows.groupBy(size).agg(F.count("*").alias("m")).collect(), key=lambda r: -r["size"]):  # a few hundred
+        total += r["m"]
+        if total > limit:
+            break
+        least = r["size"]
+    return rows.filter(size >= least).select(*columns).toArrow()
+
+
+def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, hot_words: int = HOT_WORDS, hot_places: int = HOT_PLACES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     docs = id_and_text(docs).withColumn("held_out", fold("doc_id", modulus) == remainder)
-    words, segments = materialize(count_words(docs, remainder), "words"), materialize(count_segments(docs, cut), "segments")
-    total = [F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")]
-    (n_train, v), (n_segments, v_segments) = words.agg(*total).first(), segments.agg(*total).first()
-    floor = n_train + v + 1
-    scored = score_words(words, n_train, v, order, max_edges)
-    top = scored.orderBy(F.desc("n"), "token").limit(hot).toArrow()
-    c = top["c"].to_numpy()
-    names = top["token"].to_pylist()
-    shared = spark.sparkContext.broadcast((names, word_hashes([b" ".join(names)])[0], c > 0, np.log10((c + 1) / floor), top["lp"].to_numpy()))
-    often = segments.orderBy(F.desc("n"), "h").limit(hot_segments).toArrow().sort_by("h")
-    c = often["c"].to_numpy()
-    passages = spark.sparkContext.broadcast((often["h"].to_numpy(), c > 0, np.log10((2 * np.maximum(c, 1) - 1) / (2 * max(1, n_segments)))))
-    escape = math.log10(v_segments / (2 * n_segments)) if n_segments else 0.0
-    index: dict = {}
-    spelled_word = pa.struct([("token", pa.binary()), ("tf", pa.int64()), ("inside", pa.bool_())])
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(spelled_word))])
-    plain = pa.struct([("h", pa.int64()), ("q", pa.float32())])
-    mixed = pa.struct([("h", pa.int64()), ("q", pa.float32()), ("rare_words", pa.list_(pa.binary()))])
+    counts = materialize(count(docs), "counts")
+    words = counts.filter(F.col("kind") == WORD)
+    n_train, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    words = words.select("key", "n", F.log10((F.col("c") + 1) / F.lit(float(n_train + v + 1))).alias("lp"))
+    places = materialize(spell(counts.filter(F.col("kind") == PLACE)), "places")
+    tables = []
+    for rows, limit in ((words, hot_words), (places, hot_places)):
+        top = hottest(rows, limit, "key", "lp")
+        tables.append(Table(top["key"].to_numpy(), top["lp"].to_numpy()))
+    shared = spark.sparkContext.broadcast(tables)
+    unknown = float(np.log10(1.5 / (n_train + v + 1)))  # between the shares of words seen once and never
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare_words", pa.list_(pa.int64())), ("rare_places", pa.list_(pa.int64()))])
 
     def look_up(batches):
-        names, hashes, known, base, model = shared.value
-        keys, seen_key, key_lp = passages.value
-        if not index:
-            index.update(zip(names, range(len(names))))
-        get, rid = index.get, TaskContext.get().partitionId() << 33
-        for part in small_batches(batches):
-            out, opened = [], []
-            for doc_id, held_out, text in part:
-                tokens = [*tokens_of(text), END]
-                at = np.array([get(t, -1) for t in tokens])
-                common, rare = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
-                hit = at[common]
-                lp, word = np.zeros(len(at)), np.zeros(len(at), np.uint64)
-                lp[common] = model[hit]
-                word[common] = hashes[hit]
-                if len(rare):
-                    word[rare] = word_hashes([b" ".join([tokens[i] for i in rare])])[0]
-                begin, h = segments_of_words(word, cut)
-                q = np.add.reduceat(lp, begin)
-                where = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-                met = keys[where] == h if len(keys) else np.zeros(len(h), bool)
-                seen = met.copy()
-                seen[met] = seen_key[where[met]]
-                unseen = met & ~seen
-                score = key_lp[where[seen]].sum() + (q[unseen] + escape).sum()
-                of = np.searchsorted(begin, rare, "right") - 1
-                settled = met[of]
-                done = Counter((tokens[i], bool(seen[s])) for i, s in zip(rare[settled], of[settled]))
-                n_rare = np.bincount(of[~settled], minlength=len(begin))
-                opened.append((~met & (n_rare == 0), ~met & (n_rare > 0), h, q, n_rare, [tokens[i] for i in rare[~settled]]))
-                out.append((rid, doc_id, held_out, len(tokens), int(known[hit].sum()), float(base[hit].sum()), float(score), [{"token": t, "tf": n, "inside": s} for (t, s), n in done.items()]))
-                rid += 1
-            if not out:
-                continue
-            ends = lambda sizes: pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
-            lists = []
-            for kind, which in ((plain, 0), (mixed, 1)):
-                fields = [pa.array(np.concatenate([x[2][x[which]] for x in opened])), pa.array(np.concatenate([x[3][x[which]] for x in opened]), pa.float32())]
-                if which:
-                    fields.append(pa.ListArray.from_arrays(ends(np.concatenate([x[4][x[1]] for x in opened])), pa.array([w for x in opened for w in x[5]], pa.binary())))
-                lists.append(pa.ListArray.from_arrays(ends([int(x[which].sum()) for x in opened]), pa.StructArray.from_arrays(fields, fields=list(kind))))
-            yield pa.RecordBatch.from_arrays([*rows_to_batch(out, schema).columns, *lists], schema=schema.append(pa.field("plain", pa.list_(plain))).append(pa.field("mixed", pa.list_(mixed))))
-
-    ddl = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<token: binary, tf: long, inside: boolean>>, plain array<struct<h: long, q: float>>, mixed array<struct<h: long, q: float, rare_words: array<binary>>>"
+        by_word, by_place = shared.value
+        rid = TaskContext.get().partitionId() << 33
+        for part in small_batches(batches, rows=512, chars=1_000_000):
+            texts = [spelled(t) for *_, t in part]
+            word = word_keys(texts)
+            n_words = np.array([len(w) for w in word])
+            word = np.concatenate(word)
+            place, n_places = places_of(texts)
+            columns = [pa.array(range(rid, rid + len(part)), pa.int64()), pa.array([d for d, *_ in part], pa.int64()), pa.array([h for _, h, _ in part], pa.bool_()), pa.array(n_words)]
+            rare = []
+            for keys, sizes, table in ((word, n_words, by_word), (place, n_places, by_place)):
+                lp, found = table.get(keys)
+                begin = np.cumsum(sizes) - sizes
+                if table is by_word:
+                    columns.append(pa.array(np.add.reduceat((found & (lp > unknown)).astype(np.int64), begin)))
+                columns.append(pa.array(np.add.reduceat(lp, begin)))
+                ends = np.r_[0, np.cumsum(np.add.reduceat((~found).astype(np.int64), begin))]
+                rare.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[~found])))
+            rid += len(part)
+            yield pa.RecordBatch.from_arrays([*columns, *rare], schema=schema)
+
+    ddl = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare_words array<long>, rare_places array<long>"
     looked_up = materialize(docs.select("doc_id", "held_out", "text").mapInArrow(look_up, ddl), "hot-scores")
-    table = segments.filter("c > 0").select("h", F.log10((2 * F.col("c") - 1) / F.lit(2.0 * max(1, n_segments))).alias("segment_lp"))
-    segment_score = F.coalesce("segment_lp", F.col("q") + F.lit(escape)).alias("s")
-    # segments with words to look up are few and kept; of the others only their sum by document
-    with_rare = materialize(looked_up.select("rid", F.inline("mixed")).join(table, "h", "left").select("rid", segment_score, "rare_words", F.col("segment_lp").isNotNull().alias("inside")), "mixed-segments")
-    without = looked_up.select("rid", F.inline("plain")).join(table, "h", "left").select("rid", segment_score)
-    by_document = without.unionAll(with_rare.select("rid", "s")).groupBy("rid").agg(F.sum("s").alias("segment_score"))
-    rare = looked_up.select("rid", F.inline("rare")).unionAll(with_rare.select("rid", F.explode("rare_words").alias("token"), F.lit(1).cast("long").alias("tf"), "inside"))
-    met = rare.join(scored.select("token", "c", "lp").hint("shuffle_hash"), "token")
+    rare = [looked_up.select("rid", F.lit(kind).alias("kind"), F.explode(c).alias("key")) for kind, c in ((WORD, "rare_words"), (PLACE, "rare_places"))]
+    values = [rows.select(F.lit(kind).alias("kind"), "key", "lp") for kind, rows in ((WORD, words), (PLACE, places))]
+    met = rare[0].unionAll(rare[1]).join(values[0].unionAll(values[1]).hint("shuffle_hash"), ["kind", "key"])
+    is_word, none = F.col("kind") == WORD, F.lit(0.0)
     rest = met.groupBy("rid").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k"),
-        F.sum(F.col("tf") * F.log10((F.col("c") + 1) / F.lit(float(floor)))).alias("b"),
-        F.sum(F.when(~F.col("inside"), F.col("tf") * F.col("lp"))).alias("s"),
+        F.count_if(is_word & (F.col("lp") > unknown)).alias("k"),
+        F.sum(F.when(is_word, F.col("lp")).otherwise(none)).alias("b"),
+        F.sum(F.when(is_word, none).otherwise(F.col("lp"))).alias("s"),
     )
-    return looked_up.drop("rare", "plain", "mixed").join(by_document, "rid", "left").join(rest, "rid", "left").select(
+    return looked_up.drop("rare_words", "rare_places").join(rest, "rid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("segment_score", F.lit(0.0)) + F.coalesce("s", F.lit(0.0))).alias("score"),
+        (F.col("base") + F.coalesce("b", none)).alias("base_score"),
+        (F.col("score") + F.coalesce("s", none)).alias("score"),
     )
 
 
