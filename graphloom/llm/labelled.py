@@ -6,31 +6,36 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, materialize
 
+SAMPLE_BYTES = 64 << 20
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, modulus: int = 5, held: int = 0) -> tuple[list[tuple[str, int]], float]:
-    """At most ``per_class`` texts of each label, from rows outside the held-out fold, chosen by a hash of the id; and
-    the share of label 1 among all such rows.
 
-    Label rows with a null id or label are left out; of repeated ids one row counts.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, modulus: int = 5, held: int = 0, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[tuple[str, int]], float]:
+    """Texts of each label from rows outside the held-out fold, and the share of label 1 among all such rows.
+
+    At most ``per_class`` documents of either label are taken in the order of a hash of their id; of these, one that
+    would bring the label's texts beyond ``sample_bytes`` is passed over.  Label rows with a null id or label are left
+    out, and so are documents that are labelled both ways.  Of repeated ids the least text counts, once.
     """
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    usable = usable.filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (fold("doc_id", modulus) != held))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    present = usable.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    y = y.filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (fold("doc_id", modulus) != held))
+    y = y.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most").drop("most")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    sizes = texts.select("doc_id", F.octet_length("text").cast("long").alias("size")).join(y, "doc_id")
+    present = materialize(sizes.groupBy("doc_id", "y").agg(F.max("size").alias("size")), "labelled")
     counts = {r["y"]: r["n"] for r in present.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    out = []
-    for y in (0, 1):
-        ids = present.filter(F.col("y") == y).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        ids = docs.sparkSession.createDataFrame(ids.collect(), "doc_id long")  # at most per_class ids
-        got = texts.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text").limit(2 * per_class).collect()
-        first = {}
-        for d, t in sorted(got):
-            first.setdefault(d, t)
-        out += [(t, y) for _, t in sorted(first.items())]
-    return out, share
+    chosen: dict[int, int] = {}
+    for k in (0, 1):
+        left = sample_bytes
+        for r in present.filter(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect():
+            if r["size"] <= left:
+                chosen[r["doc_id"]] = k
+                left -= r["size"]
+    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")  # at most 2 * per_class
+    got = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    return [(r["text"], chosen[r["doc_id"]]) for r in sorted(got, key=lambda r: (chosen[r["doc_id"]], r["doc_id"]))], share
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, share: float | None = None, steps: int = 50) -> np.ndarray:

@@ -3,22 +3,24 @@
 A word enters as its own embedding (words of the training vocabulary) beside the mean embedding of its character
 n-grams (hashed trigrams, and beginnings of 4 to 9 bytes that the word goes on from), so unknown words and inflected
 stems still speak through their letters.  The network reads windows of 64 words, one
-every 48; attention pools the states of both directions; a document's score is calibrated from its highest window and
+every 16; attention pools the states of both directions; a document's score is calibrated from its highest window and
 from how many windows speak up.  All
 of it is trained in numpy on the driver, on a bounded sample of labelled rows outside the held-out fold (at most
-``PER_CLASS`` of either label).  Labels stand for documents, so training looks for the telling window of each toxic
-document and takes any window of the others.
+``PER_CLASS`` documents and ``labelled.SAMPLE_BYTES`` of text of either label), every fourth of which only calibrates.
+Labels stand for documents, so training looks for the telling window of each toxic document and takes any window of the
+others.  Training has a fixed number of steps and depends on nothing but the sample.
 
 Plan: one pass over the documents, no shuffle.  What a word contributes to the gates is computed once per distinct
 word and remembered.
 
-Cases: null, empty or wordless text: score 0.  Without labels of both kinds: score 0 for all.  Null doc_id and
-repeated rows: kept.  Empty table: no rows.  Very long texts: all windows.  Other columns are ignored.
+Cases: null, empty or wordless text: score 0.  Without labels of both kinds, or with fewer than ten texts to train on:
+score 0 for all.  Documents labelled both ways teach nothing, equal texts of one label teach once, of repeated ids the
+least text does.  Null doc_id and repeated rows: kept.  Empty table: no rows.  Very long texts: all windows.  Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -29,12 +31,13 @@ from pyspark.sql import functions as F
 from .common import WORDS, fold, id_and_text, read_table, rows_to_batch, small_batches
 from .labelled import labelled_sample, logistic, sigmoid
 
-WINDOW, STRIDE = 64, 48
+WINDOW, STRIDE = 64, 16
 PER_CLASS = 1200
 HIDDEN, DIM = 6, 4
 VOCABULARY, GRAMS = 8192, 1 << 15
 HEADS = range(4, 10)
 LEAST_WORD, LEAST_GRAM = 6, 10  # documents in which a word or n-gram must be to have an embedding
+STEPS = 240  # of training, in batches of windows
 THRESHOLD = 0.5
 
 
@@ -102,28 +105,38 @@ class Network:
         return {s: x @ self.p[f"W{s}"] + self.p[f"b{s}"] for s in "fb"}
 
     def states(self, gates: dict, at: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States of both directions (windows x steps x 2h); ``at`` has the gate rows of every window."""
+        """States of both directions (steps x 2h x windows); ``at`` has the gate rows of every window."""
         n, steps = at.shape
-        h, out = HIDDEN, np.empty((n, steps, 2 * HIDDEN), np.float32)
+        h, out = HIDDEN, np.empty((steps, 2 * HIDDEN, n), np.float32)
         for k, s in enumerate("fb"):
-            state, U = np.zeros((n, h), np.float32), self.p[f"U{s}"]
+            state, U = np.zeros((h, n), np.float32), np.ascontiguousarray(self.p[f"U{s}"].T)
             for t in range(steps) if s == "f" else range(steps - 1, -1, -1):
-                g, r = gates[s][at[:, t]], state @ U
-                zr = 1 / (1 + np.exp(-(g[:, : 2 * h] + r[:, : 2 * h])))
-                m = 2 / (1 + np.exp(-2 * (g[:, 2 * h :] + zr[:, h:] * r[:, 2 * h :]))) - 1
-                new = zr[:, :h] * state + (1 - zr[:, :h]) * m
+                g, r = np.ascontiguousarray(gates[s][at[:, t]].T), U @ state
+                zr, m = g[: 2 * h], g[2 * h :]
+                zr += r[: 2 * h]
+                np.exp(np.negative(zr, out=zr), out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                m += zr[h:] * r[2 * h :]
+                m *= -2
+                np.exp(m, out=m)
+                m += 1
+                np.divide(2, m, out=m)
+                m -= 1
+                new = zr[:h] * (state - m)
+                new += m
                 if keep is not None:
-                    keep.append((s, t, state, zr, m, r))
-                out[:, t, k * h : (k + 1) * h] = state = new
+                    keep.append((s, t, state, zr, m, r[2 * h :]))
+                out[t, k * h : (k + 1) * h] = state = new
         return out
 
     def pool(self, states: np.ndarray, real: np.ndarray):
-        q = np.tanh(states @ self.p["A"])
-        e = np.where(real, q @ self.p["a"], np.float32(-1e9))
-        w = np.exp(e - e.max(1, keepdims=True))
-        w /= w.sum(1, keepdims=True)
-        pooled = np.einsum("nt,nth->nh", w, states)
-        return pooled @ self.p["v"] + self.p["c"], pooled, w, q
+        q = np.tanh(self.p["A"].T @ states)
+        e = np.where(real.T, self.p["a"] @ q, np.float32(-1e9))
+        w = np.exp(e - e.max(0))
+        w /= w.sum(0)
+        pooled = (w[:, None] * states).sum(0)
+        return self.p["v"] @ pooled + self.p["c"], pooled, w, q
 
     def logits(self, gates: dict, at: np.ndarray, real: np.ndarray, chunk: int = 2048) -> np.ndarray:
         return np.concatenate([self.pool(self.states(gates, at[i : i + chunk]), real[i : i + chunk])[0] for i in range(0, len(at), chunk)])
@@ -136,27 +149,27 @@ class Network:
         z, pooled, w, q = self.pool(states, real)
         dz = ((sigmoid(z) - y) / len(y)).astype(np.float32)
         g = {k: np.zeros_like(v) for k, v in p.items() if k not in ("word", "char")}
-        g["v"], g["c"] = pooled.T @ dz, np.array([dz.sum()], np.float32)
-        dpool = dz[:, None] * p["v"]
-        ds = w[:, :, None] * dpool[:, None, :]
-        dw = np.einsum("nth,nh->nt", states, dpool)
-        de = w * (dw - (w * dw).sum(1, keepdims=True))
-        g["a"] = np.einsum("nt,nth->h", de, q)
-        dq = de[:, :, None] * p["a"] * (1 - q * q)
-        g["A"] = np.einsum("nth,ntk->hk", states, dq)
-        ds += dq @ p["A"].T
+        g["v"], g["c"] = pooled @ dz, np.array([dz.sum()], np.float32)
+        dpool = p["v"][:, None] * dz
+        ds = w[:, None] * dpool
+        dw = (states * dpool).sum(1)
+        de = w * (dw - (w * dw).sum(0))
+        g["a"] = (de[:, None] * q).sum((0, 2))
+        dq = de[:, None] * p["a"][:, None] * (1 - q * q)
+        g["A"] = (states @ dq.transpose(0, 2, 1)).sum(0)
+        ds += p["A"] @ dq
         dgates = {s: np.zeros_like(gates[s]) for s in "fb"}
-        carry = {s: np.zeros((len(y), h), np.float32) for s in "fb"}
+        carry = {s: np.zeros((h, len(y)), np.float32) for s in "fb"}
         for s, t, state, zr, m, r in reversed(keep):
             k = 0 if s == "f" else h
-            d = ds[:, t, k : k + h] + carry[s]
-            zt, rt = zr[:, :h], zr[:, h:]
+            d = ds[t, k : k + h] + carry[s]
+            zt, rt = zr[:h], zr[h:]
             dm = d * (1 - zt) * (1 - m * m)
-            dzt, drt = d * (state - m) * zt * (1 - zt), dm * r[:, 2 * h :] * rt * (1 - rt)
-            dr = np.concatenate([dzt, drt, dm * rt], 1)
-            g[f"U{s}"] += state.T @ dr
-            carry[s] = d * zt + dr @ p[f"U{s}"].T
-            np.add.at(dgates[s], at[:, t], np.concatenate([dzt, drt, dm], 1))
+            dzt, drt = d * (state - m) * zt * (1 - zt), dm * r * rt * (1 - rt)
+            dr = np.concatenate([dzt, drt, dm * rt])
+            g[f"U{s}"] += state @ dr.T
+            carry[s] = d * zt + p[f"U{s}"] @ dr
+            np.add.at(dgates[s], at[:, t], np.concatenate([dzt, drt, dm]).T)
         dx = np.zeros_like(x)
         for s in "fb":
             g[f"W{s}"], g[f"b{s}"] = x.T @ dgates[s], dgates[s].sum(0)
@@ -177,16 +190,12 @@ def _layout(docs: list[list[int]], pad: int) -> tuple[np.ndarray, np.ndarray, np
     return at, at != pad, np.array(doc)
 
 
-def train(sample: list[tuple[str, int]], share: float | None = None, rounds: int = 1, epochs: int = 4, batch: int = 128, rate: float = 0.01, decay: float = 0.002, seed: int = 5) -> Network | None:
+def train(sample: list[tuple[str, int]], share: float | None = None, rounds: int = 2, steps: int = STEPS, batch: int = 64, rate: float = 0.01, decay: float = 0.002, seed: int = 5) -> Network | None:
     rng = np.random.default_rng(seed)
-    seen, docs, y = set(), [], []
-    for text, label in sample:
-        words = words_of(text)
-        # copies would teach their accidental words; the least hash of three-word runs tells near copies
-        runs = {zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))}
-        if words and (key := min(runs)) not in seen:
-            seen.add(key)
-            docs.append(words)
+    docs, y = [], []
+    for words, label in dict.fromkeys((tuple(words_of(text)), label) for text, label in sample):  # equal texts teach once
+        if words:
+            docs.append(list(words))
             y.append(label)
     tuned = set(range(0, len(docs), 4))  # every fourth document calibrates and teaches nothing
     kept_back, kept_labels = [docs[i] for i in sorted(tuned)], np.array([y[i] for i in sorted(tuned)])
@@ -197,9 +206,10 @@ def train(sample: list[tuple[str, int]], share: float | None = None, rounds: int
     for words, label in zip(docs, y):
         count[label].update(set(words))
     n0, n1 = (y == 0).sum(), (y == 1).sum()
-    frequent = [w for w, _ in (count[0] + count[1]).most_common(VOCABULARY) if count[0][w] + count[1][w] >= LEAST_WORD]
+    both = count[0] + count[1]
+    frequent = sorted((w for w in both if both[w] >= LEAST_WORD), key=lambda w: (-both[w], w))[:VOCABULARY]
     net = Network({w: i + 1 for i, w in enumerate(frequent)})
-    names = list({w for d in docs for w in d})
+    names = sorted({w for d in docs for w in d})
     row = {w: i for i, w in enumerate(names)}
     pad = len(names)
     word_id = np.array([net.vocabulary.get(w, 0) for w in names] + [0])
@@ -210,7 +220,7 @@ def train(sample: list[tuple[str, int]], share: float | None = None, rounds: int
     net.p["word"][1 : len(frequent) + 1, 0] = np.clip(tell[: len(frequent)], -1, 4)
     telling = [np.zeros(GRAMS), np.zeros(GRAMS)]
     for words, label in zip(docs, y):
-        rows = np.array([row[w] for w in set(words)])
+        rows = np.array(sorted({row[w] for w in words}))
         telling[label][np.unique(np.concatenate([flat[begin[r] : begin[r] + size[r]] for r in rows]))] += 1
     for_char = np.log((telling[1] + 4 * n1 / len(y)) / n1) - np.log((telling[0] + 4 * n0 / len(y)) / n0)
     common = (telling[0] + telling[1] >= LEAST_GRAM)[:, None]
@@ -228,8 +238,9 @@ def train(sample: list[tuple[str, int]], share: float | None = None, rounds: int
         neg = np.r_[best[y[doc[best]] == 0], rng.choice(other, min(len(other), 2 * len(pos) + 500), replace=False)]
         pick = np.r_[pos, neg]
         target = (y[doc[pick]] == 1).astype(np.float32)
-        for _ in range(epochs):
-            for b in np.array_split(rng.permutation(len(pick)), max(1, len(pick) // batch)):
+        parts = max(1, len(pick) // batch)
+        for _ in range(-(-steps // (rounds * parts))):
+            for b in np.array_split(rng.permutation(len(pick)), parts):
                 rows, local = np.unique(at[pick[b]], return_inverse=True)
                 local = local.reshape(-1, WINDOW)
                 own = net.p["word"][word_id[rows]]
@@ -251,7 +262,7 @@ def train(sample: list[tuple[str, int]], share: float | None = None, rounds: int
                     v -= rate * decay * v + rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
         order = net.logits(net.gates(_table(net, names)), at, real)
     if len(set(kept_labels.tolist())) == 2:
-        names = list({w for d in kept_back for w in d})
+        names = sorted({w for d in kept_back for w in d})
         row = {w: i for i, w in enumerate(names)}
         at, real, doc = _layout([[row[w] for w in d] for d in kept_back], len(names))
         docs, y, order = kept_back, kept_labels, net.logits(net.gates(_table(net, names)), at, real)
