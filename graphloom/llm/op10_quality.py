@@ -1,16 +1,19 @@
 """Quality by compression: zstandard dictionaries of good and of bad labelled text.
 
-A text is cut into blocks of 2 KB, all of which are compressed with either dictionary; the difference of the sizes
-per byte says which kind of text the block resembles.  The mean difference, that of the worst block, how far the good
-dictionary shrinks the text (repetition) and how short the text is (little evidence) become one calibrated score.  Dictionaries and calibration come from a bounded sample of
-labelled rows outside the held-out fold (at most ``PER_CLASS`` of either label), the one half for the dictionaries,
-the other for the calibration.
+A text is cut into blocks of 2 KB, all of which are compressed with the good and with the bad dictionary.  The normalised
+difference of two sizes, (a - b) / (a + b), says by how much the one is smaller: bad against good for the whole text and
+for its worst block, and the text itself against good, as far as this is beyond ``ORDINARY``, which only repeated text
+reaches.  These differences become one calibrated score.  Dictionaries and calibration come from a bounded sample of labelled rows outside the held-out fold (at most
+``PER_CLASS`` documents and ``labelled.SAMPLE_BYTES`` of text of either label), the one half for the dictionaries, the
+other for the calibration.  A dictionary is trained on all blocks of its half, or on a random ``TRAINING_BYTES`` of them;
+where they are too few for the trainer, their text is the dictionary.
 
 Plan: one pass over the documents, no shuffle; the dictionaries (64 KB each) travel to the tasks.
 
-Cases: null or empty text: differences of 0, so the calibration's score for no evidence.  Without labels of both
-kinds: the share of good labels (1 without labels).  Null doc_id and repeated rows: kept.  Empty table: no rows.
-Very long texts: all blocks.  Other columns are ignored.
+Cases: null or empty text: differences of 0, so the calibration's score for no evidence.  With fewer than four texts of
+either label: the share of good labels (1 without labels).  Documents labelled both ways teach nothing, of repeated ids
+the least text does.  Null doc_id and repeated rows: kept.  Empty table: no rows.  Very long texts: all blocks.  Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +28,11 @@ from .labelled import labelled_sample, logistic, sigmoid
 
 PER_CLASS = 1500
 DICTIONARY = 64 << 10
+TRAINING_BYTES = 40 * DICTIONARY
+LEAST_TEXTS = 4
 BLOCK = 2048
 LEVEL = 3
+ORDINARY = 0.5  # the difference where a text shrinks to a third
 THRESHOLD = 0.3
 
 
@@ -37,6 +43,14 @@ def blocks_of(text: str | None) -> list[bytes]:
     return [data[len(data) * i // n : len(data) * (i + 1) // n] for i in range(n)]
 
 
+def _difference(a: float, b: float) -> float:
+    return (a - b) / (a + b) if a + b else 0.0
+
+
+def _difference(a: float, b: float) -> float:
+    return (a - b) / (a + b) if a + b else 0.0
+
+
 class Compressors:
     def __init__(self, good: bytes, bad: bytes):
         self.pair = []
@@ -45,19 +59,18 @@ class Compressors:
             d.precompute_compress(level=LEVEL)
             self.pair.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False))
 
-    def features(self, text: str | None) -> tuple[float, float, float, float]:
-        """Size with the bad minus size with the good dictionary per byte: of the text, and of its worst block; size
-        with the good one per byte, below a third; and a measure of shortness."""
-        total, size, small, worst = 0, 0, 0, 1.0
+    def features(self, text: str | None) -> tuple[float, float, float]:
+        """Normalised size differences: bad against good of the text and of its worst block; text against good, beyond
+        ``ORDINARY``."""
+        worst, size, total_good, total_bad = 1.0, 0, 0, 0
         good, bad = self.pair
         for b in blocks_of(text):
-            g = len(good.compress(b))
-            d = len(bad.compress(b)) - g
-            total, small, size = total + d, small + g, size + len(b)
-            worst = min(worst, d / len(b))
+            g, d = len(good.compress(b)), len(bad.compress(b))
+            size, total_good, total_bad = size + len(b), total_good + g, total_bad + d
+            worst = min(worst, _difference(d, g))
         if not size:
-            return 0.0, 0.0, 0.0, 1.0
-        return total / size, worst, min(0.0, small / size - 1 / 3), 1 / (1 + size / 64)
+            return 0.0, 0.0, 0.0
+        return _difference(total_bad, total_good), worst, max(0.0, _difference(size, total_good) - ORDINARY)
 
 
 class Model:
@@ -67,10 +80,10 @@ class Model:
 
 def _dictionary(texts: list[str]) -> bytes:
     parts = [b for t in texts for b in blocks_of(t)]
-    room = DICTIONARY * 40
-    if sum(map(len, parts)) > room:
+    size = sum(map(len, parts))
+    if size > TRAINING_BYTES:
         keep = np.random.default_rng(3).permutation(len(parts))
-        parts = [parts[i] for i in keep[: max(8, int(len(parts) * room / sum(map(len, parts))))]]
+        parts = [parts[i] for i in keep[: max(8, int(len(parts) * TRAINING_BYTES / size))]]
     try:
         return zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
@@ -79,7 +92,7 @@ def _dictionary(texts: list[str]) -> bytes:
 
 def train(sample: list[tuple[str, int]], share: float | None = None) -> Model | None:
     by = [[t for t, y in sample if y == k and t] for k in (0, 1)]
-    if min(map(len, by)) < 4:
+    if min(map(len, by)) < LEAST_TEXTS:
         return None
     bad, good = (_dictionary(ts[0::2]) for ts in by)
     c = Compressors(good, bad)
