@@ -398,6 +398,54 @@ def test_op9_and_op10_learn_and_hold_out(spark):
         assert f(docs, labelled.limit(0)).count() == 602
 
 
+def test_op9_and_op10_awkward_rows(spark):
+    """Clashing columns, repeated rows and ids, long texts, labels that repeat or contradict each other."""
+    from graphloom.llm.labelled import labelled_sample
+
+    rows = []
+    for i in range(150):
+        w = prose(40, 2000 + i).split()
+        rows.append((i, " ".join(w[:20] + ["vilifier", "sludgy"] * (i % 3 == 0) + w[20:]) if i % 2 else "%%% ".join(w), 1.0, "s", 0, True))
+    long = (7777, prose(60_000, 9), None, None, None, None)
+    schema = "doc_id long, text string, score double, y string, predicted int, held_out boolean"
+    docs = spark.createDataFrame([*rows, rows[3], (3, "another text of that id", None, None, None, None), long, (None, None, None, None, None, None)], schema).repartition(3)
+    labels = [(i, i % 2, int(i % 3 == 0 and i % 2), "x") for i in range(150)] + [(4, 0, 0, "x"), (4, 1, 1, "x"), (None, 1, 1, "x"), (8, None, None, "x"), (99_999, 1, 1, "x")]
+    labelled = spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string").repartition(3)
+    for f, args in ((o9.toxicity, ["doc_id", "held_out", "score", "predicted"]), (o10.quality, ["doc_id", "held_out", "score", "predicted"])):
+        got = f(docs, labelled)
+        assert got.columns == args
+        got = got.collect()
+        assert len(got) == 154 and all(0 <= r["score"] <= 1 for r in got)
+        assert sorted((key(r["doc_id"]), r["score"]) for r in got) == sorted((key(r["doc_id"]), r["score"]) for r in f(docs.repartition(5), labelled).collect())
+    sample, share = labelled_sample(docs, labelled, "quality", 1000)
+    texts = dict((i, t) for i, t, *_ in rows)
+    texts[3] = min(texts[3], "another text of that id")
+    taught = [i for i in range(150) if i != 4 and zlib.crc32(str(i).encode()) % 5]
+    assert sorted(sample) == sorted((texts[i], i % 2) for i in taught) and share == pytest.approx(np.mean([i % 2 for i in taught]))
+    assert len(labelled_sample(docs, labelled, "quality", 7)[0]) == 14
+    assert sum(len(t.encode()) for t, y in labelled_sample(docs, labelled, "quality", 1000, sample_bytes=3000)[0] if y) <= 3000
+
+
+def test_op9_sees_passages_anywhere():
+    """Every passage of up to 49 words lies whole in a window, wherever it stands, and all words are read."""
+    for n in (1, 63, 64, 65, 100, 500, 777):
+        starts = o9.windows_of(n)
+        assert starts[0] == 0 and starts[-1] + o9.WINDOW >= n
+        for at in range(max(1, n - 49 + 1)):
+            assert any(s <= at and min(n, at + 49) <= s + o9.WINDOW for s in starts)
+
+
+def test_op9_does_not_depend_on_the_hash_seed():
+    import os
+    import subprocess
+    import sys
+
+    code = "import sys; sys.path.insert(0, '.')\nfrom graphloom.llm import op9_toxicity as o\nt = [(f'w{i} w{i % 7} ' * 9 + ('bad' if i % 3 else 'fine'), i % 2) for i in range(60)]\nprint(o.Scorer(o.train(t, steps=4)).score(['w1 bad w3 w5']))"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    said = {subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": seed}, cwd=root, capture_output=True, text=True, check=True).stdout for seed in "123"}
+    assert len(said) == 1
+
+
 def test_op9_gradients():
     net = o9.Network({b"a": 1})
     r = np.random.default_rng(1)
