@@ -1,9 +1,11 @@
 """Near-duplicate groups by improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 Words are runs of ASCII letters (lower-cased), digits and non-ASCII bytes; a shingle is five of them.  Its weight is
-(1 + ln tf) times the mean idf of its words.  idf comes from the document frequencies of 2**18 word hashes over all
-documents and lies between 1 and 1.5: shingle frequencies themselves would give the shared text of a large group of
-copies next to no weight, and so hide the group.  Each of 80 samples picks one (shingle, level) of a document such
+(1 + ln tf) times the mean idf of its words.  idf comes from the document frequencies of 2**20 word hashes over all
+documents and lies between 1 and 2: shingle frequencies themselves would give the shared text of a large group of
+copies next to no weight, and so hide the group.  Of so many hashes one gathers the other words of about
+(distinct words in a document) / 2**20 of the documents, at any number of documents; a word in fewer than one of 1,000
+documents weighs most, so hashes don't fill up.  Each of 80 samples picks one (shingle, level) of a document such
 that two documents agree with the probability of their weighted Jaccard similarity; 16 bands of five make buckets, so
 a pair of similarity 0.8 shares one with probability 0.998.
 
@@ -38,7 +40,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 5
 BLOCK = 128  # rows of a bucket on one side of a cell
 SLACK = 1e-3  # of bounds, for rounding
-IDF_BUCKETS = 1 << 18
+IDF_BUCKETS = 1 << 20
 RARE = 1000  # words in fewer than one document of so many weigh alike
 
 _rng = np.random.default_rng(20240607)
@@ -176,16 +178,20 @@ def idf_table(docs: DataFrame) -> np.ndarray:
         else:
             df[b] = v
     rarity = np.log((n + 1) / (np.maximum(df, n / RARE) + 1)) / math.log(RARE)
-    return (1 + 0.5 * np.clip(rarity, 0, 1)).astype(np.float32)
+    return (1 + np.clip(rarity, 0, 1)).astype(np.float32)
+
+
+def text_digest():
+    return F.xxhash64("text").alias("digest")
 
 
 def sign(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, ckey, keys (one per band); without words ckey and keys are null."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ckey", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    """doc_id, digest of the text, ckey, keys (one per band); without words ckey and keys are null."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("ckey", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         for rows in small_batches(batches):
-            norm = [normalized(t) for _, t in rows]
+            norm = [normalized(t) for *_, t in rows]
             keys = [class_key(x) for x in norm]
             some = [i for i, k in enumerate(keys) if k]
             bands: list = [None] * len(rows)
@@ -193,9 +199,9 @@ def sign(docs: DataFrame, idf) -> DataFrame:
                 sets = [shingles(w, idf.value) for w in word_hashes([norm[i] for i in some])]
                 for i, b in zip(some, signatures(sets)):
                     bands[i] = b.tolist()
-            yield rows_to_batch([(d, k, b) for (d, _), k, b in zip(rows, keys, bands)], schema)
+            yield rows_to_batch([(d, g, k, b) for (d, g, _), k, b in zip(rows, keys, bands)], schema)
 
-    return docs.mapInArrow(run, "doc_id long, ckey binary, keys array<long>")
+    return docs.select("doc_id", text_digest(), "text").mapInArrow(run, "doc_id long, digest long, ckey binary, keys array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
@@ -284,9 +290,11 @@ def compare_cells(met: DataFrame, classes: DataFrame, texts: DataFrame, idf, thr
 
 
 def distinct_classes(signed: DataFrame) -> DataFrame:
-    """ckey, least (doc_id), doc (a doc_id that has the text; the least number for null), keys of every class with words."""
-    doc = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    return signed.filter("ckey is not null").groupBy("ckey").agg(F.min("doc_id").alias("least"), F.min(doc).alias("doc"), F.first("keys").alias("keys"))
+    """ckey, least (doc_id), doc and digest (of a row that has the text; the least number for a null doc_id), keys of
+    every class with words."""
+    row = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "digest")).alias("row")
+    found = signed.filter("ckey is not null").groupBy("ckey").agg(F.min("doc_id").alias("least"), row, F.first("keys").alias("keys"))
+    return found.select("ckey", "least", "row.doc", "row.digest", "keys")
 
 
 def links(docs: DataFrame, classes: DataFrame, idf, threshold: float = SIMILARITY) -> DataFrame:
@@ -295,8 +303,9 @@ def links(docs: DataFrame, classes: DataFrame, idf, threshold: float = SIMILARIT
     shared = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("ckey").alias("a")).filter("n > 1").drop("n")
     led = materialize(rows.join(shared, ["band", "key"]).filter("ckey <> a"), "led")
     some = led.select("ckey").union(led.select("a")).distinct()
-    needed = some.join(classes.select("ckey", "doc"), "ckey")
-    keyed = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "text").join(needed, "doc")
+    needed = some.join(classes.select("ckey", "doc", "digest"), "ckey")
+    # the digest keeps rows without an id, and texts that share one, apart
+    keyed = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), text_digest(), "text").join(needed, ["doc", "digest"])
     texts = materialize(_one_text(keyed), "texts")
     judged = materialize(verify(led.select("a", F.col("ckey").alias("b")).distinct(), texts, idf), "judged")
     met = materialize(led.join(judged.withColumnRenamed("b", "ckey"), ["a", "ckey"]).select("band", "key", "ckey", "alike"), "met")
@@ -305,7 +314,7 @@ def links(docs: DataFrame, classes: DataFrame, idf, threshold: float = SIMILARIT
 
 
 def _one_text(keyed: DataFrame) -> DataFrame:
-    """ckey, text: a repeated doc_id may bring another text, which its key tells apart."""
+    """ckey, text: repeated rows bring a text again; its key tells it from another of the same digest."""
     schema = pa.schema([("ckey", pa.binary()), ("text", pa.string())])
 
     def run(batches):
