@@ -208,10 +208,10 @@ def count(docs: DataFrame) -> DataFrame:
                     raw[PLACE, held].append(places)
                     raw[WORD, held].append(np.concatenate(word_keys(texts)))
                     held_rows += len(places)
-            if held_rows > 4_000_000:
+            if held_rows > 2_000_000:
                 pack()
                 held_rows = 0
-                if sum(len(k) for parts in kept.values() for k, _ in parts) > 4_000_000:
+                if sum(len(k) for parts in kept.values() for k, _ in parts) > 3_000_000:
                     yield from rows()
         pack()
         yield from rows()
