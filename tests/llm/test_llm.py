@@ -239,6 +239,37 @@ def test_op6_star_group(spark):
     assert {r["class_id"] for r in o6.near_duplicate_groups(table).collect()} == {0}
 
 
+def test_op6_drifting_chains_equal_brute_force(spark):
+    """Chains of texts, each like the next: the groups are the components of all pairs, by the operator's own weights."""
+    r, rows = random.Random(11), []
+    for c in range(40):
+        words = [r.choice(WORDS) + str(r.randint(0, 400)) for _ in range(120)]
+        for _ in range(12):
+            rows.append((len(rows) if len(rows) % 7 else None, " ".join(words)))
+            for at in r.sample(range(120), 2):
+                words[at] = f"d{r.randint(0, 10**9)}"
+    table = spark.createDataFrame([*rows, *rows[:30]], "doc_id long, text string").repartition(4)
+    idf = o6.idf_table(table)
+    sets = [o6.shingles(w, idf) for w in o6.word_hashes([o6.normalized(t) for _, t in rows])]
+    part = list(range(len(rows)))
+
+    def top(i):
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if o6.similarity(sets[a], sets[b]) >= 0.8]
+    for a, b in pairs:
+        part[max(top(a), top(b))] = min(top(a), top(b))
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[top(i)] = min(least.get(top(i), d), d)
+    got = {r["doc_id"]: r["class_id"] for r in o6.near_duplicate_groups(table).collect() if r["doc_id"] is not None}
+    assert len(pairs) > 400 and len({top(i) for i in part}) < len(rows)
+    assert got == {d: least[top(i)] for i, (d, _) in enumerate(rows) if d is not None}
+
+
 def test_op6_cells_equal_all_pairs():
     r, n = np.random.default_rng(4), 60
     base = r.integers(1, 1 << 60, (4, 50)).astype(np.uint64)
