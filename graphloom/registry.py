@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import build, diff, graph, metrics, passes, reports, rules, views
+from graphloom.plans import generated
 from graphloom.plans.binding import bind, with_model
-from graphloom.sources import project
+from graphloom.plans.shared import materialize
+from graphloom.sources import parse, project
 
 _QUERIES: dict = {}
 _SQL: dict = {}
@@ -113,20 +115,28 @@ def j01_contains_edges(crates, modules, symbols):
     return build.with_weights(build.contains_edges(crates, modules, lost))
 
 
-@query("symbols", "modules", sql="""with r as (select id as ref_id, (module_id + 1) % 25 as module_id, kind as name, id from symbols where id % 40 = 0),
-s as (select id, kind as name, module_id, visibility from symbols where id % 7 = 0 and not (kind = 'Trait')),
-p as (select id as module_id, parent as ancestor from modules where parent is not null),
+# modules as a binary tree by their ids, names that some symbols share, and every eleventh symbol imported elsewhere
+@query("symbols", sql="""with recursive up(module_id, ancestor) as (select distinct module_id, cast(floor((module_id - 1) / 2) as bigint) from symbols where module_id > 0
+  union select module_id, cast(floor((ancestor - 1) / 2) as bigint) from up where ancestor > 0),
+n as (select cast(floor(count(*) / 40) as bigint) + 1 as names from symbols),
+s as (select id, concat(kind, '_', cast((id * 7) % names as varchar)) as name, module_id, visibility from symbols, n),
+r as (select id as ref_id, (module_id + id) % 25 as module_id, concat(kind, '_', cast((id * 3) % (names + 9) as varchar)) as name from symbols, n),
+i as (select (module_id + 7) % 25 as module_id, name, id from s where id % 11 = 3),
 h as (select ref_id, s.id as target, 1 as tier from r join s on s.module_id = r.module_id and s.name = r.name
-union select ref_id, s.id, 3 from r join p on p.module_id = r.module_id join s on s.module_id = p.ancestor and s.name = r.name where s.visibility <> 'Private'
+union select ref_id, i.id, 2 from r join i on i.module_id = r.module_id and i.name = r.name
+union select ref_id, s.id, 3 from r join up on up.module_id = r.module_id join s on s.module_id = up.ancestor and s.name = r.name where s.visibility <> 'Private'
 union select ref_id, s.id, 4 from r join s on s.name = r.name),
 b as (select ref_id, min(tier) as tier from h group by 1)
 select r.ref_id, cast(coalesce(h.target, -1) as bigint) as target, cast(coalesce(h.tier, 0) as bigint) as tier from r left join b on b.ref_id = r.ref_id left join h on h.ref_id = b.ref_id and h.tier = b.tier""")
-def j11_name_resolution(symbols, modules):
-    refs = symbols.filter("id % 40 = 0").select(F.col("id").alias("ref_id"), ((F.col("module_id") + 1) % 25).alias("module_id"), F.col("kind").alias("name"))
-    defs = symbols.filter("id % 7 = 0 and kind <> 'Trait'").select("id", F.col("kind").alias("name"), "module_id", "visibility")
-    up = modules.filter("parent is not null").select(F.col("id").alias("module_id"), F.col("parent").alias("ancestor"))
-    none = defs.select("module_id", "name", F.col("id").alias("symbol_id")).limit(0)
-    return build.resolve(refs, defs, none, up)
+def j11_name_resolution(symbols):
+    names = symbols.agg((F.floor(F.count("*") / 40) + 1).alias("names"))  # one row
+    s = symbols.join(F.broadcast(names))
+    named = lambda n: F.concat("kind", F.lit("_"), n.cast("string")).alias("name")
+    defs = s.select("id", named(F.col("id") * 7 % F.col("names")), "module_id", "visibility")
+    refs = s.select(F.col("id").alias("ref_id"), ((F.col("module_id") + F.col("id")) % 25).alias("module_id"), named(F.col("id") * 3 % (F.col("names") + 9)))
+    used = defs.filter("id % 11 = 3").select(((F.col("module_id") + 7) % 25).alias("module_id"), "name", F.col("id").alias("symbol_id"))
+    tree = symbols.select(F.col("module_id").alias("id")).distinct().withColumn("parent", F.when(F.col("id") > 0, F.floor((F.col("id") - 1) / 2)))
+    return build.resolve(refs, defs, used, parse.ancestors(tree))
 
 
 @query("crates", sql="""select 'Crate' as src_kind, cast(a.id as bigint) as src_id, 'Crate' as dst_kind, cast(b.id as bigint) as dst_id, 'DependsOn' as kind
@@ -381,3 +391,62 @@ def u11_hit_test(symbols):
 select module_id, coupling_score, cast(floor(255 * t) as bigint) as r, cast(floor(100 * (1 - abs(2 * t - 1))) as bigint) as g, cast(floor(200 * (1 - t)) as bigint) as b from t""")
 def u15_coupling_heatmap(modules, symbols, calls):
     return views.coupling_heatmap(modules, metrics.module_metrics(modules, symbols, calls))
+
+
+# ---------------------------------------------------------------- sources, over text generated from the model
+
+_HAS_BODY = "kind in ('Function', 'Method')"
+_READ = f"(select * from symbols where not ({generated.BROKEN}))"
+
+
+def _parsed(symbols, calls):
+    files = materialize(generated.source_files(symbols, calls), "generated")
+    return files, parse.parse(files, generated.owners(files))
+
+
+@query("symbols", "call_edges", sql=f"""with r as (select *, row_number() over (partition by module_id order by id) as line from symbols), g as (select * from r where not ({generated.BROKEN}))
+select cast(module_id as bigint) as file_id, {generated.NAME} as name, kind, case when visibility = 'Public' then 'Public' else 'Private' end as visibility, {generated.SIGNATURE} as signature, cast(line as bigint) as start_line,
+  kind = 'Function' and is_unsafe or kind = 'Trait' as is_unsafe, kind = 'Function' and is_extern as is_extern, kind = 'Function' and is_test as is_test, kind in ('Function', 'Method') and has_unsafe_block as has_unsafe_block from g
+union all select module_id, concat('impl Show for S', cast(id as varchar)), 'ImplBlock', 'Private', concat('impl Show for S', cast(id as varchar)), line, false, false, false, false from g where kind = 'Method'""")
+def v01_symbols(symbols, calls):
+    """Every declaration of the generated files; files that can't be read give none."""
+    s = _parsed(symbols, calls)[1].symbols
+    return s.select("file_id", "name", "kind", "visibility", "signature", F.col("start_line").cast("long").alias("start_line"), "is_unsafe", "is_extern", "is_test", "has_unsafe_block")
+
+
+@query("symbols", "call_edges", sql=f"""with g as (select *, {generated.NAME} as n, case when kind = 'Method' then concat('S', cast(id as varchar), '::') else '' end as owner from {_READ} x),
+c as (select g.owner || g.n as source_name, t.n as target_name from call_edges e join g on g.id = e.src join (select id, {generated.NAME} as n from symbols) t on t.id = e.dst where {_HAS_BODY}
+union all select owner || n, 'f' from g where {_HAS_BODY} and has_unsafe_block
+union all select owner || n, unnest(case id % 3 when 0 then ['g', 'h'] when 1 then ['len'] else ['k', 'k'] end) from g where {_HAS_BODY})
+select source_name, 'Calls' as kind, target_name, cast(count(*) as bigint) as n from c group by 1, 3
+union all select concat('S', cast(id as varchar)), 'Implements', 'Show', 1 from g where kind = 'Method'""")
+def v11_relationships(symbols, calls):
+    """Calls and implementations by name, counted."""
+    found = _parsed(symbols, calls)[1].extracted
+    return found.groupBy("source_name", "kind", "target_name").agg(F.count("*").alias("n"))
+
+
+@query("symbols", "call_edges", sql=f"""with g as (select *, {generated.NAME} as n from {_READ} x)
+select a.n as source, b.n as target, cast(case when a.module_id = b.module_id then 1 else 4 end as bigint) as tier from call_edges e join g a on a.id = e.src join g b on b.id = e.dst where a.{_HAS_BODY}""")
+def j14_resolved_calls(symbols, calls):
+    """Calls of the generated files with both ends resolved to symbols, and the tier that did so."""
+    p = _parsed(symbols, calls)[1]
+    ends = p.symbols.select("id", "name")
+    found = p.relationships.filter("kind = 'Calls' and tier > 0").join(ends.select(F.col("id").alias("source"), F.col("name").alias("a")), "source")
+    return found.join(ends.select(F.col("id").alias("target"), F.col("name").alias("b")), "target").select(F.col("a").alias("source"), F.col("b").alias("target"), "tier")
+
+
+@query("symbols", "call_edges", sql=f"""with g as (select *, {generated.NAME} as n, coalesce(m, 0) as calls from {_READ} x left join (select src, count(*) as m from call_edges group by 1) c on c.src = x.id where {_HAS_BODY})
+select n as name, cast(case id % 3 when 0 then 3 else 2 + case when id % 3 = 1 then 1 else 0 end end as bigint) as cyclomatic_complexity,
+cast(3 + calls + case when has_unsafe_block then 1 else 0 end + case id % 3 when 0 then 7 when 1 then 4 else 5 end as bigint) as nodes from g""")
+def c15_complexity(symbols, calls):
+    """Complexity and size of the control flow of every function of the generated files."""
+    p = _parsed(symbols, calls)[1]
+    size = p.cfg_nodes.groupBy("function_id").agg(F.count("*").alias("nodes"))
+    named = p.symbols.select(F.col("id").alias("function_id"), "name")
+    return metrics.cyclomatic_complexity(p.cfg_nodes, p.cfg_edges).join(size, "function_id").join(named, "function_id").select("name", "cyclomatic_complexity", "nodes")
+
+
+@query("symbols", "call_edges", sql=f"select concat('src/m', cast(module_id as varchar), '.rs') as file_path, 'unclosed delimiter' as message, cast(count(*) + 1 as bigint) as line from symbols where {generated.BROKEN} group by module_id")
+def s20_parse_errors(symbols, calls):
+    return _parsed(symbols, calls)[1].errors.select("file_path", "message", F.col("line").cast("long").alias("line"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Directories that are never part of a crate's sources (fixed values).
 EXCLUDED = ("tests", "examples", "benches")
+LARGE_FILE = 10_000  # lines beyond which a file is worth a warning
 
 
 def line_count(text):
@@ -25,13 +26,6 @@ def fingerprints(files: DataFrame) -> DataFrame:
     return files.select("id", "path", F.sha2(text.cast("binary"), 256).alias("hash"), line_count(text).alias("line_count"))
 
 
-def source_files(spark, root: str) -> DataFrame:
-    """path, content of the .rs files under a folder, without build.rs and excluded directories."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.rs").load(root)
-    inside = F.regexp_extract("path", re.escape(root.rstrip("/")) + "/(.*)", 1)
-    return raw.filter(~inside.rlike(f"(^|/)({'|'.join(EXCLUDED)})/") & ~inside.rlike(r"(^|/)build\.rs$")).select("path", F.col("content").cast("string").alias("text"))
-
-
 def parse_manifest(text: str, directory: str = "") -> dict:
     """kind (workspace or crate), name, members, dependencies (sorted, distinct), bins of a manifest.
 
