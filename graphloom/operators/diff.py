@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.graph import reach_any, reverse
+
 
 def change_set(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """path, status (added, removed, modified, unchanged) from path and hash of two snapshots."""
@@ -26,9 +28,5 @@ def regression(baseline: DataFrame, current: DataFrame, exact: list[str], fuzzy:
 
 def changed_closure(changes: DataFrame, symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """node: symbols in changed files and everything that calls them, directly or not."""
-    from graphloom.operators.graph import reach, reverse
-
     changed = changes.filter("status in ('added', 'modified')").select(F.col("path").alias("file"))
-    start = symbols.join(changed, "file", "left_semi").select(F.col("id").alias("node"))
-    one = start.select("node", F.lit(0).alias("root"))
-    return reach(reverse(calls), one.select("node")).select("node").distinct()
+    return reach_any(reverse(calls), symbols.join(changed, "file", "left_semi").select(F.col("id").alias("node")))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components  # noqa: F401
@@ -47,6 +47,43 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None, allowed
     return reduce(DataFrame.unionByName, seen)
 
 
+def reach_any(edges: DataFrame, starts: DataFrame, depth: int | None = None, stops: DataFrame | None = None) -> DataFrame:
+    """node: everything reachable from any start, starts included; one row per node, however many starts reach it.
+
+    Nodes of ``stops`` (node) are reached but not left again.
+    """
+    edges = _clean(edges)
+    if stops is not None:
+        edges = edges.join(stops.select(F.col("node").alias("src")).distinct(), "src", "left_anti").select("src", "dst")
+    frontier = materialize(starts.select("node").filter("node is not null").distinct(), "frontier")
+    seen, hops = [frontier], 0
+    while (depth is None or hops < depth) and not frontier.isEmpty():
+        hops += 1
+        step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        frontier = materialize(step.join(reduce(DataFrame.unionByName, seen), "node", "left_anti"), "frontier")
+        seen.append(frontier)
+        if len(seen) > 8:
+            seen = [materialize(reduce(DataFrame.unionByName, seen), "seen")]
+    return reduce(DataFrame.unionByName, seen)
+
+
+def spread(edges: DataFrame, marks: DataFrame) -> DataFrame:
+    """node, mark: every mark (node, mark) travels against the edges, from callees to all their callers.
+
+    A round holds only what is new, so there are at most as many rows as nodes times marks.
+    """
+    edges = _clean(edges)
+    new = materialize(marks.select("node", "mark").filter("node is not null and mark is not null").distinct(), "marks")
+    seen = [new]
+    while not new.isEmpty():
+        step = edges.join(new.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "mark").distinct()
+        new = materialize(step.join(reduce(DataFrame.unionByName, seen), ["node", "mark"], "left_anti"), "marks")
+        seen.append(new)
+        if len(seen) > 8:
+            seen = [materialize(reduce(DataFrame.unionByName, seen), "seen")]
+    return reduce(DataFrame.unionByName, seen)
+
+
 def descendants(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """root, node: reachable nodes without the root itself, also on a cycle."""
     return reach(edges, starts).filter("node <> root").select("root", "node")
@@ -63,7 +100,7 @@ def neighborhood(edges: DataFrame, starts: DataFrame, depth: int, allowed: DataF
 
 def reachable_subgraph(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Edges between nodes reachable from any root, roots included, parallel edges kept."""
-    inside = materialize(reach(edges, roots).select("node").distinct(), "inside")
+    inside = materialize(reach_any(edges, roots), "inside")
     e = edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi")
     return e.join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi").select(*edges.columns)
 
@@ -92,11 +129,19 @@ def simple_paths(edges: DataFrame, start: int, goal: int, max_depth: int) -> Dat
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """node, component (its largest node) of components with more than one node.
 
-    Colouring: every node takes the largest node that reaches it; what reaches its colour's root backwards inside the
-    colour is one component; found nodes leave and the rest goes on.
+    Nodes without an edge in or out are on no cycle and leave first, round by round.  Then colouring: every node takes the
+    largest node that reaches it; what reaches its colour's root backwards inside the colour is one component; found nodes
+    leave and the rest goes on.
     """
     live = _clean(edges.filter("src <> dst"))
     found = None
+    while True:
+        both = live.select(F.col("src").alias("node")).distinct().join(live.select(F.col("dst").alias("node")).distinct(), "node")
+        kept = live.join(both.select(F.col("node").alias("src")), "src", "left_semi").join(both.select(F.col("node").alias("dst")), "dst", "left_semi")
+        kept, before = materialize(kept.select("src", "dst"), "live"), live.count()
+        live = kept
+        if live.count() == before:
+            break
     while not live.isEmpty():
         color = materialize(live.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("color", F.col("node")), "color")
         while True:
@@ -144,9 +189,7 @@ def topological_order(edges: DataFrame) -> DataFrame:
     total = edges.filter("src is not null and dst is not null").select(F.explode(F.array("src", "dst")).alias("node")).distinct().count()
     if laid.count() < total:
         return laid.select("node", F.lit(0).cast("long").alias("position")).limit(0)
-    ahead = laid.groupBy("layer").agg(F.count("*").alias("n"))
-    before = ahead.alias("a").join(F.broadcast(ahead.alias("b")), F.expr("b.layer < a.layer"), "left").groupBy("a.layer").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    from pyspark.sql import Window
-
+    sizes = laid.groupBy("layer").agg(F.count("*").alias("n"))  # one row per layer
+    before = sizes.select("layer", (F.sum("n").over(Window.orderBy("layer")) - F.col("n")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("layer").orderBy("node"))
     return laid.withColumn("r", rank).join(before, "layer").select("node", (F.col("before") + F.col("r") - 1).cast("long").alias("position"))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import reach, reverse, strongly_connected
+from graphloom.operators.graph import reach, reach_any, reverse, strongly_connected
 from graphloom.plans.shared import materialize
 
 #: Parts of names (fixed values).
@@ -50,8 +50,8 @@ def paths_between(edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_de
 
     Only edges between what sources reach and what reaches a sink take part, so branches that lead nowhere never grow.
     """
-    ahead = reach(edges, sources, max_depth).select("node").distinct()
-    behind = reach(reverse(edges), sinks, max_depth).select("node").distinct()
+    ahead = reach_any(edges, sources, max_depth)
+    behind = reach_any(reverse(edges), sinks, max_depth)
     useful = materialize(ahead.join(behind, "node", "left_semi"), "useful")
     e = edges.select("src", "dst").distinct().join(useful.withColumnRenamed("node", "src"), "src", "left_semi")
     e = materialize(e.join(useful.withColumnRenamed("node", "dst"), "dst", "left_semi").join(sinks.select(F.col("node").alias("dst"), F.lit(True).alias("ends")).distinct(), "dst", "left"), "edges")
@@ -68,18 +68,20 @@ def paths_between(edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_de
 
 
 def taint_findings(paths: DataFrame, names: DataFrame, sanitizers: str = SANITIZERS, weak: str = WEAK_SANITIZERS) -> DataFrame:
-    """path, n_edges, severity, confidence.  ``names``: node, name.
+    """path, n_edges, severity, confidence of the paths that no function between their ends sanitizes.  ``names``: node, name.
 
-    A function between the ends that sanitizes lowers the severity to Medium; paths of over five edges and weak
-    sanitizers lower the confidence by one level each.
+    A weak sanitizer does not clean a path: it lowers the severity to Medium and the confidence by a level, as does a path
+    of over five edges for the confidence.
     """
     p = paths.withColumn("id", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
     inner = p.select("id", F.posexplode("path").alias("at", "node"), (F.size("path") - 1).alias("last")).filter("at > 0 and at < last")
-    seen = inner.join(names.select("node", "name"), "node").groupBy("id").agg(F.max(F.col("name").rlike(sanitizers)).alias("clean"), F.max(F.col("name").rlike(weak)).alias("weak"))
-    scored = p.join(seen, "id", "left").withColumn("n_edges", (F.size("path") - 1).cast("long"))
-    lost = F.when(F.col("n_edges") > 5, 1).otherwise(0) + F.when(F.coalesce("weak", F.lit(False)), 1).otherwise(0)
+    is_weak = F.col("name").rlike(weak)
+    seen = inner.join(names.select("node", "name"), "node").groupBy("id").agg(F.max(F.col("name").rlike(sanitizers) & ~is_weak).alias("clean"), F.max(is_weak).alias("weak"))
+    scored = p.join(seen, "id", "left").withColumn("n_edges", (F.size("path") - 1).cast("long")).filter("not coalesce(clean, false)")
+    softened = F.coalesce("weak", F.lit(False))
+    lost = F.when(F.col("n_edges") > 5, 1).otherwise(0) + F.when(softened, 1).otherwise(0)
     level = F.element_at(F.array(*map(F.lit, ("High", "Medium", "Low"))), lost + 1)
-    return scored.select("path", "n_edges", F.when(F.coalesce("clean", F.lit(False)), "Medium").otherwise("High").alias("severity"), level.alias("confidence"))
+    return scored.select("path", "n_edges", F.when(softened, "Medium").otherwise("High").alias("severity"), level.alias("confidence"))
 
 
 # ---------------------------------------------------------------- guards
@@ -87,8 +89,12 @@ def taint_findings(paths: DataFrame, names: DataFrame, sanitizers: str = SANITIZ
 
 def missing_guards(edges: DataFrame, entrypoints: DataFrame, names: DataFrame, guards: str = GUARDS) -> DataFrame:
     """node, severity: entrypoints (node, external) that reach no guard; High from outside, Medium inside."""
-    found = reach(edges, entrypoints).filter("node <> root").join(names.filter(F.col("name").rlike(guards)), "node", "left_semi")
-    bare = entrypoints.join(found.select(F.col("root").alias("node")).distinct(), "node", "left_anti")
+    guard = materialize(names.filter(F.col("name").rlike(guards)).select("node").distinct(), "guards")
+    callers = edges.join(guard.withColumnRenamed("node", "dst"), "dst").filter("src <> dst").select(F.col("src").alias("node"))
+    guarded = reach_any(reverse(edges), callers).join(guard, "node", "left_anti")  # once backwards from all guards
+    # a guard is no guard of its own: those among the entrypoints look for another
+    others = reach(edges, entrypoints.join(guard, "node", "left_semi")).filter("node <> root").join(guard, "node", "left_semi").select(F.col("root").alias("node"))
+    bare = entrypoints.join(guarded.unionByName(others), "node", "left_anti")
     return bare.select("node", F.when(F.col("external"), "High").otherwise("Medium").alias("severity"))
 
 
@@ -164,7 +170,7 @@ def god_modules(module_metrics: DataFrame, symbols: int = 50, coupling: float =
 
 def reachability(nodes: DataFrame, edges: DataFrame, external: DataFrame) -> DataFrame:
     """node, reachability: Public if an external entrypoint reaches it (or is it), else Internal."""
-    public = reach(edges, external).select("node").distinct().withColumn("public", F.lit(True))
+    public = reach_any(edges, external).withColumn("public", F.lit(True))
     return nodes.select("node").distinct().join(public, "node", "left").select("node", F.when(F.col("public"), "Public").otherwise("Internal").alias("reachability"))
 
 

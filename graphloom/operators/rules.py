@@ -65,20 +65,24 @@ def entrypoints(symbols: DataFrame, modules: DataFrame, calls: DataFrame) -> Dat
     return reduce(DataFrame.unionByName, parts).groupBy(F.col("id").alias("symbol_id")).agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
 
 
-def structural_findings(module_m: DataFrame, module_edges: DataFrame, god_symbols: int = 50, god_coupling: float = 20.0, api_ratio: float = 0.8) -> DataFrame:
-    """kind, severity, members (sorted ids), description: cycles, god modules, wide API surfaces."""
-    cycles = strongly_connected(module_edges).groupBy("component").agg(F.array_sort(F.collect_list(F.col("node").cast("long"))).alias("members"))
-    n = F.size("members")
-    text = lambda fmt, *c: F.format_string(fmt, *c)
+def structural_findings(module_m: DataFrame, module_edges: DataFrame, god_symbols: int = 50, god_coupling: float = 20.0, api_ratio: float = 0.8, crate_edges: DataFrame | None = None) -> DataFrame:
+    """kind, severity, members (sorted ids), description: cycles of crates and of modules, god modules, wide API surfaces."""
+    one = lambda c: F.array(F.col(c).cast("long")).alias("members")
+
+    def cycles(edges, kind, severity, what):
+        found = strongly_connected(edges).groupBy("component").agg(F.array_sort(F.collect_list(F.col("node").cast("long"))).alias("members"))
+        return found.select(F.lit(kind).alias("kind"), severity.alias("severity"), "members", F.format_string(f"cycle of %d {what}", F.size("members")).alias("description"))
+
+    god = (F.col("symbol_count") > god_symbols) & (F.col("coupling_score") > god_coupling)
+    wide = (F.col("symbol_count") >= 3) & (F.col("api_surface_ratio") > api_ratio)
+    share = F.round(F.col("api_surface_ratio") * 100).cast("int")
     found = [
-        cycles.select(F.lit("CyclicModuleDependency").alias("kind"), F.when(n >= 3, "High").otherwise("Medium").alias("severity"), "members", text("cycle of %d modules", n).alias("description")),
-        module_m.filter((F.col("symbol_count") > god_symbols) & (F.col("coupling_score") > god_coupling)).select(
-            F.lit("GodModule").alias("kind"), F.lit("Medium").alias("severity"), F.array(F.col("module_id").cast("long")).alias("members"), text("%d symbols, coupling %.1f", F.col("symbol_count"), F.col("coupling_score")).alias("description")
-        ),
-        module_m.filter((F.col("symbol_count") >= 3) & (F.col("api_surface_ratio") > api_ratio)).select(
-            F.lit("ExcessiveApiSurface").alias("kind"), F.lit("Low").alias("severity"), F.array(F.col("module_id").cast("long")).alias("members"), text("%d%% of %d symbols are public", F.round(F.col("api_surface_ratio") * 100).cast("int"), F.col("symbol_count")).alias("description")
-        ),
+        cycles(module_edges, "CyclicModuleDependency", F.when(F.size("members") >= 3, "High").otherwise("Medium"), "modules"),
+        module_m.filter(god).select(F.lit("GodModule").alias("kind"), F.lit("Medium").alias("severity"), one("module_id"), F.format_string("%d symbols, coupling %.1f", "symbol_count", "coupling_score").alias("description")),
+        module_m.filter(wide).select(F.lit("ExcessiveApiSurface").alias("kind"), F.lit("Low").alias("severity"), one("module_id"), F.format_string("%d%% of %d symbols are public", share, F.col("symbol_count")).alias("description")),
     ]
+    if crate_edges is not None:
+        found.insert(0, cycles(crate_edges, "CyclicCrateDependency", F.lit("Critical"), "crates"))
     return reduce(DataFrame.unionByName, found)
 
 

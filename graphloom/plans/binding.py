@@ -28,8 +28,11 @@ MODEL_SQL = {
     "module_edges": "select src, dst from (select src, dst, row_number() over (partition by src order by n desc, dst) as rn from "
     "(select c_nationkey as src, s_nationkey as dst, count(*) as n from orders join customer on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey "
     "join supplier on l_suppkey = s_suppkey group by c_nationkey, s_nationkey) w) k where rn <= 2",
-    "sparse_edges": "select src, dst from (select o_custkey as src, lead(o_custkey) over (order by o_orderdate, o_orderkey) as dst from orders "
-    "where o_orderpriority like '1%' and o_orderkey % 5 = 0) o where dst is not null",
+    # crates (below 0), their modules (from -100 down), the modules' customers, and what these call: an acyclic graph
+    "model_nodes": "select -1 - r_regionkey as node, r_name as name from region union all select -100 - n_nationkey, n_name from nation "
+    "union all select 2 * c_custkey, c_name from customer union all select 2 * s_suppkey + 1, s_name from supplier",
+    "model_edges": "select -1 - n_regionkey as src, -100 - n_nationkey as dst from nation union all select -100 - c_nationkey, 2 * c_custkey from customer "
+    "union all select distinct 2 * o_custkey, 2 * l_suppkey + 1 from orders join lineitem on l_orderkey = o_orderkey",
     "files": "select doc_id as id, concat(source, '/', cast(doc_id as string)) as path, text from documents",
 }
 

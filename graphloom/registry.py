@@ -148,24 +148,25 @@ def j05_depends_on(crates):
     return build.depends_on_edges(c, deps.join(names, "k").select("crate_id", "dependency"))
 
 
-@query("module_edges", sql=_CLOSURE.format(e="module_edges") + "select root, node from reach where root <> node and root < 5")
+@query("model_edges", sql=_CLOSURE.format(e="model_edges") + "select root, node from reach where root between -99 and -1")
 def g03_descendants(edges):
-    return graph.descendants(edges, edges.filter("src < 5").select(F.col("src").alias("node")))
+    return graph.descendants(edges, edges.filter("src between -99 and -1").select(F.col("src").alias("node")))
 
 
-@query("module_edges", sql=_CLOSURE.format(e="module_edges") + "select node as root, root as node from reach where root <> node and node in (1, 2, 3)")
+@query("model_edges", sql=_CLOSURE.format(e="model_edges") + "select node as root, root as node from reach where node > 0 and node % 2 = 1")
 def g04_ancestors(edges):
-    return graph.ancestors(edges, edges.filter("dst in (1, 2, 3)").select(F.col("dst").alias("node")))
+    return graph.ancestors(edges, edges.filter("dst > 0 and dst % 2 = 1").select(F.col("dst").alias("node")))
 
 
-@query("sparse_edges", sql=_CLOSURE.format(e="sparse_edges") + ", k as (select node from reach where root in (select min(src) from sparse_edges) union select min(src) from sparse_edges) select distinct src, dst from sparse_edges where src in (select node from k) and dst in (select node from k)")
+@query("model_edges", sql=_CLOSURE.format(e="model_edges") + ", k as (select node from reach where root in (-2, -4) union select -2 union select -4) select src, dst from model_edges where src in (select node from k) and dst in (select node from k)")
 def g05_reachable_subgraph(edges):
-    return graph.reachable_subgraph(edges, edges.agg(F.min("src").alias("node"))).distinct()
+    return graph.reachable_subgraph(edges, edges.filter("src in (-2, -4)").select(F.col("src").alias("node")))
 
 
-@query("sparse_edges", sql="with recursive u(a, b) as (select src, dst from sparse_edges union select dst, src from sparse_edges), reach(root, node) as (select a, b from u union select root, b from reach join u on node = a) select root as node, least(root, min(node)) as component from reach group by root")
-def g06_components(edges):
-    return graph.connected_components(edges)
+@query("model_edges", "modules", sql="""with g as (select src as crate, dst as module from model_edges where src between -99 and -1), m as (select crate, min(module) as component from g group by crate)
+select crate as node, component from m union all select module, component from g join m using (crate) union all select dst, component from model_edges join g on src = module join m using (crate)""")
+def g06_components(edges, modules):
+    return graph.connected_components(edges.filter("src < 0"))
 
 
 @query("module_edges", sql=_CLOSURE.format(e="module_edges") + ", m as (select x.root, x.node from reach x join reach y on x.root = y.node and x.node = y.root where x.root <> x.node) select root as node, greatest(root, max(node)) as component from m group by root")
@@ -173,9 +174,9 @@ def g07_cycles(edges):
     return graph.strongly_connected(edges)
 
 
-@query("sparse_edges", sql="with recursive e as (select src, dst from sparse_edges where src < dst), l(node, layer) as (select src, 0 from e union select dst, layer + 1 from l join e on node = src), d as (select node, max(layer) as layer from l where layer = 0 and node not in (select dst from e) or layer > 0 group by node), f as (select x.node, max(x.layer) as layer from l x group by x.node) select node, cast(row_number() over (order by layer, node) - 1 as bigint) as position from f")
+@query("model_edges", sql="with l as (select src as node, 0 as layer from model_edges where src between -99 and -1 union select dst, case when dst < 0 then 1 when dst % 2 = 0 then 2 else 3 end from model_edges) select node, cast(row_number() over (order by layer, node) - 1 as bigint) as position from l")
 def g08_topological_order(edges):
-    return graph.topological_order(edges.filter("src < dst"))
+    return graph.topological_order(edges)
 
 
 @query("symbols", "call_edges", sql="select s.id as node, cast(coalesce(n, 0) as bigint) as degree from symbols s left join (select node, count(*) as n from (select src as node from call_edges union all select dst from call_edges) group by node) d on d.node = s.id")
@@ -215,9 +216,21 @@ def d20_complexity_flags(modules, symbols, calls):
     return metrics.complexity_flags(metrics.symbol_metrics(symbols, calls), metrics.module_metrics(modules, symbols, calls), {"LargeModule": 55})
 
 
-@query("modules", "symbols", "call_edges", "module_edges")
+@query("modules", "symbols", "call_edges", "module_edges", sql=_MODULE_METRICS.replace("with b as", "with recursive b as", 1).replace("select m.id as module_id", ", mm as (select m.id as module_id", 1) + """),
+ce as (select distinct a.crate_id as src, b.crate_id as dst from module_edges join modules a on a.id = src join modules b on b.id = dst where a.crate_id <> b.crate_id),
+r1(root, node) as (select src, dst from module_edges union select root, dst from r1 join module_edges on node = src), r2(root, node) as (select src, dst from ce union select root, dst from r2 join ce on node = src),
+c1 as (select x.root, greatest(x.root, max(x.node)) as component from r1 x join r1 y on x.root = y.node and x.node = y.root where x.root <> x.node group by x.root),
+c2 as (select x.root, greatest(x.root, max(x.node)) as component from r2 x join r2 y on x.root = y.node and x.node = y.root where x.root <> x.node group by x.root)
+select 'CyclicModuleDependency' as kind, case when count(*) >= 3 then 'High' else 'Medium' end as severity, string_agg(cast(root as varchar), ',' order by root) as members, 'cycle of ' || count(*) || ' modules' as description from c1 group by component
+union all select 'CyclicCrateDependency', 'Critical', string_agg(cast(root as varchar), ',' order by root), 'cycle of ' || count(*) || ' crates' from c2 group by component
+union all select 'GodModule', 'Medium', cast(module_id as varchar), printf('%d symbols, coupling %.1f', symbol_count, coupling_score) from mm where symbol_count > 5 and coupling_score > 20
+union all select 'ExcessiveApiSurface', 'Low', cast(module_id as varchar), printf('%d%% of %d symbols are public', cast(round(api_surface_ratio * 100) as bigint), symbol_count) from mm where symbol_count >= 3 and api_surface_ratio > 0.5""")
 def d24_structural_findings(modules, symbols, calls, edges):
-    return rules.structural_findings(metrics.module_metrics(modules, symbols, calls), edges)
+    crate = lambda c: modules.select(F.col("id").alias(c), F.col("crate_id").alias(c + "_crate"))
+    lifted = edges.join(crate("src"), "src").join(crate("dst"), "dst").select(F.col("src_crate").alias("src"), F.col("dst_crate").alias("dst")).distinct()
+    found = rules.structural_findings(metrics.module_metrics(modules, symbols, calls), edges, 5, 20.0, 0.5, lifted)
+    return found.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+
 
 
 @query("symbols", "call_edges", sql="select c.src, c.dst from call_edges c join symbols a on a.id = c.src join symbols b on b.id = c.dst where a.kind <> 'Trait' and b.kind <> 'Trait' and not a.is_test and not b.is_test and a.visibility <> 'Private' and b.visibility <> 'Private'")
@@ -245,40 +258,37 @@ def x52_regression(files):
     return diff.regression(old, new, ["rule", "loc", "line"], ["rule", "loc"]).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("symbols", "call_edges", sql="select symbol_id, fan_in from (select s.id as symbol_id, coalesce(n, 0) as fan_in, row_number() over (order by coalesce(n, 0) desc, s.id) as r from symbols s left join (select dst, count(distinct src) as n from call_edges group by dst) i on i.dst = s.id) where r <= 20")
+@query("symbols", "call_edges", sql="""with t as (select s.id as symbol_id, cast(s.id % 5 + coalesce(c, 0) as double) as total from symbols s left join (select src, sum(dst % 5) as c from call_edges group by src) e on e.src = s.id)
+select symbol_id, total, case when total > 100 then 'Critical' when total > 50 then 'High' when total > 20 then 'Medium' else 'Low' end as severity from (select *, row_number() over (order by total desc, symbol_id) as r from t) x where r <= 20""")
 def x19_hotspots(symbols, calls):
-    return views.hotspots(metrics.fans(symbols, calls).select("symbol_id", "fan_in"), "fan_in")
-
+    costs = passes.total_costs(calls, symbols.select(F.col("id").alias("node"), (F.col("id") % 5).cast("double").alias("cost")))
+    return views.hotspots(costs.withColumnRenamed("node", "symbol_id"), "total").withColumn("severity", reports.hotspot_severity(F.col("total")))
 
-def _module_names(modules):
-    return modules.select(F.col("id").alias("node"), "name")
 
 
-@query("module_edges", "modules", sql="""with recursive p(path, last) as (select [cast(id as bigint)], id from modules where id % 6 = 0
-union all select list_append(path, cast(dst as bigint)), dst from p join module_edges on src = last where len(path) <= 6 and (len(path) = 1 or last % 7 not in (3, 6)) and not list_contains(path, cast(dst as bigint))),
+@query("model_edges", "model_nodes", sql="""with recursive p(path, last) as (select [cast(node as bigint)], node from model_nodes where node between -99 and -1
+union all select list_append(path, cast(dst as bigint)), dst from p join model_edges on src = last where len(path) <= 6 and (len(path) = 1 or last % 7 not in (3, 6))),
 f as (select path, len(path) - 1 as n from p where len(path) > 1 and last % 7 in (3, 6)),
-i as (select x.path, max(case when regexp_matches(name, '[258]$') then 1 else 0 end) as clean, max(case when regexp_matches(name, '[28]$') then 1 else 0 end) as weak from (select path, unnest(path[2:len(path) - 1]) as node from f) x join modules m on m.id = x.node group by x.path)
-select array_to_string(f.path, '>') as path, cast(n as bigint) as n_edges, case when coalesce(clean, 0) = 1 then 'Medium' else 'High' end as severity,
-case (case when n > 5 then 1 else 0 end) + coalesce(weak, 0) when 0 then 'High' when 1 then 'Medium' else 'Low' end as confidence from f left join i on i.path = f.path""")
-def x08_taint_paths(edges, modules):
-    names = _module_names(modules)
-    found = passes.paths_between(edges, names.filter("node % 6 = 0"), names.filter("node % 7 in (3, 6)"), 6)
+i as (select x.path, max(case when regexp_matches(name, '[258]$') and not regexp_matches(name, '[28]$') then 1 else 0 end) as clean, max(case when regexp_matches(name, '[28]$') then 1 else 0 end) as weak from (select path, unnest(path[2:len(path) - 1]) as node from f) x join model_nodes m on m.node = x.node group by x.path)
+select array_to_string(f.path, '>') as path, cast(n as bigint) as n_edges, case when coalesce(weak, 0) = 1 then 'Medium' else 'High' end as severity,
+case (case when n > 5 then 1 else 0 end) + coalesce(weak, 0) when 0 then 'High' when 1 then 'Medium' else 'Low' end as confidence from f left join i on i.path = f.path where coalesce(clean, 0) = 0""")
+def x08_taint_paths(edges, names):
+    found = passes.paths_between(edges, names.filter("node between -99 and -1"), names.filter("node % 7 in (3, 6)"), 6)
     out = passes.taint_findings(found, names, "[258]$", "[28]$")
     return out.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
 
 
-@query("module_edges", "modules", sql=_CLOSURE.format(e="module_edges") + """select m.id as node, case when parent is null then 'High' else 'Medium' end as severity from modules m
-where m.id not in (select root from reach join modules g on g.id = node where root <> node and regexp_matches(g.name, '(11|17)$'))""")
-def x12_missing_guards(edges, modules):
-    return passes.missing_guards(edges, modules.select(F.col("id").alias("node"), F.col("parent").isNull().alias("external")), _module_names(modules), "(11|17)$")
+@query("model_edges", "model_nodes", sql=_CLOSURE.format(e="model_edges") + """select m.node, case when node < 0 then 'High' else 'Medium' end as severity from model_nodes m
+where node not in (select root from reach join model_nodes g on g.node = reach.node where root <> reach.node and regexp_matches(g.name, '(11|17)$'))""")
+def x12_missing_guards(edges, names):
+    return passes.missing_guards(edges, names.select("node", (F.col("node") < 0).alias("external")), names, "(11|17)$")
 
 
-@query("module_edges", "modules", sql="""with recursive g as (select id from modules where regexp_matches(name, '[13]$')), e as (select src, dst from module_edges where src not in (select id from g) and dst not in (select id from g)),
+@query("model_edges", "model_nodes", sql="""with recursive g as (select node from model_nodes where regexp_matches(name, '[13]$')), e as (select src, dst from model_edges where src not in (select node from g) and dst not in (select node from g)),
 reach(root, node) as (select src, dst from e union select root, dst from reach join e on node = src)
-select root, node from reach join modules m on m.id = node where root <> node and root % 4 = 0 and regexp_matches(name, '[0269]$')""")
-def x13_unguarded_operations(edges, modules):
-    names = _module_names(modules)
-    return passes.unguarded_operations(edges, names.filter("node % 4 = 0").select("node"), names, "[13]$", "[0269]$")
+select root, m.node from reach join model_nodes m on m.node = reach.node where root < 0 and regexp_matches(name, '[0269]$')""")
+def x13_unguarded_operations(edges, names):
+    return passes.unguarded_operations(edges, names.filter("node < 0").select("node"), names, "[13]$", "[0269]$")
 
 
 @query("symbols", "modules", "call_edges", sql="""with n as (select s.id, coalesce(concat(m.path, '::', s.name), s.name) as q from symbols s left join modules m on m.id = s.module_id),
@@ -290,13 +300,12 @@ def x15_direct_costs(symbols, modules, calls):
     return passes.direct_costs(calls, names, {"DbQuery": "^ASIA::", "Lock": "1$"})
 
 
-@query("sparse_edges", sql="""with recursive e as (select distinct src, dst from sparse_edges where src < dst), n as (select src as node from e union select dst from e),
-p(root, node) as (select node, node from n union all select root, dst from p join e on src = node)
-select root as node, cast(sum(node % 7) as double) as total from p group by root""")
+@query("model_edges", sql="""with recursive n as (select src as node from model_edges union select dst from model_edges),
+p(root, node) as (select node, node from n union all select root, dst from p join model_edges on src = node)
+select root as node, cast(sum(abs(node) % 7) as double) as total from p group by root""")
 def x17_total_costs(edges):
-    e = edges.filter("src < dst")
-    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return passes.total_costs(e, nodes.select("node", (F.col("node") % 7).cast("double").alias("cost")))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return passes.total_costs(edges, nodes.select("node", (F.abs("node") % 7).cast("double").alias("cost")))
 
 
 @query("module_edges", "modules", sql="""with l as (select id, case when path like 'AFRICA%' or path like 'AMERICA%' then 0 when path like 'ASIA%' then 1 when path like 'EUROPE%' then 2 end as layer from modules)
@@ -310,10 +319,9 @@ def x21_god_modules(modules, symbols, calls):
     return passes.god_modules(metrics.module_metrics(modules, symbols, calls), 60, 30.0, 25, 0.04)
 
 
-@query("module_edges", "modules", sql=_CLOSURE.format(e="module_edges") + "select id as node, case when id in (2, 3) or id in (select node from reach where root in (2, 3)) then 'Public' else 'Internal' end as reachability from modules")
-def x30_reachability(edges, modules):
-    nodes = modules.select(F.col("id").alias("node"))
-    return passes.reachability(nodes, edges, nodes.filter("node in (2, 3)"))
+@query("model_edges", "model_nodes", sql=_CLOSURE.format(e="model_edges") + "select node, case when node in (-2, -4) or node in (select node from reach where root in (-2, -4)) then 'Public' else 'Internal' end as reachability from model_nodes")
+def x30_reachability(edges, names):
+    return passes.reachability(names, edges, names.filter("node in (-2, -4)"))
 
 
 @query("symbols", "call_edges", sql="""with f as (select s.id, case when id % 3 = 0 then 'security/taint/ssrf' when id % 3 = 1 then 'quality/complexity/large' else 'other' end as rule_id, case when is_unsafe then 'Critical' else 'Low' end as severity, case when is_test then 'Low' else 'High' end as confidence,
