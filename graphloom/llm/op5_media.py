@@ -3,7 +3,8 @@
 A text's UTF-8 bytes, padded with zeros to a positive multiple of 64, are the samples of an 8-bit grey PNG of width
 64.  Every task writes the payloads it has not yet written into its own tar shard under their digest; rows carry
 digest, shard, offset and length.  The first place of a digest, over all shards, is the one rows point to.  Metadata
-comes from reading the 29 header bytes of a member; features come from the stored bytes, once per digest.
+columns are filled in a pass that reads only the 29 header bytes of a member; features come from the stored bytes, once per
+digest.
 
 Cases: null or empty text: 64 zero bytes.  Null doc_id and repeated rows: kept, equal texts share one payload.  Empty
 table: no rows.  Very long text: one larger member.  Other columns are ignored.
@@ -119,41 +120,73 @@ def places(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.min(F.struct("shard", "at", "size")).alias("p")).select("digest", "p.shard", "p.at", "p.size")
 
 
-def read_media(located: DataFrame, features: bool = True) -> DataFrame:
-    """Range reads.  Without features only the header bytes of every member are read."""
-    schema = pa.schema([("digest", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("depth", pa.int32()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+class Members:
+    """Range reads of members, by shard; the last shard stays open."""
+
+    def __init__(self):
+        self.name, self.f = None, None
+
+    def read(self, shard: str, at: int, size: int) -> bytes:
+        if shard != self.name:
+            self.close()
+            fs, path = filesystem(shard)
+            self.name, self.f = shard, fs.open_input_file(path)
+        return self.f.read_at(size, at)
+
+    def close(self) -> None:
+        if self.f is not None:
+            self.f.close()
+
+
+def _in_order(located: DataFrame) -> DataFrame:
+    """Members of a shard side by side, a task per 4 MB of it."""
+    return located.select("digest", "shard", "at", "size").repartition("shard", F.floor(F.col("at") / (4 << 20))).sortWithinPartitions("shard", "at")
+
+
+PLACE = [("digest", pa.string()), ("shard", pa.string()), ("at", pa.int64()), ("size", pa.int64())]
+METADATA = [("width", pa.int32()), ("height", pa.int32()), ("depth", pa.int32())]
+
+
+def read_metadata(located: DataFrame) -> DataFrame:
+    """digest, shard, at, size, and width, height, depth: only the 29 header bytes of every member are read."""
+    schema = pa.schema(PLACE + METADATA)
+
+    def run(batches):
+        members = Members()
+        for rows in small_batches(batches, rows=512):
+            yield rows_to_batch([(*r, *read_header(members.read(r[1], r[2], 29))) for r in rows], schema)
+        members.close()
+
+    return located.select("digest", "shard", "at", "size").mapInArrow(run, "digest string, shard string, at long, size long, width int, height int, depth int")
+
+
+def read_media(known: DataFrame) -> DataFrame:
+    """The digest and metadata, and payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature: from the
+    whole stored bytes.  Raises where they are not what the metadata or the digest say."""
+    schema = pa.schema([PLACE[0], *METADATA, ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
     def run(batches):
-        name, f = None, None
+        members = Members()
         for rows in small_batches(batches, rows=512):
             out = []
-            for digest, shard, at, size in rows:
-                if shard != name:
-                    if f is not None:
-                        f.close()
-                    fs, path = filesystem(shard)
-                    name, f = shard, fs.open_input_file(path)
-                width, height, depth = read_header(f.read_at(29, at))
-                if not features:
-                    out.append((digest, width, height, depth, width * height, None, None, size, None, None))
-                    continue
-                media = f.read_at(size, at)
+            for digest, shard, at, size, width, height, depth in rows:
+                media = members.read(shard, at, size)
                 payload = from_png(media)
                 sha = hashlib.sha256(payload).hexdigest()
-                if sha != digest:
+                if sha != digest or len(payload) != width * height:
                     raise ValueError(f"stored bytes of {digest} differ")
                 out.append((digest, width, height, depth, len(payload), sha, zlib.crc32(payload[-64:]), size, hashlib.sha256(media).hexdigest(), feature_of(width, height, payload)))
             yield rows_to_batch(out, schema)
-        if f is not None:
-            f.close()
+        members.close()
 
-    near = located.select("digest", "shard", "at", "size").repartition("shard", F.floor(F.col("at") / (4 << 20))).sortWithinPartitions("shard", "at")
-    return near.mapInArrow(run, "digest string, width int, height int, depth int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    ddl = "digest string, width int, height int, depth int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return known.select("digest", "shard", "at", "size", "width", "height", "depth").mapInArrow(run, ddl)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, and of the payload its metadata (from headers) and features (from the stored bytes)."""
     rows = write_shards(docs)
-    read = materialize(read_media(places(rows)), "media-features")
+    read = materialize(read_media(read_metadata(_in_order(places(rows)))), "media-features")
     return rows.select("doc_id", "n_bytes", "digest").join(read, "digest").drop("digest")
 
 
