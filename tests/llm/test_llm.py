@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from graphloom.llm import op1_token_output as o1
@@ -198,7 +199,25 @@ def test_op5_payloads(docs):
         p = want[key(r["doc_id"])]
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
         assert r["width"] * r["height"] == len(p)
+        assert r["feature"] == o5.feature_of(64, len(p) // 64, p) and r["media_bytes"] > 0
     assert o5.from_png(o5.to_png(b"\1" * 128)) == b"\1" * 128
+    assert o5.media_columns(docs.limit(0)).count() == 0
+
+
+def test_op5_metadata_reads_headers_only(docs):
+    """Members whose bytes behind the header are lost still give their metadata, and fail when they are read whole."""
+    located = o5.places(o5.write_shards(docs))
+    want = sorted((r["digest"], r["width"], r["height"]) for r in o5.read_metadata(located).collect())
+    for shard in {r["shard"] for r in located.collect()}:
+        fs, path = o5.filesystem(shard)
+        data = bytearray(fs.open_input_file(path).read())
+        for r in located.filter(F.col("shard") == shard).collect():
+            data[r["at"] + 29 : r["at"] + r["size"]] = b"\0" * (r["size"] - 29)
+        with fs.open_output_stream(path) as f:
+            f.write(bytes(data))
+    assert sorted((r["digest"], r["width"], r["height"]) for r in o5.read_metadata(located).collect()) == want and len(want) == len({o5.payload_of(t) for t in TEXTS}) + 1
+    with pytest.raises(Exception):
+        o5.read_media(o5.read_metadata(located)).collect()
 
 
 def test_op6_brute_force(spark, docs):
@@ -313,7 +332,31 @@ def test_op7_brute_force(spark, docs):
         assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(ws), len(hit), len(ids), bool(hit) and 20 * len(hit) >= len(ws))
         assert r["items_sha256"] == hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
     assert o7.contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
-    assert len(o7.packs(bench, size=10)) > 1
+    assert o7.contamination(docs.limit(0), bench).count() == 0
+    many = {key(r["doc_id"]): r.asDict() for r in o7.find_occurrences(docs, bench, pack_bytes=30).collect()}
+    one = {key(r["doc_id"]): r.asDict() for r in o7.find_occurrences(docs, bench).collect()}
+    assert many == one and len(o7.write_packs(bench, 30)) > o7.KEPT
+
+
+def test_op7_tables_against_naive_search():
+    """Few words, so that blocks, tails and patterns repeat a lot."""
+    r = random.Random(8)
+    items = [(str(i), " ".join(r.choice("abc") for _ in range(r.choice((3, 13, 14, 30))))) for i in range(60)]
+    items += [("x", "a " * 20), ("y", "a " * 13), ("z", "")]
+    search = o7.Searcher(items, 6)
+    for _ in range(30):
+        text = " ".join(r.choice("abc") for _ in range(r.randint(0, 120))) + " a" * r.randint(0, 9)
+        words = text.encode().split()
+        got = {(a, b): ids for a, b, ids in search.spans(words, o7.word_hashes([text.encode()])[0])}
+        want = collections.defaultdict(set)
+        for i, t in items:
+            p = t.encode().split()
+            m = min(6, len(p))
+            for s in range(len(p) - m + 1 if m else 0):
+                for at in range(len(words) - m + 1):
+                    if words[at : at + m] == p[s : s + m]:
+                        want[at, at + m].add(i)
+        assert got == want
 
 
 PAGE = (
