@@ -23,7 +23,7 @@ from graphloom.llm import op8_html as o8
 from graphloom.llm import op9_toxicity as o9
 from graphloom.llm import op10_quality as o10
 from graphloom.llm.bpe import Transducer
-from graphloom.llm.pieces import tokenizer_path
+from graphloom.llm.pieces import slices, tokenizer_path
 
 SCHEMA = "doc_id long, text string, score double, n_tokens long, ckey string, host string"
 rng = random.Random(7)
@@ -540,12 +540,65 @@ def test_op9_gradients():
         p[0] += 1e-2
 
 
-def test_pipeline_stages_keep_columns(spark):
+def test_pipeline_against_operators(spark, tok):
+    """Every stage keeps what its operator doesn't reject of what the stage before it kept, and the last encodes that."""
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = corpus_pipeline.decontamination_stage(spark, docs, sf)
-    bad = {r["doc_id"] for r in o7.contamination(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).filter("contaminated").collect()}
-    assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} - bad
+    labels, bench = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    rejects = {
+        "toxicity": lambda d: o9.toxicity(d, labels).filter("predicted = 1"),
+        "quality": lambda d: o10.quality(d, labels).filter("predicted = 0"),
+        "near_duplicates": lambda d: o6.near_duplicate_groups(d).filter("doc_id <> class_id"),
+        "decontamination": lambda d: o7.contamination(d, bench).filter("contaminated"),
+    }
+    assert [n for n, _ in corpus_pipeline.STAGES] == [*rejects, "encoding"]
+    now, lost = docs, 0
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        bad = {r["doc_id"] for r in rejects[name](now).collect()}
+        kept = stage(spark, now, sf)
+        assert kept.columns == docs.columns
+        want = [tuple(r) for r in now.collect() if r["doc_id"] not in bad]
+        assert sorted(map(tuple, kept.collect())) == sorted(want)
+        lost += len(bad)
+        now = spark.createDataFrame(want, docs.schema)
+    assert lost
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
+    assert len(got) == now.count()
+    for r in now.collect():
+        ids = ids_of(tok, r["text"])
+        assert got[r["doc_id"]]["ids"] == ids and got[r["doc_id"]]["n_tokens"] == len(ids)
+        assert got[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_tokenizer_equality_on_odd_strings(tok):
+    """Letters that change in lower case or by composition, marks, white space of all kinds, other scripts."""
+    r = random.Random(12)
+    span = lambda a, b: "".join(map(chr, range(a, b)))
+    alphabets = ["İIıŞş i\u0307", "eo\u0308a\u030aé", "ΣσςΑ ", "".join(chr(c) for c in (0x1C4, 0x1C5, 0x1E9E, 0x212A, 0x212B, 0x17F)), span(32, 0x250), span(0x250, 0x600), span(0x1E00, 0x2100), "\t\n\x1c\x85\xa0\u2002\u3000 ab1²Ⅷ", span(0x3040, 0x30FF), "<|endoftext|> <|ENDOFTEXT|>'s'LL"]
+    texts = ["İstanbul", *("".join(r.choice(a) if r.random() < 0.8 else r.choice("abc .,") for _ in range(r.randint(1, 20))) for a in alphabets for _ in range(300))]
+    lib, codec, counter = o1.LibraryEncoder(tokenizer_path()), o4.Codec(tokenizer_path()), o3.TokenCounter(tokenizer_path())
+    for text, found in zip(texts, lib.encode(texts, b"")):
+        want = ids_of(tok, text)
+        assert np.frombuffer(found, "<u2").tolist() == want
+        assert [i for part in codec.encode(text) for i in part.tolist()] == want
+        assert counter.count(text) == len(want)
+
+
+def test_slices_and_streams(tok):
+    """Texts cut into slices, ids fed to the decoding machine in any slices, ids given out before the text ends."""
+    text = prose(3000, 77) + " " + "thea" * 400
+    t, codec = Transducer(tokenizer_path()), o4.Codec(tokenizer_path())
+    assert [i for part in slices(text, 50) for i in t.encode(part)] == ids_of(tok, text)
+    ids = np.array(ids_of(tok, text), np.int32)
+    assert codec.decode(np.split(ids, [1, 2, 500, 501])) == tok.decode(ids.tolist(), skip_special_tokens=False)
+    taken = []
+
+    def symbols():
+        for i in range(1000):
+            taken.append(i)
+            yield t.table.first[97 + i % 5]
+
+    next(t.table.stream(symbols(), t.widths))
+    assert len(taken) <= 64 + t.table.lookahead
