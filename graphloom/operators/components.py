@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.shared import materialize
+from graphloom.plans.shared import drop_tables, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,7 +34,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     now = materialize(raw.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     before, rows = None, raw.count()
     while True:
-        now = materialize(_star(materialize(_star(now, True), "stars", rows), False), "stars", rows)
+        large = materialize(_star(now, True), "stars", rows)
+        now, old = materialize(_star(large, False), "stars", rows), now
+        drop_tables(large, old)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == (state["n"], state["h"]):
             break

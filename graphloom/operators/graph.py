@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components  # noqa: F401
-from graphloom.plans.shared import materialize
+from graphloom.plans.shared import drop_tables, materialize, merged
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -41,9 +41,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None, allowed
         step = frontier.select("root", F.col("node").alias("src")).join(edges, "src").select("root", F.col("dst").alias("node")).distinct()
         known = reduce(DataFrame.unionByName, seen).select("root", "node")
         frontier = materialize(step.join(known, ["root", "node"], "left_anti").withColumn("hops", F.lit(hops)), "frontier")
-        seen.append(frontier)
-        if len(seen) > 8:
-            seen = [materialize(reduce(DataFrame.unionByName, seen), "seen")]
+        seen = merged([*seen, frontier], "seen", keep=frontier)
     return reduce(DataFrame.unionByName, seen)
 
 
@@ -61,9 +59,7 @@ def reach_any(edges: DataFrame, starts: DataFrame, depth: int | None = None, sto
         hops += 1
         step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = materialize(step.join(reduce(DataFrame.unionByName, seen), "node", "left_anti"), "frontier")
-        seen.append(frontier)
-        if len(seen) > 8:
-            seen = [materialize(reduce(DataFrame.unionByName, seen), "seen")]
+        seen = merged([*seen, frontier], "seen", keep=frontier)
     return reduce(DataFrame.unionByName, seen)
 
 
@@ -78,9 +74,7 @@ def spread(edges: DataFrame, marks: DataFrame) -> DataFrame:
     while not new.isEmpty():
         step = edges.join(new.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "mark").distinct()
         new = materialize(step.join(reduce(DataFrame.unionByName, seen), ["node", "mark"], "left_anti"), "marks")
-        seen.append(new)
-        if len(seen) > 8:
-            seen = [materialize(reduce(DataFrame.unionByName, seen), "seen")]
+        seen = merged([*seen, new], "seen", keep=new)
     return reduce(DataFrame.unionByName, seen)
 
 
@@ -143,13 +137,14 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
         if live.count() == before:
             break
     while not live.isEmpty():
-        color = materialize(live.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("color", F.col("node")), "color")
+        color = table = materialize(live.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("color", F.col("node")), "color")
         while True:
             pushed = live.join(color.withColumnRenamed("node", "src"), "src").groupBy("dst").agg(F.max("color").alias("c"))
             new = color.join(pushed.withColumnRenamed("dst", "node"), "node", "left").select("node", "color", F.greatest("color", "c").alias("now"))
-            new = materialize(new, "color")
+            new, old = materialize(new, "color"), table
             changed = not new.filter("now <> color").isEmpty()
-            color = new.select("node", F.col("now").alias("color"))
+            color, table = new.select("node", F.col("now").alias("color")), new
+            drop_tables(old)
             if not changed:
                 break
         inside = live.join(color.select(F.col("node").alias("src"), F.col("color").alias("a")), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("b")), "dst")
