@@ -93,3 +93,111 @@ def coupling_heatmap(modules: DataFrame, module_metrics: DataFrame) -> DataFrame
     score = F.coalesce("coupling_score", F.lit(0.0))
     joined = modules.select(F.col("id").alias("module_id")).join(module_metrics.select("module_id", "coupling_score"), "module_id", "left")
     return joined.select("module_id", score.alias("coupling_score"), *coupling_color(score))
+
+
+# ---------------------------------------------------------------- filters
+
+NODE_KINDS = ("Crate", "Module", "File", "Symbol")
+EDGE_KINDS = ("Contains", "Calls", "References", "Imports", "Implements", "DependsOn")
+SYMBOL_KINDS = ("Function", "Method", "Struct", "Enum", "Trait", "ImplBlock", "Constant", "Static", "TypeAlias")
+#: What a view shows (node kinds, edge kinds, symbol kinds) under each named setting.
+PRESETS = {
+    "Dependencies": (("Crate",), ("DependsOn",), ()),
+    "Modules": (("Crate", "Module"), ("Contains", "Imports", "DependsOn"), ()),
+    "Call Flow": (("Symbol",), ("Calls",), ("Function", "Method")),
+    "Type Graph": (("Symbol",), ("References", "Implements"), ("Struct", "Enum", "Trait", "ImplBlock", "TypeAlias")),
+    "Imports": (("Module", "Symbol"), ("Imports",), SYMBOL_KINDS),
+    "Everything": (NODE_KINDS, EDGE_KINDS, SYMBOL_KINDS),
+}
+
+
+def preset(nodes: DataFrame, edges: DataFrame, name: str, symbols: DataFrame | None = None, crates: list[int] | None = None, owner: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The nodes and edges a named setting shows.
+
+    nodes: node_kind, node_id; symbols (id, kind) let it choose among kinds; crates with owner (node_kind, node_id, crate_id)
+    among crates; nodes that no table names stay.
+    """
+    node_kinds, edge_kinds, kinds = PRESETS[name]
+    shown = nodes.filter(F.col("node_kind").isin(*node_kinds))
+    if symbols is not None:
+        hidden = symbols.filter(~F.col("kind").isin(*kinds) if kinds else F.lit(True)).select(F.lit("Symbol").alias("node_kind"), F.col("id").alias("node_id"))
+        shown = shown.join(hidden, ["node_kind", "node_id"], "left_anti")
+    if crates is not None and owner is not None:
+        shown = shown.join(owner.filter(~F.col("crate_id").isin(*crates)), ["node_kind", "node_id"], "left_anti")
+    ends = lambda a, b: shown.select(F.col("node_kind").alias(a), F.col("node_id").alias(b))
+    kept = edges.filter(F.col("kind").isin(*edge_kinds)).join(ends("src_kind", "src_id"), ["src_kind", "src_id"], "left_semi")
+    return shown, kept.join(ends("dst_kind", "dst_id"), ["dst_kind", "dst_id"], "left_semi").select(*edges.columns)
+
+
+def highlighted(symbols: DataFrame, entrypoints: DataFrame | None = None, unsafe: bool = False, flags: DataFrame | None = None) -> DataFrame:
+    """The symbols that fit all chosen modes: entrypoints, unsafe code, flagged; all of them without a mode."""
+    out = symbols.filter(F.col("is_unsafe") | F.col("has_unsafe_block")) if unsafe else symbols
+    if entrypoints is not None:
+        out = out.join(entrypoints.select(F.col("symbol_id").alias("id")).distinct(), "id", "left_semi")
+    if flags is not None:
+        out = out.join(flags.filter("target_kind = 'Symbol'").select(F.col("target_id").alias("id")).distinct(), "id", "left_semi")
+    return out
+
+
+def min_degree(degrees: DataFrame, least: int) -> DataFrame:
+    return degrees.filter(F.col("degree") >= least)
+
+
+def search_symbols(symbols: DataFrame, query: str, n: int = 1) -> DataFrame:
+    """The first symbols by id whose name holds the query, whatever the case."""
+    return symbols.filter(F.contains(F.lower("name"), F.lit(query.lower()))).orderBy("id").limit(n)
+
+
+def search_tree(modules: DataFrame, symbols: DataFrame, query: str) -> DataFrame:
+    """Modules whose name, symbols or modules below fit the query."""
+    from graphloom.operators.graph import reach_any
+
+    fits = F.contains(F.lower("name"), F.lit(query.lower()))
+    hits = modules.filter(fits).select(F.col("id").alias("node")).unionByName(symbols.filter(fits).select(F.col("module_id").alias("node")))
+    up = modules.filter("parent is not null").select(F.col("id").alias("src"), F.col("parent").alias("dst"))
+    return modules.join(reach_any(up, hits.distinct()).withColumnRenamed("node", "id"), "id", "left_semi")
+
+
+def in_viewport(points: DataFrame, x0: float, y0: float, x1: float, y1: float, cell: float = 50.0) -> DataFrame:
+    """Points in the grid cells that a window touches."""
+    inside = lambda c, a, b: F.floor(F.col(c) / cell).between(int(a // cell), int(b // cell))
+    return points.filter(inside("x", x0, x1) & inside("y", y0, y1))
+
+
+# ---------------------------------------------------------------- inspector tables
+
+
+def symbol_cards(symbols: DataFrame, modules: DataFrame, symbol_metrics: DataFrame, flags: DataFrame, calls: DataFrame) -> DataFrame:
+    """A row per symbol: its module, metrics, flags, and how many call it and it calls."""
+    home = modules.select(F.col("id").alias("module_id"), F.col("path").alias("module"))
+    flagged = flags.filter("target_kind = 'Symbol'").groupBy(F.col("target_id").alias("id")).agg(F.array_sort(F.collect_set("kind")).alias("flags"))
+    count = lambda a, name: calls.groupBy(F.col(a).alias("id")).agg(F.count("*").alias(name))
+    out = symbols.join(home, "module_id", "left").join(symbol_metrics.withColumnRenamed("symbol_id", "id"), "id", "left").join(flagged, "id", "left")
+    out = out.join(count("dst", "callers"), "id", "left").join(count("src", "callees"), "id", "left")
+    return out.withColumn("flags", F.coalesce("flags", F.array().cast("array<string>"))).na.fill(0, ["callers", "callees"])
+
+
+def module_cards(modules: DataFrame, symbols: DataFrame, module_metrics: DataFrame) -> DataFrame:
+    """A row per module: its parent's path, numbers of children and of symbols by kind, metrics."""
+    above = modules.select(F.col("id").alias("parent"), F.col("path").alias("parent_path"))
+    children = modules.filter("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("children"))
+    kinds = symbols.groupBy(F.col("module_id").alias("id"), "kind").agg(F.count("*").alias("n")).groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("symbols_by_kind"))
+    return modules.join(above, "parent", "left").join(children, "id", "left").join(kinds, "id", "left").join(module_metrics.withColumnRenamed("module_id", "id"), "id", "left").na.fill(0, ["children"])
+
+
+def crate_cards(crates: DataFrame, crate_modules: DataFrame, dependencies: DataFrame, symbols: DataFrame) -> DataFrame:
+    """A row per crate: numbers of modules, symbols and dependencies."""
+    owned = crate_modules.groupBy("crate_id").agg(F.count("*").alias("modules"))
+    held = crate_modules.join(symbols.select("module_id"), "module_id").groupBy("crate_id").agg(F.count("*").alias("symbols"))
+    needs = dependencies.groupBy("crate_id").agg(F.countDistinct("dependency").alias("dependencies"))
+    out = crates.withColumnRenamed("id", "crate_id")
+    for t in (owned, held, needs):
+        out = out.join(t, "crate_id", "left")
+    return out.na.fill(0, ["modules", "symbols", "dependencies"])
+
+
+def overlay(nodes: DataFrame, edges: DataFrame, cycles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node) and edges (src, dst) with in_cycle: an edge is where both its ends are in the same cycle (node, component)."""
+    own = nodes.join(cycles, "node", "left").withColumn("in_cycle", F.col("component").isNotNull()).drop("component")
+    both = edges.join(cycles.toDF("src", "a"), "src", "left").join(cycles.toDF("dst", "b"), "dst", "left")
+    return own, both.select(*edges.columns, F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("in_cycle"))

@@ -1 +1 @@
-
+"""Watching a folder of sources as a stream."""
