@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import build, diff, graph, metrics, passes, reports, rules, views
+from graphloom.functions import expressions as fx
+from graphloom.operators import analysis, build, diff, graph, metrics, passes, reports, rules, sinks, views
 from graphloom.plans import generated
 from graphloom.plans.binding import bind, with_model
 from graphloom.plans.shared import materialize
@@ -458,3 +462,204 @@ def c15_complexity(symbols, calls):
 @query("symbols", "call_edges", sql=f"select concat('src/m', cast(module_id as varchar), '.rs') as file_path, 'unclosed delimiter' as message, cast(count(*) + 1 as bigint) as line from symbols where {generated.BROKEN} group by module_id")
 def s20_parse_errors(symbols, calls):
     return _parsed(symbols, calls)[1].errors.select("file_path", "message", F.col("line").cast("long").alias("line"))
+
+
+# ---------------------------------------------------------------- labels, styles, filters, inspector tables
+
+
+@query("symbols", "modules", sql="""select s.id, case when s.kind = 'Function' then 'fn ' || s.name else s.name end as label, split_part(m.path, '::', 2) as last, cast(len(string_split(m.path, '::')) as bigint) as segments,
+format('{:,}', s.id * 1001) as shown, coalesce(case when s.kind = 'Trait' then regexp_extract(s.name || '/' || s.kind, '([^/]*)$', 1) when s.kind = 'Struct' then null else s.name end, '?') as node_label from symbols s join modules m on m.id = s.module_id""")
+def e04_labels(symbols, modules):
+    s = symbols.join(modules.select(F.col("id").alias("module_id"), "path"), "module_id")
+    signature = F.when(F.col("kind") == "Function", F.concat(F.lit("fn "), "name"))
+    shown = fx.node_label(F.when(F.col("kind") == "Trait", "File").otherwise("Symbol"), F.when(F.col("kind") != "Struct", F.col("name")), F.concat("name", F.lit("/"), "kind"))
+    return s.select("id", fx.qualified_label(signature, F.col("name")).alias("label"), fx.last_segment(F.col("path")).alias("last"), F.size(fx.path_segments(F.col("path"))).cast("long").alias("segments"), fx.format_count(F.col("id") * 1001).alias("shown"), shown.alias("node_label"))
+
+
+@query("symbols", sql="""select id, least(case when is_test then 1.0 else 0.15 end, case when visibility = 'Public' then 1.0 else 0.12 end, 1.0, case when id % 4 = 0 then 1.0 else 0.2 end) as alpha,
+round(least(6.0, 1 + ln(greatest(cast(id % 900 as double), 1.0)) + case when is_unsafe then 1.0 else 0.0 end), 6) as width, round((60 + least(cast(id % 9 as double), 5.0) / 5 * 160) / 255, 6) as edge_alpha,
+case visibility when 'Public' then 'pub ' else '' end as prefix from symbols""")
+def e29_styles(symbols):
+    alpha = fx.node_alpha(F.col("is_test"), F.col("visibility") == "Public", F.lit(True), F.col("id") % 4 == 0)
+    width = fx.edge_width((F.col("id") % 900).cast("double"), F.col("is_unsafe"))
+    return symbols.select("id", alpha.alias("alpha"), F.round(width, 6).alias("width"), F.round(fx.edge_alpha((F.col("id") % 9).cast("double")), 6).alias("edge_alpha"), fx.visibility_prefix(F.col("visibility")).alias("prefix"))
+
+
+@query("symbols", "modules", "call_edges", sql=f"select id from symbols where (is_unsafe or has_unsafe_block) and {_LINES} > 100 and kind = 'Function' and id not in (select dst from call_edges)")
+def f10_highlighted(symbols, modules, calls):
+    flags = metrics.complexity_flags(metrics.symbol_metrics(symbols, calls), metrics.module_metrics(modules, symbols, calls))
+    uncalled = rules.entrypoints(symbols, modules, calls).filter("rules like '%no_callers%'")
+    return views.highlighted(symbols, uncalled, True, flags).select("id")
+
+
+@query("modules", "symbols", sql="""with recursive h as (select id from modules where lower(name) like '%an%' union select module_id from symbols where lower(name) like '%0077%'),
+up(id) as (select id from h union select parent from up join modules using (id) where parent is not null) select m.id, m.path from modules m join up using (id)""")
+def f15_search_tree(modules, symbols):
+    return views.search_tree(modules, symbols, "AN").select("id", "path").union(views.search_tree(modules, symbols, "0077").select("id", "path")).distinct()
+
+
+@query("symbols", sql="select id, name from symbols where name like '%99%' order by id limit 1")
+def f16_search_symbols(symbols):
+    return views.search_symbols(symbols, "99").select("id", "name")
+
+
+@query("symbols", "call_edges", sql="select node, cast(count(*) as bigint) as degree from (select src as node from call_edges union all select dst from call_edges) e group by node having count(*) >= 30")
+def f18_min_degree(symbols, calls):
+    return views.min_degree(graph.degree_centrality(symbols.select(F.col("id").alias("node")), calls), 30)
+
+
+_MODEL_TABLES = """with n as (select 'Symbol' as node_kind, id as node_id from symbols union all select 'Module', id from modules),
+e as (select 'Symbol' as src_kind, src as src_id, 'Symbol' as dst_kind, dst as dst_id, case when dst % 3 = 0 then 'References' else 'Calls' end as kind from call_edges
+union all select 'Module', module_id, 'Symbol', id, 'Contains' from symbols) """
+
+
+def _model_tables(symbols, modules, calls):
+    nodes = symbols.select(F.lit("Symbol").alias("node_kind"), F.col("id").alias("node_id")).union(modules.select(F.lit("Module"), F.col("id").cast("long")))
+    found = calls.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.when(F.col("dst") % 3 == 0, "References").otherwise("Calls").alias("kind"))
+    lost = found.withColumn("target", F.lit(-1))
+    edges = build.relationship_edges(found.union(found).union(lost), symbols)
+    homes = symbols.select(F.lit("Module").alias("src_kind"), F.col("module_id").cast("long").alias("src_id"), F.lit("Symbol").alias("dst_kind"), F.col("id").alias("dst_id"), F.lit("Contains").alias("kind"))
+    return nodes, edges.unionByName(homes), found
+
+
+@query("symbols", "modules", "call_edges", sql=_MODEL_TABLES + "select src_kind, src_id, dst_kind, dst_id, kind from e")
+def j04_relationship_edges(symbols, modules, calls):
+    return _model_tables(symbols, modules, calls)[1]
+
+
+@query("symbols", "modules", "call_edges", sql="select src, dst from call_edges where dst % 3 <> 0 and src in (select id from symbols where kind in ('Function', 'Method')) and dst in (select id from symbols where kind in ('Function', 'Method'))")
+def j06_call_edges(symbols, modules, calls):
+    return build.call_edges(_model_tables(symbols, modules, calls)[2], symbols)
+
+
+@query("symbols", "modules", "call_edges", sql=_MODEL_TABLES + "select src_id, dst_id from e where kind = 'Calls' and src_id in (select id from symbols where kind in ('Function', 'Method')) and dst_id in (select id from symbols where kind in ('Function', 'Method'))")
+def f11_call_flow_preset(symbols, modules, calls):
+    nodes, edges, _ = _model_tables(symbols, modules, calls)
+    return views.preset(nodes, edges, "Call Flow", symbols)[1].select("src_id", "dst_id")
+
+
+@query("symbols", "modules", "call_edges", sql=_MODEL_TABLES + "select src_id, dst_id from e where kind in ('Contains', 'References') and src_kind = 'Symbol'")
+def g13_projection(symbols, modules, calls):
+    return build.project(_model_tables(symbols, modules, calls)[1], ["Contains", "References"], ["Symbol"]).select("src_id", "dst_id")
+
+
+@query("module_edges", "modules", sql="with v as (select id from modules where id % 4 <> 0 or id = 7), u as (select src as a, dst as b from module_edges union select dst, src from module_edges), h1 as (select 7 as n union select b from u where a = 7 and b in (select id from v)), h2 as (select n from h1 union select b from u join h1 on a = n where b in (select id from v)) select cast(7 as bigint) as root, cast(n as bigint) as node from h2")
+def g11_ego_set(edges, modules):
+    start = modules.filter("id = 7").select(F.col("id").alias("node"))
+    found = graph.neighborhood(edges, start, 2, modules.filter("id % 4 <> 0 or id = 7").select(F.col("id").alias("node")))
+    return found.select(F.col("root").cast("long").alias("root"), F.col("node").cast("long").alias("node"))
+
+
+@query("module_edges", sql="select src, dst, cast((row_number() over (partition by least(src, dst), greatest(src, dst) order by src, dst) - 1 - (count(*) over (partition by least(src, dst), greatest(src, dst)) - 1) / 2.0) * 12 as double) as \"offset\" from module_edges")
+def w04_parallel_offsets(edges):
+    return views.parallel_offsets(edges, ["src", "dst"]).withColumn("offset", F.col("offset").cast("double"))
+
+
+@query("symbols", sql="select cast(floor((id % 997) / 50) as bigint) as cx, cast(floor((id % 613) / 50) as bigint) as cy, cast(count(*) as bigint) as n from symbols where floor((id % 997) / 50) between 2 and 9 and floor((id % 613) / 50) between 0 and 5 group by 1, 2")
+def u10_spatial_grid(symbols):
+    points = symbols.select(F.col("id").alias("node"), (F.col("id") % 997).cast("double").alias("x"), (F.col("id") % 613).cast("double").alias("y"))
+    return views.spatial_grid(views.in_viewport(points, 120, 20, 480, 260))
+
+
+@query("symbols", "modules", "call_edges", sql=f"""with c as (select dst as id, count(*) as n from call_edges group by dst), d as (select src as id, count(*) as n from call_edges group by src)
+select s.id, m.path as module, cast({_LINES} as bigint) as line_count, case when {_LINES} > 100 then 'LargeFunction' else '' end as flags, cast(coalesce(c.n, 0) as bigint) as callers, cast(coalesce(d.n, 0) as bigint) as callees
+from symbols s join modules m on m.id = s.module_id left join c on c.id = s.id left join d on d.id = s.id""")
+def j22_symbol_cards(symbols, modules, calls):
+    m = metrics.symbol_metrics(symbols, calls)
+    cards = views.symbol_cards(symbols, modules, m, metrics.complexity_flags(m, metrics.module_metrics(modules, symbols, calls)), calls)
+    return cards.select("id", "module", F.col("line_count").cast("long").alias("line_count"), F.array_join("flags", ",").alias("flags"), "callers", "callees")
+
+
+@query("symbols", "modules", "call_edges", sql="""with k as (select module_id, count(*) as n, sum(case when kind = 'Trait' then 1 else 0 end) as t from symbols group by 1), c as (select parent, count(*) as n from modules where parent is not null group by 1)
+select m.id, p.path as parent_path, cast(coalesce(c.n, 0) as bigint) as children, cast(coalesce(k.t, 0) as bigint) as traits, cast(coalesce(k.n, 0) as bigint) as symbol_count from modules m left join modules p on p.id = m.parent left join c on c.parent = m.id left join k on k.module_id = m.id""")
+def j23_module_cards(symbols, modules, calls):
+    cards = views.module_cards(modules, symbols, metrics.module_metrics(modules, symbols, calls))
+    return cards.select("id", "parent_path", F.col("children").cast("long").alias("children"), F.coalesce(F.element_at("symbols_by_kind", "Trait"), F.lit(0)).cast("long").alias("traits"), "symbol_count")
+
+
+@query("modules", sql="""with o as (select *, row_number() over (partition by parent order by id, path) as k, count(*) over (partition by parent) as n from modules)
+select crate_id, name as line from modules where parent is null union all select crate_id, case when k = n then '└── ' else '├── ' end || name from o where parent is not null""")
+def k03_tree(modules):
+    return sinks.tree_lines(modules.withColumn("ord", F.col("id"))).select("crate_id", "line")
+
+
+@query("symbols", sql="""with f as (select case when is_unsafe then 'High' else 'Low' end as severity, kind as category from symbols)
+select 'total' as "by", '' as value, cast(count(*) as bigint) as n from f union all select 'severity', severity, count(*) from f group by severity union all select 'category', category, count(*) from f group by category""")
+def a20_finding_summary(symbols):
+    return sinks.summary(symbols.select(F.when(F.col("is_unsafe"), "High").otherwise("Low").alias("severity"), F.col("kind").alias("category")))
+
+
+@query("symbols", "call_edges", "files", sql="""with c as (select 2 * id as s from files where id % 5 = 2 and id % 3 <> 0)
+select s as node from c join symbols on id = s union select src from call_edges where dst in (select s from c) union select src from call_edges where src in (select s from c)""")
+def x51_changed_closure(symbols, calls, files):
+    changes = files.select(F.col("id").cast("string").alias("path"), F.when(F.col("id") % 5 == 2, F.when(F.col("id") % 3 == 0, "removed").otherwise("modified")).otherwise("unchanged").alias("status"))
+    return diff.changed_closure(changes, symbols.withColumn("file", (F.col("id") / 2).cast("string")).withColumn("file", F.regexp_replace("file", r"\.0$", "")), calls)
+
+
+#: What the model's calls are called, so that costs, effects and resources show.
+_CALLED = "case dst % 10 when 1 then 'std::fs::read' when 3 then 'reqwest::get' when 5 then 'Mutex::lock' when 7 then 'db::begin' when 9 then 'drop' end"
+
+
+def _called(calls):
+    return calls.select(F.col("src").alias("source_id"), F.expr(_CALLED).alias("name"), F.xxhash64("src", "dst").alias("rel_id"), F.lit(0).alias("start_line"))
+
+
+@query("symbols", "call_edges", sql=f"""with c as (select src, {_CALLED} as n from call_edges), e as (select distinct src, case n when 'std::fs::read' then 'FileRead' when 'reqwest::get' then 'NetworkCall' when 'Mutex::lock' then 'LockAcquire' end as e from c),
+l as (select src, string_agg(e, ',' order by e) as side_effects from e where e is not null group by src), t as (select src, sum(case n when 'std::fs::read' then 5 when 'reqwest::get' then 10 when 'Mutex::lock' then 2 else 0 end) as w, max(case when n = 'Mutex::lock' then 1 else 0 end) as k from c group by src)
+select s.id as symbol_id, coalesce(side_effects, '') as side_effects, side_effects is null as is_pure, coalesce(k, 0) = 1 as holds_lock, cast(coalesce(w, 0) as double) as total_cost from symbols s left join l on l.src = s.id left join t on t.src = s.id where kind in ('Function', 'Method')""")
+def x40_function_summaries(symbols, calls):
+    own = symbols.filter("kind in ('Function', 'Method')")
+    mine = calls.join(own.select(F.col("id").alias("src")), "src", "left_semi")
+    got = analysis.function_summaries(symbols, mine, _called(mine))
+    return got.select("symbol_id", F.array_join("side_effects", ",").alias("side_effects"), "is_pure", "holds_lock", F.col("total_cost").cast("double").alias("total_cost"))
+
+
+@query("call_edges", sql=f"""with c as (select src as symbol_id, {_CALLED} as n from call_edges) select symbol_id, 'Lock' as kind from c where n = 'Mutex::lock' and symbol_id not in (select symbol_id from c where n = 'drop')
+union select symbol_id, 'Transaction' from c where n = 'db::begin'""")
+def x23_unreleased(calls):
+    symbols = calls.select(F.col("src").alias("id"), F.lit("fn f()").alias("signature")).distinct()
+    return analysis.unreleased(symbols, _called(calls))
+
+
+@query("call_edges", sql=f"with c as (select src as symbol_id, {_CALLED} as n from call_edges) select distinct symbol_id from c where n = 'db::begin'")
+def x25_uncommitted(calls):
+    return analysis.uncommitted(_called(calls), calls)
+
+
+@query("symbols", "call_edges", sql=f"select {generated.NAME} as name, 'Allocation' as kind, 'perf/cost/allocation-in-loop' as rule_id, cast(count(*) as bigint) as n from {_READ} x where {_HAS_BODY} and id % 3 = 1 group by 1")
+def x18_calls_in_loops(symbols, calls):
+    """Costly calls whose place lies in a loop of the generated files."""
+    p = _parsed(symbols, calls)[1]
+    named = p.symbols.select(F.col("id").alias("function_id"), F.col("name").alias("function"))
+    found = analysis.calls_in_loops(analysis.called_names(p.extracted), p.cfg_nodes, {"Allocation": "^len$"})
+    return found.join(named, "function_id").groupBy(F.col("function").alias("name"), "kind", "rule_id").agg(F.count("*").alias("n"))
+
+
+@query("symbols", "modules", "call_edges", sql="""with r as (select id, 'async_main' as rule from symbols where kind in ('Function', 'Method') and id % 31 = 0 union all select id, 'handler' from symbols where kind in ('Function', 'Method') and id % 37 in (0, 1)
+union all select id, 'command' from symbols where kind in ('Function', 'Method') and id % 41 = 0 union all select id, 'test' from symbols where is_test union all select id, 'no_callers' from symbols where kind = 'Function' and id not in (select dst from call_edges))
+select id as symbol_id, string_agg(rule, ',' order by rule) as rules from r group by id""")
+def d09_attribute_entrypoints(symbols, modules, calls):
+    paths = F.filter(F.array(*(F.when(F.col("id") % m == k, a) for m, k, a in ((31, 0, "tokio::main"), (37, 0, "get(/x)"), (37, 1, "handler"), (37, 2, "getter"), (41, 0, "command"), (41, 1, "command(x)")))), lambda a: a.isNotNull())
+    return rules.entrypoints(symbols.withColumn("attribute_paths", paths), modules, calls)
+
+
+@query("symbols", "call_edges", sql=f"select cast(id as bigint) as id, {generated.NAME} as name, 'ok' as state from {_READ} x where kind = 'Struct' union all select module_id, 'parse error', 'Info' from symbols where {generated.BROKEN} group by module_id")
+def x03_parse_findings(symbols, calls):
+    """Structs as they were read, by the ids the text was made from, and a finding for every file that can't be read."""
+    p = _parsed(symbols, calls)[1]
+    read = p.symbols.filter("kind = 'Struct'").join(symbols.select("id", F.expr(generated.NAME).alias("name")).withColumnRenamed("id", "own"), "name").select(F.col("own").alias("id"), "name", F.lit("ok").alias("state"))
+    return read.union(p.errors.select("file_id", F.lit("parse error"), F.lit("Info")))
+
+
+@query("symbols", "call_edges", sql=f"select {generated.NAME} as name, cast(1 as bigint) as held from {_READ} x where {_HAS_BODY} and id % 7 = 0")
+def x24_locks_across_await(symbols, calls):
+    """Functions of a made-up control flow that take a lock and wait; every seventh keeps it meanwhile, the others drop it."""
+    own = symbols.filter(f"{_HAS_BODY} and not ({generated.BROKEN})").select("id", F.expr(generated.NAME).alias("name"))
+    spot = lambda k: [F.lit(k).alias("start_line"), F.lit(0).alias("start_col"), F.lit(k).alias("end_line"), F.lit(9).alias("end_col")]
+    kinds = ("Entry", "Exit", "Statement", "Statement", "Await")
+    nodes = reduce(DataFrame.unionByName, [own.select(F.col("id").alias("function_id"), F.lit(i).alias("node_ix"), F.lit(k).alias("kind"), *spot(i)) for i, k in enumerate(kinds)])
+    edges = reduce(DataFrame.unionByName, [own.select(F.col("id").alias("function_id"), F.lit(a).alias("src_ix"), F.lit(b).alias("dst_ix")) for a, b in ((0, 2), (2, 3), (3, 4), (4, 1))])
+    call = lambda k, name: own.select((F.col("id") * 10 + k).alias("rel_id"), F.col("id").alias("source_id"), name.alias("name"), *spot(k))
+    called = call(2, F.lit("lock")).unionByName(call(3, F.when(F.col("id") % 7 == 0, "log").otherwise("drop")))
+    found = analysis.locks_across_await(own.withColumn("is_async", F.lit(True)), called, nodes, edges)
+    return found.join(own.withColumnRenamed("id", "function_id"), "function_id").select("name", F.lit(1).cast("long").alias("held"))
