@@ -182,6 +182,7 @@ def test_op3_and_op4(docs, tok):
         assert r["decoded_sha256"] == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert {key(r["doc_id"]): r["text"] for r in o4.decode(o4.encode(docs)).collect()} == {k: tok.decode(i, skip_special_tokens=False) for k, (_, i) in want.items()}
     assert o3.token_counts(docs.limit(0)).count() == 0
+    assert o4.digests(o4.round_trip(docs.limit(0))).count() == o4.encode(docs.limit(0)).count() == o4.decode(o4.encode(docs.limit(0))).count() == 0
 
 
 def test_op4_streams_long_pieces(tok):
@@ -426,6 +427,17 @@ def test_op8_suffix_array():
     assert o8.extract_group(pages) == [f"page {i} says w{i} x{i}" for i in range(3)]
 
 
+def test_op8_awkward_tables(spark):
+    """Clashing columns, a very long page, broken markup, repeated rows, an empty table."""
+    long = "<article>" + "".join(f"<p>word{i} &amp; {'x' * (i % 50)}</p>" for i in range(60_000)) + "</article>"
+    rows = [(1, "http://h/1", long, "t", "h", [1], 7), (2, "http://h/2", "<div><p>a<b>b</i></p><article", "t", "h", None, None), (3, "//h", "a < b <!-- x", None, None, None, None), (3, "//h", "a < b <!-- x", None, None, None, None), (None, None, None, None, None, None, None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, text string, host string, runs array<long>, rid long")
+    got = sorted(((key(r["page_id"]), r["text"]) for r in o8.extract(table).collect()), key=lambda r: r[0])
+    assert got[1][1].split("\n") == [f"word{i} & {'x' * (i % 50)}".strip() for i in range(60_000)]
+    assert [t for _, t in got[3:]] == ["a < b"] * 2 and got[0] == (-1, "") and got[2][1].startswith("ab")
+    assert o8.extract(table.limit(0)).columns == ["page_id", "url", "text"] and o8.extract(table.limit(0)).count() == 0
+
+
 def test_op8_text_outside_articles():
     notice = " ".join(f"n{i}" for i in range(20))
     teaser = "<div>{}</div><div><p>main text {}</p></div><aside><article>teaser</article></aside>"
