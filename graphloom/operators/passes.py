@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import reach, reach_any, reverse, strongly_connected
@@ -195,6 +195,18 @@ def factor_scores(findings: DataFrame, max_cost: float = 50.0, max_fan_in: float
 _COMPARE = {"Gt": "__gt__", "Gte": "__ge__", "Lt": "__lt__", "Lte": "__le__", "Eq": "__eq__"}
 
 
+def ranked(findings: DataFrame, *ties: str) -> DataFrame:
+    """Findings by score, the highest first, with their place; equal scores by the tie columns.
+
+    Places come from a range sort: a partition's rows follow the counted rows of those before it.
+    """
+    order = [F.desc("score"), *ties]
+    placed = materialize(findings.sort(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() % F.lit(1 << 33)), "ranked")
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))  # one row per partition
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return placed.join(F.broadcast(before), "part").withColumn("place", (F.col("before") + F.col("at") + 1).cast("long")).drop("part", "at", "before")
+
+
 def rule_test(rule: dict) -> Column:
     """The condition of a rule {field, op, value}: Gt, Gte, Lt, Lte, Eq on numbers; Prefix, Exact, Contains, Regex on text."""
     c, v = F.col(rule["field"]), rule["value"]

@@ -86,6 +86,11 @@ def structural_findings(module_m: DataFrame, module_edges: DataFrame, god_symbol
     return reduce(DataFrame.unionByName, found)
 
 
+def structural_counts(found: DataFrame) -> DataFrame:
+    """cycle_count and god_module_count of structural findings, in one row."""
+    return found.agg(F.count_if(F.col("kind").startswith("Cyclic")).alias("cycle_count"), F.count_if(F.col("kind") == "GodModule").alias("god_module_count"))
+
+
 #: Weights (fixed values) of the six ranking factors.
 FACTORS = {"reachability": 0.25, "exploitability": 0.20, "cost": 0.15, "centrality": 0.15, "confidence": 0.15, "severity": 0.10}
 

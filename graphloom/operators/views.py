@@ -196,6 +196,12 @@ def crate_cards(crates: DataFrame, crate_modules: DataFrame, dependencies: DataF
     return out.na.fill(0, ["modules", "symbols", "dependencies"])
 
 
+def module_owner(crate_modules: DataFrame, crates: DataFrame) -> DataFrame:
+    """module_id, crate_id: of several crates that hold a module, the last."""
+    ordered = crate_modules.join(crates.select(F.col("id").alias("crate_id"), "ord"), "crate_id")
+    return ordered.groupBy("module_id").agg(F.max_by("crate_id", F.struct("ord", "crate_id")).alias("crate_id"))
+
+
 def overlay(nodes: DataFrame, edges: DataFrame, cycles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (node) and edges (src, dst) with in_cycle: an edge is where both its ends are in the same cycle (node, component)."""
     own = nodes.join(cycles, "node", "left").withColumn("in_cycle", F.col("component").isNotNull()).drop("component")

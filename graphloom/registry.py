@@ -663,3 +663,22 @@ def x24_locks_across_await(symbols, calls):
     called = call(2, F.lit("lock")).unionByName(call(3, F.when(F.col("id") % 7 == 0, "log").otherwise("drop")))
     found = analysis.locks_across_await(own.withColumn("is_async", F.lit(True)), called, nodes, edges)
     return found.join(own.withColumnRenamed("id", "function_id"), "function_id").select("name", F.lit(1).cast("long").alias("held"))
+
+
+@query("crates", "modules", sql="select cast(m.id as bigint) as module_id, cast(max(c.id) as bigint) as crate_id from modules m join crates c on c.id in (m.crate_id, (m.crate_id + m.id) % 5) group by m.id")
+def w02_module_owner(crates, modules):
+    held = modules.select(F.col("id").cast("long").alias("module_id"), F.explode(F.array(F.col("crate_id").cast("long"), ((F.col("crate_id") + F.col("id")) % 5).cast("long"))).alias("crate_id"))
+    return views.module_owner(held, crates.select(F.col("id").cast("long").alias("id"), F.col("id").alias("ord")))
+
+
+@query("modules", "symbols", "call_edges", "module_edges")
+def a15_structural_counts(modules, symbols, calls, edges):
+    return rules.structural_counts(d24_structural_findings(modules, symbols, calls, edges))
+
+
+_SQL["a15_structural_counts"] = f"select cast(sum(case when kind like 'Cyclic%' then 1 else 0 end) as bigint) as cycle_count, cast(sum(case when kind = 'GodModule' then 1 else 0 end) as bigint) as god_module_count from ({_SQL['d24_structural_findings']}) d"
+
+
+@query("symbols", sql="select id, cast((id * 37) % 101 as double) as score, cast(row_number() over (order by (id * 37) % 101 desc, id) as bigint) as place from symbols")
+def o07_ranked_findings(symbols):
+    return passes.ranked(symbols.select("id", ((F.col("id") * 37) % 101).cast("double").alias("score")), "id").select("id", "score", "place")
