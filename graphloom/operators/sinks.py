@@ -49,6 +49,15 @@ def write_project(project: Project, path: str) -> None:
     _write_text(path, [head, ', "crates": [', *_lines(project_json(project), ", "), "]}\n"])
 
 
+def summary_text(project: Project) -> str:
+    """What was loaded, in a few lines: kind, name, and numbers of crates, modules, files and lines."""
+    lines = project.files.agg(F.coalesce(F.sum("line_count"), F.lit(0))).first()[0]
+    kinds = project.crates.groupBy("crate_type").count().orderBy("crate_type").collect()
+    said = [f"{'Workspace' if project.is_workspace else 'Crate'}: {project.name}", "Crates: " + ", ".join(f"{r['count']} {r['crate_type']}" for r in kinds)]
+    said += [f"Modules: {project.modules.count()}", f"Files: {project.files.count()}", f"Lines: {lines}"]
+    return "\n".join([*said, *(f"Skipped: {p} ({why})" for p, why in project.skipped)])
+
+
 def write_findings(findings: DataFrame, path: str) -> None:
     """JSON lines, a file per partition."""
     findings.write.mode("overwrite").json(path)
