@@ -129,25 +129,37 @@ class Searcher:
                 yield start, start + s.m, {self.ids[i] for i in items}
 
 
-def write_packs(benchmark: DataFrame, size: int = PACK_BYTES) -> list[str]:
-    """Writes the items (i, t) to files of about ``size`` bytes of text; the files' names."""
+def write_packs(benchmark: DataFrame, size: int = PACK_BYTES) -> list[tuple[str, ...]]:
+    """Writes the items (i, t) to files of about ``size`` bytes of text; the files of every pack of at most about that."""
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce(F.col("text"), F.lit("")).alias("t")).filter("i is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    return sorted(materialize(items.repartition(max(1, math.ceil(total / size)), F.xxhash64("i", "t")), "items").inputFiles())
+    written = materialize(items.repartition(max(1, math.ceil(total / size)), F.xxhash64("i", "t")), "items")
+    packs: list[list[str]] = []
+    left = 0
+    for r in written.groupBy(F.input_file_name().alias("f")).agg(F.sum(F.octet_length("t")).alias("n")).orderBy("f").collect():  # a row per file
+        if not packs or r["n"] > left:
+            packs.append([])
+            left = size
+        packs[-1].append(r["f"])
+        left -= r["n"]
+    return [tuple(p) for p in packs]
 
 
-_searchers: dict[tuple[str, int], Searcher] = {}
+_searchers: dict[tuple[tuple[str, ...], int], Searcher] = {}
 
 
-def searcher(name: str, window: int) -> Searcher:
+def searcher(pack: tuple[str, ...], window: int) -> Searcher:
     """The searcher of a pack, among the last ``KEPT`` that this process has used."""
-    found = _searchers.pop((name, window), None)
+    found = _searchers.pop((pack, window), None)
     if found is None:
-        fs, path = filesystem(name)
-        with fs.open_input_file(path) as f:
-            t = pq.read_table(f)
-        found = Searcher(list(zip(t["i"].to_pylist(), t["t"].to_pylist())), window)
-    _searchers[name, window] = found
+        items: list[tuple[str, str]] = []
+        for name in pack:
+            fs, path = filesystem(name)
+            with fs.open_input_file(path) as f:
+                t = pq.read_table(f)
+            items += zip(t["i"].to_pylist(), t["t"].to_pylist())
+        found = Searcher(items, window)
+    _searchers[pack, window] = found
     while len(_searchers) > KEPT:
         del _searchers[next(iter(_searchers))]
     return found
