@@ -36,7 +36,7 @@ def partitions_for(total: float, each: float, least: int = 1) -> int:
     return max(least, math.ceil(total / each))
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 128, chars: int = 4_000_000) -> Iterator[list[tuple]]:
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 128, chars: int = 1_000_000) -> Iterator[list[tuple]]:
     """Rows of Arrow batches in lists of bounded length and text, so that Python objects stay few."""
     for batch in batches:
         at = 0

@@ -168,8 +168,8 @@ class LibraryEncoder:
         tok = Tokenizer.from_file(path)
         self.model, self.alphabet = tok.model, byte_alphabet()
         self.dtype = np.dtype("<u2") if tok.get_vocab_size() <= 65536 else np.dtype("<u4")
-        self.pieces = Memo(self._piece)
-        self.chunks = Memo(lambda chunk: b"".join(map(self.pieces.__getitem__, self.splitter.pieces(chunk))))
+        self.pieces = Memo(self._piece, 1_000_000)
+        self.chunks = Memo(lambda chunk: b"".join(map(self.pieces.__getitem__, self.splitter.pieces(chunk))), 1_000_000)
 
     def _piece(self, piece: str) -> bytes:
         if piece in self.splitter.special:

@@ -29,7 +29,7 @@ class Codec:
     def __init__(self, path: str):
         self.bpe = Transducer(path)
         self.decoder = Decoder(self.bpe.names)
-        self.pieces = Memo(lambda piece: np.array(self.bpe.encode_piece(piece), np.int32).tobytes())
+        self.pieces = Memo(lambda piece: np.array(self.bpe.encode_piece(piece), np.int32).tobytes(), 200_000)
         self.chunks = Memo(lambda chunk: b"".join(map(self.pieces.__getitem__, self.bpe.splitter.pieces(chunk))))
 
     def encode(self, text: str) -> Iterator[np.ndarray]:

@@ -181,12 +181,12 @@ def _layout(docs: list[list[int]], pad: int) -> tuple[np.ndarray, np.ndarray, np
     """Word rows of every window of every document (padded), which are real, and the window's document."""
     at, doc = [], []
     for k, rows in enumerate(docs):
-        row = np.array(rows, np.int64)
+        row = np.array(rows, np.int32)
         for s in windows_of(len(rows)):
             w = row[s : s + WINDOW]
-            at.append(np.r_[w, np.full(WINDOW - len(w), pad)] if len(w) < WINDOW else w)
+            at.append(np.r_[w, np.full(WINDOW - len(w), pad, np.int32)] if len(w) < WINDOW else w)
             doc.append(k)
-    at = np.array(at, np.int64).reshape(-1, WINDOW)
+    at = np.array(at, np.int32).reshape(-1, WINDOW)
     return at, at != pad, np.array(doc)
 
 

@@ -99,7 +99,7 @@ class Memo(dict):
     It only saves work; a forgotten chunk is computed again, so results never depend on the limit.
     """
 
-    def __init__(self, compute, limit: int = 1_000_000, longest: int = 64):
+    def __init__(self, compute, limit: int = 300_000, longest: int = 64):
         super().__init__()
         self.compute, self.limit, self.longest = compute, limit, longest
 
