@@ -29,10 +29,10 @@ MODEL_SQL = {
     "(select c_nationkey as src, s_nationkey as dst, count(*) as n from orders join customer on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey "
     "join supplier on l_suppkey = s_suppkey group by c_nationkey, s_nationkey) w) k where rn <= 2",
     # crates (below 0), their modules (from -100 down), the modules' customers, and what these call: an acyclic graph
-    "model_nodes": "select -1 - r_regionkey as node, r_name as name from region union all select -100 - n_nationkey, n_name from nation "
-    "union all select 2 * c_custkey, c_name from customer union all select 2 * s_suppkey + 1, s_name from supplier",
-    "model_edges": "select -1 - n_regionkey as src, -100 - n_nationkey as dst from nation union all select -100 - c_nationkey, 2 * c_custkey from customer "
-    "union all select distinct 2 * o_custkey, 2 * l_suppkey + 1 from orders join lineitem on l_orderkey = o_orderkey",
+    "model_nodes": "select cast(-1 - r_regionkey as bigint) as node, r_name as name from region union all select cast(-100 - n_nationkey as bigint), n_name from nation "
+    "union all select cast(2 * c_custkey as bigint), c_name from customer union all select cast(2 * s_suppkey + 1 as bigint), s_name from supplier",
+    "model_edges": "select cast(-1 - n_regionkey as bigint) as src, cast(-100 - n_nationkey as bigint) as dst from nation union all select cast(-100 - c_nationkey as bigint), cast(2 * c_custkey as bigint) from customer "
+    "union all select distinct cast(2 * o_custkey as bigint), cast(2 * l_suppkey + 1 as bigint) from orders join lineitem on l_orderkey = o_orderkey",
     "files": "select doc_id as id, concat(source, '/', cast(doc_id as string)) as path, text from documents",
 }
 

@@ -476,7 +476,7 @@ def e04_labels(symbols, modules):
     return s.select("id", fx.qualified_label(signature, F.col("name")).alias("label"), fx.last_segment(F.col("path")).alias("last"), F.size(fx.path_segments(F.col("path"))).cast("long").alias("segments"), fx.format_count(F.col("id") * 1001).alias("shown"), shown.alias("node_label"))
 
 
-@query("symbols", sql="""select id, least(case when is_test then 1.0 else 0.15 end, case when visibility = 'Public' then 1.0 else 0.12 end, 1.0, case when id % 4 = 0 then 1.0 else 0.2 end) as alpha,
+@query("symbols", sql="""select id, cast(least(case when is_test then 1.0 else 0.15 end, case when visibility = 'Public' then 1.0 else 0.12 end, 1.0, case when id % 4 = 0 then 1.0 else 0.2 end) as double) as alpha,
 round(least(6.0, 1 + ln(greatest(cast(id % 900 as double), 1.0)) + case when is_unsafe then 1.0 else 0.0 end), 6) as width, round((60 + least(cast(id % 9 as double), 5.0) / 5 * 160) / 255, 6) as edge_alpha,
 case visibility when 'Public' then 'pub ' else '' end as prefix from symbols""")
 def e29_styles(symbols):
