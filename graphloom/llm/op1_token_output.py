@@ -27,6 +27,7 @@ from .common import filesystem, id_and_text, materialize, new_dir, partitions_fo
 from .pieces import Memo, PieceSplitter, byte_alphabet, chunks, tokenizer_path
 
 BLOCK = 512
+PACKED = 64 * BLOCK  # tokens packed at a time, so that the arrays stay in a core's cache
 SEGMENT_TOKENS = 1_000_000
 FILE_TOKENS = 4_000_000
 MAX_FILES = 20_000
@@ -78,18 +79,23 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes
     """The bit stream (big-endian words) and the bit length of every block."""
     if not len(ids):
         return b"", np.zeros(0, np.uint32)
-    n = lengths[ids].astype(np.int64)
-    end = np.cumsum(n)
-    at = end - n
-    value = codes[ids] << (64 - n - (at & 31)).astype(np.uint64)
-    word = at >> 5
-    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    out = np.zeros(int(end[-1] >> 5) + 2, np.uint64)
-    where = word[first]
-    out[where] += np.add.reduceat(value >> np.uint64(32), first)
-    out[where + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
-    blocks = np.add.reduceat(n, np.arange(0, len(ids), BLOCK)).astype(np.uint32)
-    return out.astype(">u4").tobytes(), blocks
+    sizes = lengths.astype(np.int64)
+    out = np.zeros((len(ids) * int(sizes.max()) >> 5) + 2, np.uint64)
+    blocks, bits = [], 0
+    for a in range(0, len(ids), PACKED):
+        part = ids[a : a + PACKED]
+        n = sizes[part]
+        end = np.cumsum(n) + bits
+        at = end - n
+        value = codes[part] << (64 - n - (at & 31)).astype(np.uint64)
+        word = at >> 5
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        where = word[first]
+        out[where] += np.add.reduceat(value >> np.uint64(32), first)
+        out[where + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
+        blocks.append(np.add.reduceat(n, np.arange(0, len(part), BLOCK)))
+        bits = int(end[-1])
+    return out[: (bits >> 5) + 2].astype(">u4").tobytes(), np.concatenate(blocks).astype(np.uint32)
 
 
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -166,18 +172,28 @@ class LibraryEncoder:
 
         self.splitter = PieceSplitter(path)
         tok = Tokenizer.from_file(path)
-        self.model, self.alphabet = tok.model, byte_alphabet()
+        self.tokenize, self.alphabet = tok.model.tokenize, "".join(byte_alphabet())
         self.dtype = np.dtype("<u2") if tok.get_vocab_size() <= 65536 else np.dtype("<u4")
+        self.numbers = [i.to_bytes(self.dtype.itemsize, "little") for i in range(tok.get_vocab_size())]
         self.pieces = Memo(self._piece, 1_000_000)
-        self.chunks = Memo(lambda chunk: b"".join(map(self.pieces.__getitem__, self.splitter.pieces(chunk))), 1_000_000)
+        self.chunks = Memo(self._chunk, 1_000_000)
 
     def _piece(self, piece: str) -> bytes:
         if piece in self.splitter.special:
-            ids = [self.splitter.special[piece]]
-        else:
-            spelled = "".join([self.alphabet[b] for b in piece.encode("utf-8", "surrogatepass")])
-            ids = [t.id for t in self.model.tokenize(spelled)]
-        return np.array(ids, self.dtype).tobytes()
+            return self.numbers[self.splitter.special[piece]]
+        if not (piece.isascii() and piece.isalnum()):  # these bytes stand for themselves
+            piece = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
+        return b"".join([self.numbers[t.id] for t in self.tokenize(piece)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii():  # a word and what ends it, as the splitter has them, without its calls
+            core = chunk.rstrip(",.")
+            if core.isalpha():
+                word = core.lower()
+                if word == chunk:
+                    return self._piece(word)
+                return self.chunks[word] + self.pieces[chunk[len(core) :]] if len(core) < len(chunk) else self.chunks[word]
+        return b"".join(map(self.pieces.__getitem__, self.splitter.pieces(chunk)))
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         out = [b"".join(map(self.chunks.__getitem__, chunks(t))) + end for t in texts]
@@ -213,8 +229,9 @@ def global_counts(encoded: DataFrame, width: int, size: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for v in batch.column(0):
-                total += np.bincount(np.frombuffer(v.as_py(), f"<u{width}"), minlength=size)
+            if batch.num_rows:
+                ids = pa.compute.binary_join(pa.ListArray.from_arrays([0, batch.num_rows], batch.column(0)), pa.scalar(b"", batch.column(0).type))
+                total += np.bincount(np.frombuffer(ids[0].as_buffer(), f"<u{width}"), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], schema=schema)
 

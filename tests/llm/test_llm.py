@@ -93,6 +93,26 @@ def test_op1_round_trip(spark, docs, tok):
     assert o1.read_token_files(o1.write_token_files(docs.limit(0))).count() == 0
 
 
+def test_op1_words_and_packing_are_cheap(tok):
+    """A word is encoded and kept once, however it is ended; packing works in parts, with the same stream over their borders."""
+    import tracemalloc
+
+    enc = o1.LibraryEncoder(o1.tokenizer_path())
+    texts = ["plain words, plain words.", "Plain WORDS,., plain", "word's a.b 12,3 x1 don't <|endoftext|>, Élan élan, \x00 \x7f, ,. .", "straße, ΑΣ Ⅷ, a\u0301b"]
+    assert enc.encode(texts[:1], b"") == [np.array(tok.encode(texts[0], add_special_tokens=False).ids, enc.dtype).tobytes()]
+    assert set(enc.chunks) == {"plain", "words", "words,", "words."} and set(enc.pieces) == {",", "."}
+    for t in texts:
+        assert enc.encode([t], b"") == [np.array(tok.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes()]
+    ids = np.minimum(np.random.default_rng(1).zipf(1.2, 1_000_003) - 1, 49_000).astype("<u2")
+    lengths = o1.limited_lengths(np.bincount(ids, minlength=49_152), 20)
+    codes, table = o1.canonical_codes(lengths), o1.decode_table(lengths)
+    tracemalloc.start()
+    stream, blocks = o1.pack(ids, codes, lengths)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6 and (o1.unpack(stream, blocks, len(ids), table) == ids).all()
+
+
 def test_op1_code_is_optimal_and_limited():
     counts = np.array([0, 1, 1, 2, 3, 5, 8, 13, 21, 34, 55])
     assert o1.limited_lengths(counts, 20).tolist() == [0, 9, 9, 8, 7, 6, 5, 4, 3, 2, 1]
