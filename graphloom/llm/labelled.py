@@ -60,5 +60,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, share: float | N
     return w
 
 
+def linear(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Rows by weights, plus the bias; a row's value does not depend on the rows beside it, as in a matrix product."""
+    out = np.full(len(x), w[-1])
+    for k, v in enumerate(w[:-1]):
+        out += x[:, k] * v
+    return out
+
+
 def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))

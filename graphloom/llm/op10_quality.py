@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import fold, id_and_text, read_table, rows_to_batch, small_batches
-from .labelled import labelled_sample, logistic, sigmoid
+from .labelled import labelled_sample, linear, logistic, sigmoid
 
 PER_CLASS = 1500
 DICTIONARY = 64 << 10
@@ -113,7 +113,7 @@ def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, modu
         for rows in small_batches(batches):
             if c:
                 x = np.array([c.features(t) for *_, t in rows])
-                scores = sigmoid(x @ model.weights[:-1] + model.weights[-1]).tolist()
+                scores = sigmoid(linear(x, model.weights)).tolist()
             else:
                 scores = [prior] * len(rows)
             yield rows_to_batch([(d, h, s, int(s >= THRESHOLD)) for (d, h, _), s in zip(rows, scores)], schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORDS, fold, id_and_text, read_table, rows_to_batch, small_batches
-from .labelled import labelled_sample, logistic, sigmoid
+from .labelled import labelled_sample, linear, logistic, sigmoid
 
 WINDOW, STRIDE = 64, 16
 PER_CLASS = 1200
@@ -39,6 +39,7 @@ HEADS = range(4, 10)
 LEAST_WORD, LEAST_GRAM = 6, 10  # documents in which a word or n-gram must be to have an embedding
 STEPS = 240  # of training, in batches of windows
 THRESHOLD = 0.5
+LANES = 64  # words and windows go through products in multiples of so many: a few take other paths and round otherwise
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -102,7 +103,8 @@ class Network:
         return np.concatenate([own, char], 1).astype(np.float32)
 
     def gates(self, x: np.ndarray) -> dict[str, np.ndarray]:
-        return {s: x @ self.p[f"W{s}"] + self.p[f"b{s}"] for s in "fb"}
+        full = np.concatenate([x, np.zeros((-len(x) % LANES, x.shape[1]), x.dtype)])
+        return {s: (full @ self.p[f"W{s}"])[: len(x)] + self.p[f"b{s}"] for s in "fb"}
 
     def states(self, gates: dict, at: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States of both directions (steps x 2h x windows); ``at`` has the gate rows of every window."""
@@ -139,7 +141,9 @@ class Network:
         return self.p["v"] @ pooled + self.p["c"], pooled, w, q
 
     def logits(self, gates: dict, at: np.ndarray, real: np.ndarray, chunk: int = 2048) -> np.ndarray:
-        return np.concatenate([self.pool(self.states(gates, at[i : i + chunk]), real[i : i + chunk])[0] for i in range(0, len(at), chunk)])
+        n, more = len(at), ((0, -len(at) % LANES), (0, 0))
+        at, real = np.pad(at, more), np.pad(real, more)
+        return np.concatenate([self.pool(self.states(gates, at[i : i + chunk]), real[i : i + chunk])[0] for i in range(0, len(at), chunk)])[:n]
 
     def gradients(self, x: np.ndarray, at: np.ndarray, real: np.ndarray, y: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the mean cross entropy: of the parameters above the inputs, and of every input row."""
@@ -309,7 +313,7 @@ class Scorer:
         if some:
             at, real, doc = _layout([list(map(row.__getitem__, docs[i])) for i in some], 0)
             x, w = pooled(self.net.logits(self.gates, at, real), doc, len(some)), self.net.calibration
-            for i, s in zip(some, sigmoid(x @ w[:-1] + w[-1])):
+            for i, s in zip(some, sigmoid(linear(x, w))):
                 out[i] = float(s)
         return out
 

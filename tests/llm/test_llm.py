@@ -23,6 +23,7 @@ from graphloom.llm import op8_html as o8
 from graphloom.llm import op9_toxicity as o9
 from graphloom.llm import op10_quality as o10
 from graphloom.llm.bpe import Transducer
+from graphloom.llm.labelled import linear
 from graphloom.llm.pieces import slices, tokenizer_path
 
 SCHEMA = "doc_id long, text string, score double, n_tokens long, ckey string, host string"
@@ -483,6 +484,24 @@ def test_op8_large_host_equals_memory(spark):
     assert not any("n7w3" in got[i] for i in range(60)) and "n1w3" in got[900]
 
 
+def test_scores_depend_on_the_text_alone():
+    """Every text has the same score to the last bit by itself, among others, and after other texts."""
+    texts = [prose(40, 3000 + i) + " vilifier sludgy " * (i % 3 == 0) + prose(30 + 40 * (i % 5), i) for i in range(90)] + ["once", "", prose(3000, 5)]
+    sample = [(t, int(i % 3 == 0)) for i, t in enumerate(texts[:90])]
+    net = o9.train(sample, 0.3, steps=40)
+    together = o9.Scorer(net).score(texts)
+    assert len(set(together)) > 60
+    for size in (1, 2, 3, 7, 40):
+        for order in (range(len(texts)), range(len(texts) - 1, -1, -1)):
+            scorer, got = o9.Scorer(net), {}
+            for k in range(0, len(texts), size):
+                part = list(order)[k : k + size]
+                got.update(zip(part, scorer.score([texts[i] for i in part])))
+            assert [got[i] for i in range(len(texts))] == together
+    x, w = np.random.default_rng(1).standard_normal((500, 3)), np.array([0.3, -1.7, 2.9, 0.1])
+    assert all((linear(x[a : a + n], w) == linear(x, w)[a : a + n]).all() for a, n in ((0, 1), (3, 2), (17, 5), (499, 1)))
+
+
 def test_op9_and_op10_learn_and_hold_out(spark):
     rows, labels = [], []
     for i in range(600):
